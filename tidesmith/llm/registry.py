@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import bpe, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": quality_rules.op1_quality_rules}
+    return {"op1_quality_rules": quality_rules.op1_quality_rules, "op2_bpe": bpe.op2_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
