@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality_rules
+from . import bpe, ngram_join, packing, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": quality_rules.op1_quality_rules, "op2_bpe": bpe.op2_bpe}
+    return {
+        "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op2_bpe": bpe.op2_bpe,
+        "op7_ngram_join": ngram_join.op7_ngram_join,
+        "op8_packing": packing.op8_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
