@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ngram_join, packing, quality_rules
+from . import bpe, compression, language_id, ngram_join, packing, quality_rules, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_bpe": bpe.op2_bpe,
+        "op3_quality_classifier": compression.op3_quality_classifier,
+        "op5_language_id": language_id.op5_language_id,
         "op7_ngram_join": ngram_join.op7_ngram_join,
         "op8_packing": packing.op8_packing,
+        "op10_topk_search": topk.op10_topk_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.OP1_SQL}
+    return {"op1_quality_rules": quality_rules.OP1_SQL, "op10_topk_search": topk.OP10_SQL}
