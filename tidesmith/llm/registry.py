@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, compression, language_id, ngram_join, packing, quality_rules, topk
+from . import bpe, compression, html_text, language_id, ngram_join, packing, quality_rules, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language_id": language_id.op5_language_id,
         "op7_ngram_join": ngram_join.op7_ngram_join,
         "op8_packing": packing.op8_packing,
+        "op9_html_text": html_text.op9_html_text,
         "op10_topk_search": topk.op10_topk_search,
     }
 
