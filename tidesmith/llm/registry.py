@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, compression, html_text, language_id, ngram_join, packing, quality_rules, topk
+from . import bpe, compression, html_text, language_id, ngram_join, packing, pii, quality_rules, topk, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,7 +14,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_bpe": bpe.op2_bpe,
         "op3_quality_classifier": compression.op3_quality_classifier,
+        "op4_warc": warc.op4_warc,
         "op5_language_id": language_id.op5_language_id,
+        "op6_pii": pii.op6_pii,
         "op7_ngram_join": ngram_join.op7_ngram_join,
         "op8_packing": packing.op8_packing,
         "op9_html_text": html_text.op9_html_text,
@@ -23,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.OP1_SQL, "op10_topk_search": topk.OP10_SQL}
+    return {"op1_quality_rules": quality_rules.OP1_SQL, "op4_warc": warc.OP4_SQL, "op10_topk_search": topk.OP10_SQL}
