@@ -1,4 +1,70 @@
-"""The corpus pipeline: STAGES in order, run() over the documents table."""
+"""The corpus pipeline: documents of good quality in a known language, one of each group of near copies, without personal data, packed.
 
-STAGES = []
+STAGES lists (name, function); a function takes (spark, docs, sf_dir) and
+returns what it keeps, with the columns of documents; the last one returns the
+packed pieces. run() writes each stage's rows and reads them back for the next.
+Each stage takes nulls, empty texts, empty tables and extra columns as its
+operator does.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidesmith.llm import compression, language_id, ngram_join, packing, pii
+from tidesmith.llm.common import table, written
+
+#: A text whose best cosine is below this resembles no language that was learnt.
+LEAST_COSINE = 0.1
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the compression classifier takes for label 0."""
+    model = compression.learn(docs, table(spark, sf_dir, "labels"))
+    return compression.compression_score(docs, model).filter("predicted = 1").select(*docs.columns)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without letters or like no learnt language; a null lang becomes the predicted one."""
+    names, prototypes = language_id.fit_profiles(docs.filter(~language_id.held_out()))
+    known = language_id.language_id(docs, names, prototypes).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_COSINE))
+    return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of linked ones, that with the smallest id; rows without an id stay."""
+    joined = ngram_join.ngram_jaccard_join(docs)
+    away = joined.filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(away, "doc_id", "left_anti").select(*docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by the name of its kind."""
+    return pii.redact(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs token pieces into sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("language ID", language),
+    ("n-gram Jaccard join", near_copies),
+    ("PII", personal_data),
+    ("best-fit packing", packed),
+]
+
+#: No SQL engine can express the classifier, the profiles or the tokenizer.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = written(docs, "stage-" + name.lower().replace(" ", "-"))
+    return docs

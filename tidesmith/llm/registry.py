@@ -10,6 +10,8 @@ from . import bpe, compression, html_text, language_id, ngram_join, packing, pii
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    import corpus_pipeline
+
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_bpe": bpe.op2_bpe,
@@ -21,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": packing.op8_packing,
         "op9_html_text": html_text.op9_html_text,
         "op10_topk_search": topk.op10_topk_search,
+        "pipeline": corpus_pipeline.run,
     }
 
 
