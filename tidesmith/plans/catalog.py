@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import signals  # noqa: F401  registers its queries
+from . import recursions, signals  # noqa: F401  they register their queries
 from .book import ORACLES, QUERIES, Query
 
 
