@@ -35,7 +35,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of linked ones, that with the smallest id; rows without an id stay."""
     joined = ngram_join.ngram_jaccard_join(docs)
-    away = joined.filter("doc_id <> component_id").select("doc_id").distinct()
+    # written, so that Spark knows the size of what it joins and leaves the texts in place if that is small
+    away = written(joined.filter("doc_id <> component_id").select("doc_id").distinct(), "copies")
     return docs.join(away, "doc_id", "left_anti").select(*docs.columns)
 
 

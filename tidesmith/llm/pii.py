@@ -172,22 +172,33 @@ def span_text(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with every span of personal data replaced by its kind in angle brackets; the columns stay as they are, but n_chars, which follows the text."""
-    spans = find_pii(docs, key, text).withColumn("all", F.concat("base", "found")).filter(F.size("all") > 0).groupBy(F.col(key).alias("k3")).agg(F.flatten(F.collect_set("all")).alias("all"))
-    joined = docs.join(spans, docs[key].eqNullSafe(F.col("k3")), "left").drop("k3")
+    """docs with every span of personal data replaced by its kind in angle brackets; the columns stay as they are, but n_chars, which follows the text.
+
+    Fixed spans are found again where the text is; only found ones are joined,
+    from a written table, so that Spark knows its size and leaves the texts in
+    place if it is small.
+    """
+    added = find_pii(docs, key, text).filter(F.size("found") > 0).groupBy(F.col(key).alias("k3")).agg(F.collect_list(F.struct("text_hash", "found")).alias("added"))
+    joined = docs.join(written(added, "pii-found"), docs[key].eqNullSafe(F.col("k3")), "left").drop("k3")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for t, spans_of in zip(b.column(text).to_pylist(), b.column("all").to_pylist(), strict=True):
-                if t and spans_of:
-                    parts, at = [], 0
-                    for a, e, k in sorted({(s["start"], s["end"], s["kind"]) for s in spans_of}):
-                        if a >= at:
-                            parts += [t[at:a], f"<{KINDS[k].upper()}>"]
-                        at = max(at, e)
-                    t = "".join([*parts, t[at:]])
+            for t, more in zip(b.column(text), b.column("added").to_pylist(), strict=True):
+                t = t.as_py()
+                if t:
+                    spans = {(s, e, k) for k, s, e in base_spans(t)}
+                    if more:
+                        own = xxhash.xxh64_intdigest(t.encode()) - (1 << 63)
+                        spans |= {(s["start"], s["end"], s["kind"]) for m in more if m["text_hash"] == own for s in m["found"]}
+                    if spans:
+                        parts, at = [], 0
+                        for a, e, k in sorted(spans):
+                            if a >= at:
+                                parts += [t[at:a], f"<{KINDS[k].upper()}>"]
+                            at = max(at, e)
+                        t = "".join([*parts, t[at:]])
                 out.append(t)
             done = pa.array(out, pa.string())
             columns = {c: b.column(c) for c in names} | {text: done}
@@ -196,7 +207,7 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
 
     schema = ", ".join(f"`{f.name}` {'bigint' if f.name == 'n_chars' else f.dataType.simpleString()}" for f in docs.schema)
-    return joined.select(*names, "all").mapInArrow(run, schema)
+    return joined.select(*names, "added").mapInArrow(run, schema)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
