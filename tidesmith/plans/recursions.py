@@ -75,7 +75,7 @@ def _smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT s.id, s.idx, 0.2 * r.p + 0.8 * (s.smooth / greatest(s.low, 1e-12) > 5)::INT,
     (0.95 + 0.05 * (0.2 * r.p + 0.8 * (s.smooth / greatest(s.low, 1e-12) > 5)::INT)) * r.noise + (1 - (0.95 + 0.05 * (0.2 * r.p + 0.8 * (s.smooth / greatest(s.low, 1e-12) > 5)::INT))) * s.power
   FROM r JOIN sm s ON s.id = r.id AND s.idx = r.idx + 1)
-SELECT id, idx, round(p, 6) AS p, round(noise, 9) AS noise FROM r""")
+SELECT id, idx, round(p, 6) AS p, round(10 * log10(noise), 6) AS noise_db FROM r""")
 def noise_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Presence-controlled noise averaging; the first frame sets the floor."""
     v = F.struct("power", "smooth", "floor", (F.col("idx") == 0).alias("first"))
@@ -85,7 +85,7 @@ def noise_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.when(v["first"], F.struct(F.lit(0.0).alias("p"), v["power"].alias("noise"))).otherwise(step(s, v))
 
     out = R.states(_smooth(spark, sf_dir), v, F.expr("named_struct('p', 0D, 'noise', 0D)"), begun)
-    return out.select("id", "idx", F.round("state.p", 6).alias("p"), F.round("state.noise", 9).alias("noise"))
+    return out.select("id", "idx", F.round("state.p", 6).alias("p"), F.round(10 * F.log10("state.noise"), 6).alias("noise_db"))
 
 
 @query(f"""WITH RECURSIVE {EVENTS}, {_SMOOTH}, g AS (SELECT id, idx, power / (smooth + 1e-12) AS gamma FROM sm),
