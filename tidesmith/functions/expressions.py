@@ -71,7 +71,8 @@ def apply_mask(spec: Column, mask: Column, bound: float = CRM_BOUND) -> Column:
 
 def half_exp1(nu: Column) -> Column:
     """Half the exponential integral E1, by a piecewise fit. The coefficients are fixed values of the published approximation."""
-    return F.when(nu < 0.1, -2.3 * F.log10(nu) - 0.6).when(nu < 1, -1.544 * F.log10(nu) + 0.166).otherwise(F.pow(F.lit(10.0), -0.53 * nu - 0.26))
+    e1 = F.when(nu < 0.1, -2.3 * F.log10(nu) - 0.6).when(nu < 1, -1.544 * F.log10(nu) + 0.166).otherwise(F.pow(F.lit(10.0), -0.53 * nu - 0.26))
+    return 0.5 * e1
 
 
 def hann(n: Column, size: int) -> Column:

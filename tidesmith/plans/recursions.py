@@ -123,7 +123,7 @@ def gain_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {EVENTS}, {_SMOOTH}, n AS (SELECT id, idx, power / (smooth + 1e-12) AS gamma, greatest(power / (smooth + 1e-12) - 1, {XI!r}) AS xi FROM sm),
 v AS (SELECT id, idx, xi, least(greatest(xi * gamma / (1 + xi), 1e-8), 500) AS nu FROM n)
-SELECT id, idx, round(least(greatest(xi / (1 + xi) * exp(CASE WHEN nu < 0.1 THEN -2.3 * log10(nu) - 0.6 WHEN nu < 1 THEN -1.544 * log10(nu) + 0.166 ELSE pow(10, -0.53 * nu - 0.26) END), {LOW!r}), 1), 6) AS gain FROM v""")
+SELECT id, idx, round(least(greatest(xi / (1 + xi) * exp(0.5 * CASE WHEN nu < 0.1 THEN -2.3 * log10(nu) - 0.6 WHEN nu < 1 THEN -1.544 * log10(nu) + 0.166 ELSE pow(10, -0.53 * nu - 0.26) END), {LOW!r}), 1), 6) AS gain FROM v""")
 def log_spectral_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-spectral amplitude gain of a frame by itself."""
     gamma = F.col("power") / (F.col("smooth") + 1e-12)

@@ -127,7 +127,7 @@ def complex_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH v AS (SELECT event_id, greatest(value / 100, 1e-8) AS nu FROM events)
-SELECT event_id, round(CASE WHEN nu < 0.1 THEN -2.3 * log10(nu) - 0.6 WHEN nu < 1 THEN -1.544 * log10(nu) + 0.166 ELSE pow(10, -0.53 * nu - 0.26) END, 6) AS half_e1 FROM v""")
+SELECT event_id, round(0.5 * CASE WHEN nu < 0.1 THEN -2.3 * log10(nu) - 0.6 WHEN nu < 1 THEN -1.544 * log10(nu) + 0.166 ELSE pow(10, -0.53 * nu - 0.26) END, 6) AS half_e1 FROM v""")
 def half_exp1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.round(X.half_exp1(F.greatest(F.col("value") / 100, F.lit(1e-8))), 6).alias("half_e1"))
 
