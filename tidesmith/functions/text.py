@@ -25,7 +25,8 @@ SIMPLIFIED = "战斗转业雄个两万亿电话国学说语时间们这还没对
 
 
 def section(text: str) -> int:
-    """Value of a run below 万: each unit times the digit right before it (1 if there is none or it is zero), and a digit at the end."""
+    """Value of a run below 万: each unit times the digit right before it (1 if there is none or it is zero), and a digit at the end; section units are passed over."""
+    text = re.sub(f"[{''.join(SECTIONS)}]", "", text)
     total = sum((DIGITS.get(d) or 1) * UNITS[u] for d, u in COUNTED.findall(text))
     return total + DIGITS.get(text[-1:], 0)
 
