@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evaluations, recursions, scores, signals, texts  # noqa: F401  they register their queries
+from . import engines, evaluations, recursions, scores, signals, texts  # noqa: F401  they register their queries
 from .book import ORACLES, QUERIES, Query
 
 
