@@ -34,6 +34,8 @@ SHARED = 8
 LIST = 128
 #: A block's side: classes, and shingles in all.
 SIDE, SIDE_TOKENS = 1024, 1_000_000
+#: Bits of the bitmap that tells which documents' sets are needed.
+BITS = 1 << 23
 
 
 def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
@@ -229,15 +231,35 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
+def _membership(ids: DataFrame) -> np.ndarray | None:
+    """A bitmap of BITS bits with those of the ids' hashes set; None if it is too full to tell anything.
+
+    Its size is fixed, and a wrong yes only costs a set that no join asks for.
+    """
+    at = F.pmod(F.xxhash64("id", F.lit(41)), F.lit(BITS))
+    words = ids.select(at.alias("at")).groupBy(F.expr("at div 32").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 32 as int)))").alias("bits")).toArrow()
+    out = np.zeros(BITS // 32, np.uint32)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out if int(np.bitwise_count(out).sum()) < BITS // 4 else None
+
+
 def _sets(docs: DataFrame, ids: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(id, tokens): the shingle sets of the documents in `ids`, as bytes."""
+    """(id, tokens): the shingle sets of the documents in `ids` at least, as bytes. Texts are not shuffled, unless the ids are too many for a bitmap."""
+    marks = _membership(ids)
+    rows = docs.select(F.col(key).alias("id"), text, F.pmod(F.xxhash64(key, F.lit(41)), F.lit(BITS)).alias("at"))
+    rows = rows.filter(F.col("id").isNotNull()) if marks is not None else rows.join(ids, "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_by_batch(batches, column=text):
+            if marks is not None:
+                at = b.column("at").to_numpy(zero_copy_only=False)
+                b = b.filter(pa.array((marks[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)))
+                if not b.num_rows:
+                    continue
             sets = Scan(b.column(text), lower=True).shingle_sets(width)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "tokens"])
 
-    return docs.select(F.col(key).alias("id"), text).join(ids, "id", "left_semi").mapInArrow(run, "id bigint, tokens binary")
+    return rows.mapInArrow(run, "id bigint, tokens binary")
 
 
 def _linked(blocks: DataFrame, percent: int, stars: bool) -> DataFrame:
