@@ -69,9 +69,11 @@ class BpeCodec:
     """Encodes texts to ids (as little-endian unsigned 32-bit bytes) and decodes ids.
 
     remembered: words and pieces kept in a worker's memory (about 200 bytes each).
+    library_merges: leave the merging of a piece to the tokenizers library, for
+    callers that only need its ids.
     """
 
-    def __init__(self, path: str | None = None, remembered: tuple[int, int] = (150_000, 400_000)):
+    def __init__(self, path: str | None = None, remembered: tuple[int, int] = (60_000, 150_000), library_merges: bool = False):
         self.path = path or default_tokenizer()
         with open(self.path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -89,6 +91,7 @@ class BpeCodec:
         self.strings = [by_id.get(i, "") for i in range(max(by_id) + 1)]
         self.bytes_as = byte_characters()
         self.library = None
+        self.library_merges = self._library().model if library_merges else None
         self.words, self.pieces = Remembered(self._word, remembered[0]), Remembered(self._piece, remembered[1])
 
     def _word(self, word: str) -> bytes:
@@ -98,18 +101,24 @@ class BpeCodec:
         return b"".join([self.pieces[p] for p in self.split(word)])
 
     def _piece(self, piece: str) -> bytes:
+        if self.library_merges is not None:
+            return array("I", [t.id for t in self.library_merges.tokenize(piece)]).tobytes()
         return array("I", self.merge(piece)).tobytes()
 
+    def _library(self):
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        return self.library
+
     def split(self, word: str) -> list[str]:
         """Normalised pieces of a word without white space, in the characters that stand for bytes."""
         if PLAIN.fullmatch(word):
             found = PIECES.findall(word.lower())
             return found if word.isascii() else ["".join([self.bytes_as[b] for b in p.encode()]) for p in found]
-        if self.library is None:
-            from tokenizers import Tokenizer
-
-            self.library = Tokenizer.from_file(self.path)
-        return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(word))]
+        library = self._library()
+        return [p for p, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(word))]
 
     def merge(self, piece: str) -> list[int]:
         vocab, rank_of, pair_of, new_of = self.vocab, self.rank_of, self.pair_of, self.new_of
@@ -155,14 +164,14 @@ class BpeCodec:
         return " ".join(map(self.strings.__getitem__, ids.tolist()))
 
 
-_CODECS: dict[str | None, BpeCodec] = {}
+_CODECS: dict[tuple, BpeCodec] = {}
 
 
-def codec(path: str | None = None) -> BpeCodec:
+def codec(path: str | None = None, library_merges: bool = False) -> BpeCodec:
     """One codec per worker and vocabulary."""
-    if path not in _CODECS:
-        _CODECS[path] = BpeCodec(path)
-    return _CODECS[path]
+    if (path, library_merges) not in _CODECS:
+        _CODECS[path, library_merges] = BpeCodec(path, library_merges=library_merges)
+    return _CODECS[path, library_merges]
 
 
 def bpe_encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None) -> DataFrame:

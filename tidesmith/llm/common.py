@@ -39,7 +39,7 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
-def rows_by_batch(batches: Iterable[pa.RecordBatch], most_bytes: int = 4 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
+def rows_by_batch(batches: Iterable[pa.RecordBatch], most_bytes: int = 1 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cuts record batches so that a piece holds about `most_bytes` of `column`, one row at least."""
     for batch in batches:
         if not batch.num_rows:

@@ -321,7 +321,7 @@ def ngram_jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text",
     links = [_linked(x.repartition("block").sortWithinPartitions("block", "side", "id").select("block", "side", "id", "tokens"), percent, s) for x, s in ((stars, True), (blocks, False))]
     roots = components(links[0].unionByName(links[1]))
     return sig.join(classes, ["f1", "f2", "n"], "left").join(roots.withColumnRenamed("u", "rep"), "rep", "left").select(
-        key, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "rep")).otherwise(F.col(key)).alias("component_id")
+        key, F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col(key).isNotNull(), F.coalesce("root", "rep")).otherwise(F.col(key)).alias("component_id")
     )
 
 
