@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidesmith.llm import compression, language_id, ngram_join, packing, pii
 from tidesmith.llm.common import table, written
+from tidesmith.ship import shipped
 
 #: A text whose best cosine is below this resembles no language that was learnt.
 LEAST_COSINE = 0.1
@@ -51,11 +52,11 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("quality classifier", quality_classifier),
-    ("language ID", language),
-    ("n-gram Jaccard join", near_copies),
-    ("PII", personal_data),
-    ("best-fit packing", packed),
+    ("quality classifier", shipped(quality_classifier)),
+    ("language ID", shipped(language)),
+    ("n-gram Jaccard join", shipped(near_copies)),
+    ("PII", shipped(personal_data)),
+    ("best-fit packing", shipped(packed)),
 ]
 
 #: No SQL engine can express the classifier, the profiles or the tokenizer.
