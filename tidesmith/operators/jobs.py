@@ -58,9 +58,10 @@ def summarize_job(results: DataFrame, metric: str = "si_sdr", baseline: str = "n
 
 def error_rate_job(transcripts: DataFrame) -> DataFrame:
     """(source, n, cer, wer) of rows (id, source, reference, hypothesis): means of the utterances' rates after normalisation."""
-    c = T.cer(T.for_cer(F.col("reference")), T.for_cer(F.col("hypothesis")))
-    w = T.wer(T.for_wer(F.col("reference")), T.for_wer(F.col("hypothesis")))
-    return transcripts.withColumn("cer", c).withColumn("wer", w).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg("cer").alias("cer"), F.avg("wer").alias("wer"))
+    r, h = F.col("reference"), F.col("hypothesis")
+    plain = transcripts.withColumns({"_rc": T.for_cer(r), "_hc": T.for_cer(h), "_rw": T.for_wer(r), "_hw": T.for_wer(h)})
+    rated = plain.withColumns({"cer": T.cer(F.col("_rc"), F.col("_hc")), "wer": T.wer(F.col("_rw"), F.col("_hw"))})
+    return rated.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg("cer").alias("cer"), F.avg("wer").alias("wer"))
 
 
 def _mixture(x: np.ndarray, kind: str, snr_db: float, t60: float, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
