@@ -73,7 +73,7 @@ class BpeCodec:
     callers that only need its ids.
     """
 
-    def __init__(self, path: str | None = None, remembered: tuple[int, int] = (60_000, 150_000), library_merges: bool = False):
+    def __init__(self, path: str | None = None, remembered: tuple[int, int] = (40_000, 100_000), library_merges: bool = False):
         self.path = path or default_tokenizer()
         with open(self.path, encoding="utf-8") as f:
             spec = json.load(f)

@@ -79,8 +79,8 @@ def bundle(texts: list[str], letters: Letters) -> np.ndarray:
     grams, column = np.unique(code, return_inverse=True) if m**GRAM > 4_000_000 else _dense_unique(code, m**GRAM)
     out = np.zeros((len(texts), letters.dimensions), np.float32)
     base = letters.vectors(signs)
-    for a in range(0, len(grams), 8192):  # so that the bound n-grams need little memory
-        z = min(a + 8192, len(grams))
+    for a in range(0, len(grams), 2048):  # so that the bound n-grams and the counts need little memory
+        z = min(a + 2048, len(grams))
         bound = np.ones((z - a, letters.dimensions), np.int8)
         part = grams[a:z]
         for i in range(GRAM):
@@ -115,7 +115,7 @@ def fit_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang", pe
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, total = Letters(dimensions), {}
-        for b in rows_by_batch(batches, 1 << 20):
+        for b in rows_by_batch(batches, 1 << 18):
             units = _unit(bundle(b.column("text").to_pylist(), letters))
             for k, v in zip(b.column("lang").to_pylist(), units, strict=True):
                 total[k] = total.get(k, 0) + v
@@ -136,7 +136,7 @@ def language_id(docs: DataFrame, names: list[str], prototypes: np.ndarray, text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, profiles = Letters(dimensions), prototypes.T.astype(np.float32)
-        for b in rows_by_batch(batches, 1 << 20, text):
+        for b in rows_by_batch(batches, 1 << 18, text):
             vectors = bundle([t or "" for t in b.column(text).to_pylist()], letters)
             size = np.sqrt((vectors**2).sum(axis=1))
             lang, score = ["und"] * b.num_rows, np.zeros(b.num_rows)
