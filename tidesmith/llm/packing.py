@@ -37,7 +37,7 @@ def pieces(docs: DataFrame, key: str, text: str, size: int, end_id: int, path: s
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen, end = codec(path), Counter(), end_id.to_bytes(4, "little")
+        own, seen, end = codec(path, library_merges=True), Counter(), end_id.to_bytes(4, "little")
         part = TaskContext.get().partitionId()
         for b in batches:
             out: list[list] = [[], [], [], [], [], []]
