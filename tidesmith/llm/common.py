@@ -52,6 +52,30 @@ def rows_by_batch(batches: Iterable[pa.RecordBatch], most_bytes: int = 1 << 20,
                 start = i
 
 
+def slim(run):
+    """A batch function that hands free memory back to the system when its task ends: workers live on and would keep it."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return whole
+
+
+def trim() -> None:
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def offsets(texts: pa.Array):
     """(byte offsets, bytes) of a string column as numpy arrays; null counts as empty."""
     import numpy as np

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc_mod, rows_by_batch, slim, table, written
 
 BLOCK = 4096
 
@@ -95,8 +95,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60
 def fit(labelled: DataFrame, text: str = "text", label: str = "quality", rows: int = 4000, excerpt: int = 600, dictionary: int = 500_000, level: int = 3) -> Model:
     """A model from at most about `rows` labelled rows of each label, chosen by a hash of the text.
 
-    Half of them, by another bit of the hash, give excerpts of `excerpt` bytes
-    to the dictionaries (`dictionary` bytes each), the others the curve.
+    Their excerpts of `excerpt` characters make the dictionaries (`dictionary`
+    bytes each). The curve is fitted crosswise: each half, by another bit of the
+    hash, is measured with dictionaries of the other.
     """
     known = labelled.filter(F.col(text).isNotNull() & F.col(label).isin(0, 1)).select(F.col(text).alias("text"), F.col(label).cast("int").alias("y"))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -110,26 +111,33 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "quality", rows: i
     # the start, the middle and the end of a text, not its whole, go to the driver for the dictionaries
     cut = F.concat(*(F.substring("text", 1 + k * F.greatest(F.length("text") - excerpt // 3, F.lit(0)) / 2, excerpt // 3) for k in (F.lit(0), F.lit(1), F.lit(2))))
     short = F.when(F.length("text") <= excerpt, F.col("text")).otherwise(cut)
-    excerpts = sorted((r["t"], r["y"]) for r in drawn.filter("half = 0").select(short.alias("t"), "y").collect())
-    if len({y for _, y in excerpts}) < 2:
-        excerpts = sorted((r["t"], r["y"]) for r in drawn.select(short.alias("t"), "y").collect())
-        drawn = drawn.withColumn("half", F.lit(1))
+    excerpts = sorted((r["half"], r["t"], r["y"]) for r in drawn.select("half", short.alias("t"), "y").collect())
     order = np.random.default_rng(5).permutation(len(excerpts))
-    parts: dict[int, list[bytes]] = {0: [], 1: []}
-    for i in order:
-        t, y = excerpts[i]
-        parts[y].append(t.encode("utf-8", "surrogatepass"))
-    size = min(dictionary, *(sum(map(len, p)) for p in parts.values()))  # equal sizes: neither wins by holding more
-    good, bad = (b"".join(parts[y])[:size] for y in (1, 0))
-    model = Model(good, bad, np.empty(0), np.zeros(3), np.ones(3), share, level)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compressors = model.compressors()
-        for b in batches:
-            x, _ = measure(b.column("text").to_pylist(), compressors)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), b.column("y")], names=["a", "b", "c", "y"])
-
-    found = sorted(tuple(r) for r in drawn.filter("half = 1").select("text", "y").mapInArrow(run, "a double, b double, c double, y int").collect())
+    def dictionaries(halves: tuple[int, ...]) -> Model:
+        parts: dict[int, list[bytes]] = {0: [], 1: []}
+        for i in order:
+            half, t, y = excerpts[i]
+            if half in halves:
+                parts[y].append(t.encode("utf-8", "surrogatepass"))
+        size = min(dictionary, *(sum(map(len, p)) for p in parts.values()))  # equal sizes: neither wins by holding more
+        good, bad = (b"".join(parts[y])[:size] for y in (1, 0))
+        return Model(good, bad, np.empty(0), np.zeros(3), np.ones(3), share, level)
+
+    def features(half: int) -> DataFrame:
+        """Features of one half by dictionaries of the other."""
+        other = dictionaries((1 - half,))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            compressors = other.compressors()
+            for b in batches:
+                x, _ = measure(b.column("text").to_pylist(), compressors)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), b.column("y")], names=["a", "b", "c", "y"])
+
+        return drawn.filter(F.col("half") == half).select("text", "y").mapInArrow(slim(run), "a double, b double, c double, y int")
+
+    model = dictionaries((0, 1))
+    found = sorted(tuple(r) for r in features(0).unionByName(features(1)).collect())
     if len({r[-1] for r in found}) == 2:
         x, y = np.array([r[:3] for r in found]), np.array([r[3] for r in found], float)
         low, model.centre, high = np.quantile(x, (0.1, 0.5, 0.9), axis=0)
@@ -144,21 +152,32 @@ def compression_score(docs: DataFrame, model: Model, text: str = "text", thresho
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = model.compressors() if len(model.weights) else None
-        for b in batches:
+        for b in rows_by_batch(batches, column=text):
             x, empty = measure(b.column(text).to_pylist(), compressors) if compressors else (np.zeros((b.num_rows, 3)), np.zeros(b.num_rows, bool))
             s = model.score(x, empty)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in stay), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=[*stay, "score", "predicted"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*stay).schema), "score double", "predicted int"])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(slim(run), schema)
 
 
 def held_out() -> Column:
     return F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    return fit(docs.filter(~held_out()).select("doc_id", "text").join(labels.select("doc_id", "quality"), "doc_id"))
+def learn(docs: DataFrame, labels: DataFrame, rows: int = 4000) -> Model:
+    """A model from documents outside the held-out part.
+
+    About `rows` labels of each kind are drawn by a hash of the id, at most
+    4 * rows in all, before they meet the documents, so that texts stay where
+    they are. The drawn texts are written once.
+    """
+    mine = labels.filter(~held_out() & F.col("quality").isin(0, 1)).select("doc_id", "quality")
+    counts = {r["quality"]: r["n"] for r in mine.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(37)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    wanted = F.when(F.col("quality") == 1, min(1.0, rows / counts.get(1, 1))).otherwise(min(1.0, rows / counts.get(0, 1)))
+    drawn = mine.filter(draw < wanted).dropDuplicates(["doc_id"]).limit(4 * rows)
+    return fit(written(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id"), "labelled"), rows=rows)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, rows_by_batch, table
+from .common import crc_mod, rows_by_batch, slim, table
 
 GRAM = 3
 
@@ -123,7 +123,7 @@ def fit_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang", pe
             yield pa.RecordBatch.from_pydict({"lang": list(total), "v": pa.array([np.asarray(v, np.float64) for v in total.values()], pa.list_(pa.float64()))})
 
     # partial bundles are added up element by element, so that the driver gets one a language
-    added = rows.mapInArrow(run, "lang string, v array<double>").select("lang", F.posexplode("v")).groupBy("lang", "pos").agg(F.sum(F.round("col", 9).cast("decimal(28,9)")).cast("double").alias("x"))
+    added = rows.mapInArrow(slim(run), "lang string, v array<double>").select("lang", F.posexplode("v")).groupBy("lang", "pos").agg(F.sum(F.round("col", 9).cast("decimal(28,9)")).cast("double").alias("x"))
     found = {r["lang"]: [v["x"] for v in sorted(r["v"], key=lambda v: v["pos"])] for r in added.groupBy("lang").agg(F.collect_list(F.struct("pos", "x")).alias("v")).collect()}
     names = sorted(found)
     return names, _unit(np.array([found[k] for k in names]))
@@ -148,7 +148,7 @@ def language_id(docs: DataFrame, names: list[str], prototypes: np.ndarray, text:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in stay), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*stay, "lang_pred", "score"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*stay).schema), "lang_pred string", "score double"])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(slim(run), schema)
 
 
 def held_out() -> Column:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import rows_by_batch, table, written
+from .common import rows_by_batch, slim, table, written
 from .components import components
 from .wordscan import Scan, mix
 
@@ -124,7 +124,7 @@ def _tokens(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
             sets = Scan(b.column(text), lower=True).shingle_sets(width)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["token"])
 
-    return docs.select(text).mapInArrow(run, "token bigint")
+    return docs.select(text).mapInArrow(slim(run), "token bigint")
 
 
 def frequent_tokens(docs: DataFrame, key: str, text: str, width: int, one_in: int = 32, least: int = 3, most: int = 50_000) -> np.ndarray:
@@ -160,7 +160,7 @@ def signatures(docs: DataFrame, key: str, text: str, width: int, percent: int) -
                 first.append(s[:keep].view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(key), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(first, pa.list_(pa.int64()))], names=[key, "n", "f1", "f2", "first"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n bigint, f1 bigint, f2 bigint, first array<bigint>")
+    return docs.select(key, text).mapInArrow(slim(run), f"`{key}` {kind}, n bigint, f1 bigint, f2 bigint, first array<bigint>")
 
 
 def _meet(postings: DataFrame, percent: int) -> DataFrame:
@@ -223,7 +223,7 @@ def _meet(postings: DataFrame, percent: int) -> DataFrame:
                 yield long(*rest)
                 rest = rest[:, :0]
 
-    return postings.mapInArrow(run, "a bigint, b bigint, na bigint, nb bigint, shared bigint")
+    return postings.mapInArrow(slim(run), "a bigint, b bigint, na bigint, nb bigint, shared bigint")
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -259,7 +259,7 @@ def _sets(docs: DataFrame, ids: DataFrame, key: str, text: str, width: int) -> D
             sets = Scan(b.column(text), lower=True).shingle_sets(width)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "tokens"])
 
-    return rows.mapInArrow(run, "id bigint, tokens binary")
+    return rows.mapInArrow(slim(run), "id bigint, tokens binary")
 
 
 def _linked(blocks: DataFrame, percent: int, stars: bool) -> DataFrame:
@@ -289,7 +289,7 @@ def _linked(blocks: DataFrame, percent: int, stars: bool) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([y for _, y in out], pa.int64())})
                 out = []
 
-    return blocks.mapInArrow(run, "u bigint, v bigint")
+    return blocks.mapInArrow(slim(run), "u bigint, v bigint")
 
 
 def ngram_jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85) -> DataFrame:

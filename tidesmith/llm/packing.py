@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import codec
-from .common import table, written
+from .common import slim, table, written
 
 Use = tuple[int, tuple[tuple[int, int], ...]]  # how many sequences, and the lengths in each with their numbers
 
@@ -52,7 +52,7 @@ def pieces(docs: DataFrame, key: str, text: str, size: int, end_id: int, path: s
             rows = [pa.array(x, pa.int64()) for x in out]
             yield pa.RecordBatch.from_arrays([b.column(key).take(rows[0]), rows[1].cast(pa.int32()), *rows[2:5], pa.array(np.full(len(rows[0]), part, np.int32)), rows[5]], names=[key, "piece", "start", "length", "ids_crc32", "part", "nth"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, part int, nth bigint")
+    return docs.select(key, text).mapInArrow(slim(run), f"`{key}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, part int, nth bigint")
 
 
 def _best_filling(size: int, lengths: np.ndarray, prices: np.ndarray) -> dict[int, int]:
@@ -189,7 +189,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4
 
     names = [key, "piece", "start", "length", "ids_crc32"]
     ranked = cut.join(before, ["part", "length"]).select(*names, (F.col("before") + F.col("nth")).alias("rank"))
-    return ranked.mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    return ranked.mapInArrow(slim(run), f"`{key}` {docs.schema[key].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

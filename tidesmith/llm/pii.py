@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import slim, table, written
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -134,7 +134,7 @@ def _scan(docs: DataFrame, key: str, text: str) -> DataFrame:
                 found.append([{"kind": k, "start": s, "end": e, "instance": i, "cues": c} for k, s, e, i, c in mentions(t, base)])
             yield pa.RecordBatch.from_arrays([b.column(key), pa.array(rows, pa.int64()), pa.array(spans, span), pa.array(found, mention)], names=[key, "text_hash", "base", "mentions"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, text_hash bigint, base array<struct<kind int, start int, end int>>, mentions array<struct<kind int, start int, end int, instance string, cues array<string>>>")
+    return docs.select(key, text).mapInArrow(slim(run), f"`{key}` {kind}, text_hash bigint, base array<struct<kind int, start int, end int>>, mentions array<struct<kind int, start int, end int, instance string, cues array<string>>>")
 
 
 def bootstrap(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, worth: float = WORTH) -> DataFrame:
@@ -207,7 +207,7 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
 
     schema = ", ".join(f"`{f.name}` {'bigint' if f.name == 'n_chars' else f.dataType.simpleString()}" for f in docs.schema)
-    return joined.select(*names, "added").mapInArrow(run, schema)
+    return joined.select(*names, "added").mapInArrow(slim(run), schema)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
