@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import shared_dir, table, written
 
 MAGIC = b"WARC/1.0\r\n"
 LENGTH = re.compile(rb"\r\nContent-Length:[ \t]*([0-9]+)[ \t]*\r\n", re.I)
@@ -67,7 +67,8 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
     one = pages.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload"), F.sha1(body).alias("digest"), F.octet_length(F.coalesce(F.col(payload), F.lit(""))).alias("n"))
     # the one row of a digest that is a response: only digests of at least two rows matter, and those travel without payloads
     last = pages.filter(F.col(key).isNotNull()).select(F.sha1(body).alias("digest"), F.col(key).alias("id"), F.octet_length(F.coalesce(F.col(payload), F.lit(""))).alias("n")).filter(F.col("n") >= least_bytes).groupBy("digest").agg(F.max("id").alias("last"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("digest", "last")
-    planned = one.join(last, "digest", "left").withColumn("refers", F.when((F.col("last") != F.col("id")) & (F.col("n") >= least_bytes), F.col("last")))
+    # written first: Spark then knows its size, and leaves the payloads in place if it is small
+    planned = one.join(written(last, "warc-last"), "digest", "left").withColumn("refers", F.when((F.col("last") != F.col("id")) & (F.col("n") >= least_bytes), F.col("last")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
