@@ -221,6 +221,12 @@ def test_pages_without_an_article_lose_what_they_share():
     assert texts == [f"page {i} says its own thing" for i in range(5)] and runs == [1] * 5
 
 
+def test_unique_blocks_outside_an_article_stay():
+    pages = [f"<article><p>text {i}</p></article><p>only here{i} stands note{i}</p><p>the same seven words on every page</p><nav>a menu</nav>" for i in range(4)]
+    assert html_text.main_text(pages) == ([f"text {i}\nonly here{i} stands note{i}" for i in range(4)], [2] * 4, [0] * 4)
+    assert html_text.main_text(pages[:2])[0] == ["text 0", "text 1"]
+
+
 def test_html_takes_odd_rows(spark):
     rows = [(1, None, None), (2, "", ""), (3, "http://a.b/c", "<p>x</p>"), (3, "http://a.b/c", "<p>x</p>"), (4, "not a url", "<p>y" * 3000), (None, "http://a.b/d", "<p>z</p>")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "'x' AS text", "1 AS _at")

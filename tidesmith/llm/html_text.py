@@ -7,7 +7,8 @@ distinct pages repeat. A block of a page is boilerplate if such runs cover most
 of it, or if its markup says so (menus, headers, footers, sidebars, forms,
 scripts, comments, adverts, notices). Where a page marks its article, markup
 decides what lies within: text that articles share is still their text, and
-runs decide on what the page has outside. The unique runs stay.
+runs decide on what the page has outside. The unique runs stay. Where a host
+has fewer than 3 pages nothing can repeat on 3, and the mark alone decides.
 
 Character references are decoded, white space inside a block becomes one space,
 blocks are trimmed and joined in page order by a line break. Null and empty
@@ -169,14 +170,15 @@ def main_text(pages: list[str | None]) -> tuple[list[str], list[int], list[int]]
     parsed = [blocks(p) if p else [] for p in pages]
     words = [[b[0].split() for b in page] for page in parsed]
     streams = [np.array([xxhash.xxh64_intdigest(w) >> 2 for b in page for w in b], np.int64) for page in words]
+    told = len(pages) >= PAGES
     texts, by_runs, by_markup = [], [], []
     for page, own, covered in zip(parsed, words, repeated(streams), strict=True):
-        has_article = any(inside and not dropped for _, inside, dropped in page)
+        marked = not told and any(inside and not dropped for _, inside, dropped in page)
         kept, at, runs, markup = [], 0, 0, 0
         for (text, inside, dropped), tokens in zip(page, own, strict=True):
             share = covered[at : at + len(tokens)].mean() if tokens else 0
             at += len(tokens)
-            if not dropped and (inside or not has_article and share <= 0.5):
+            if not dropped and (inside or not marked and share <= 0.5):
                 kept.append(text)
             elif share > 0.5:
                 runs += 1
