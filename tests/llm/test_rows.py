@@ -106,6 +106,19 @@ def test_classifier_takes_odd_rows(spark, clashing):
     assert compression.compression_score(clashing.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize("rows", [4000, 100])
+def test_a_sample_keeps_the_labels_shares(spark, rows):
+    rnd = random.Random(6)
+    texts = [" ".join(rnd.choice(["alpha", "beta", "gamma", "delta", "rho"]) + str(rnd.randrange(90)) for _ in range(30)) for _ in range(1400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = docs.select("doc_id", F.when(F.xxhash64("doc_id") % 7 == 0, 0).otherwise(1).alias("quality"))
+    share = labels.filter(~compression.held_out()).agg(F.avg("quality")).first()[0]
+    model = compression.learn(docs, labels, rows=rows)
+    assert model.share == pytest.approx(share) and share > 0.8
+    scores = [r["score"] for r in compression.compression_score(docs.filter(compression.held_out()), model).collect()]
+    assert abs(np.mean(scores) - share) < 0.07
+
+
 # ---- 5: language identification
 
 

@@ -7,8 +7,12 @@ a dictionary, over its bytes says how much it repeats itself. A logistic curve,
 fitted on labelled texts that the dictionaries do not hold, turns these into
 the score: the calibrated probability of label 1.
 
+Rows are drawn at another rate for each label; weights give them the shares that
+the labels have among all labelled rows, so a score does not depend on how many
+rows the input has.
+
 Null and empty texts have no size to compare and get the share of label 1 among
-the fitted rows. Long texts are compressed whole, block by block. With labels
+all labelled rows. Long texts are compressed whole, block by block. With labels
 of one kind only, or none, every score is that share (0.5 without any). Rows
 are judged one by one, so repeated rows are judged alike; extra columns are
 untouched, but for result names, which are replaced.
@@ -80,33 +84,37 @@ def measure(texts: list[str | None], compressors) -> tuple[np.ndarray, np.ndarra
     return out, empty
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, steps: int = 60) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = np.maximum(p * (1 - p), 1e-6)
-        step = np.linalg.solve(x.T @ (x * h[:, None]) + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        h = weight * np.maximum(p * (1 - p), 1e-6)
+        step = np.linalg.solve(x.T @ (x * h[:, None]) + ridge * np.eye(len(w)), x.T @ (weight * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "quality", rows: int = 4000, excerpt: int = 600, dictionary: int = 500_000, level: int = 3) -> Model:
+def fit(labelled: DataFrame, text: str = "text", label: str = "quality", rows: int = 4000, excerpt: int = 600, dictionary: int = 500_000, level: int = 3, whole: dict[int, int] | None = None) -> Model:
     """A model from at most about `rows` labelled rows of each label, chosen by a hash of the text.
 
     Their excerpts of `excerpt` characters make the dictionaries (`dictionary`
     bytes each). The curve is fitted crosswise: each half, by another bit of the
-    hash, is measured with dictionaries of the other.
+    hash, is measured with dictionaries of the other. `whole` has the rows of each
+    label that `labelled` was drawn from, if it is itself a sample; the curve is
+    fitted to their shares.
     """
     known = labelled.filter(F.col(text).isNotNull() & F.col(label).isin(0, 1)).select(F.col(text).alias("text"), F.col(label).cast("int").alias("y"))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(counts.values())
-    share = counts.get(1, 0) / total if total else 0.5
+    whole = whole or counts
+    total = sum(whole.values())
+    share = whole.get(1, 0) / total if total else 0.5
     if len(counts) < 2:
         return Model(b"", b"", np.empty(0), np.zeros(3), np.ones(3), share, level)
     draw = F.pmod(F.xxhash64("text", F.lit(29)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    wanted = F.when(F.col("y") == 1, min(1.0, rows / counts[1])).otherwise(min(1.0, rows / counts[0]))
+    rates = {y: min(1.0, rows / n) for y, n in counts.items()}
+    wanted = F.when(F.col("y") == 1, rates[1]).otherwise(rates[0])
     drawn = known.filter(draw < wanted).dropDuplicates(["text"]).withColumn("half", F.pmod(F.xxhash64("text", F.lit(31)), F.lit(2)))
     # the start, the middle and the end of a text, not its whole, go to the driver for the dictionaries
     cut = F.concat(*(F.substring("text", 1 + k * F.greatest(F.length("text") - excerpt // 3, F.lit(0)) / 2, excerpt // 3) for k in (F.lit(0), F.lit(1), F.lit(2))))
@@ -142,7 +150,9 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "quality", rows: i
         x, y = np.array([r[:3] for r in found]), np.array([r[3] for r in found], float)
         low, model.centre, high = np.quantile(x, (0.1, 0.5, 0.9), axis=0)
         model.spread = np.maximum((high - low) / 2.56, 1e-6)
-        model.weights = _logistic(model.shaped(x), y)
+        # the rows of its label that a drawn one stands for
+        stands = np.where(y == 1, *(whole[k] / (counts[k] * rates[k]) for k in (1, 0)))
+        model.weights = _logistic(model.shaped(x), y, stands / stands.mean())
     return model
 
 
@@ -170,14 +180,15 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = 4000) -> Model:
 
     About `rows` labels of each kind are drawn by a hash of the id, at most
     4 * rows in all, before they meet the documents, so that texts stay where
-    they are. The drawn texts are written once.
+    they are. The drawn texts are written once. The model's probabilities are
+    those of all the labels.
     """
     mine = labels.filter(~held_out() & F.col("quality").isin(0, 1)).select("doc_id", "quality")
     counts = {r["quality"]: r["n"] for r in mine.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     draw = F.pmod(F.xxhash64("doc_id", F.lit(37)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     wanted = F.when(F.col("quality") == 1, min(1.0, rows / counts.get(1, 1))).otherwise(min(1.0, rows / counts.get(0, 1)))
     drawn = mine.filter(draw < wanted).dropDuplicates(["doc_id"]).limit(4 * rows)
-    return fit(written(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id"), "labelled"), rows=rows)
+    return fit(written(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id"), "labelled"), rows=rows, whole=counts)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
