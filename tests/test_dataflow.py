@@ -175,3 +175,12 @@ def test_kernels_keep_rows_and_score(spark):
 def test_catalogs(spark):
     assert records.metric_catalog(spark).filter("NOT available").count() == 4
     assert records.self_check(spark).filter("NOT ok").count() == 0
+
+
+def test_session_blocks_has_every_signal(spark):
+    from tidesmith.plans import engines
+
+    sf = "/root/testdata/sf0.01"
+    sizes = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_suppkey").count().collect()
+    out = engines.session_blocks(spark, sf).groupBy("session").agg(F.sum("n").alias("n")).collect()
+    assert {r["session"]: r["n"] for r in out} == {str(r["l_suppkey"]): r["count"] // 32 * 32 for r in sizes} and len(out) == 100

@@ -115,7 +115,7 @@ def speech_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def session_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of uneven length through the session pipeline, as a batch of one."""
-    sig = signals(spark, sf_dir).filter("id <= 10").select(F.col("id").cast("string").alias("session"), F.posexplode("samples"))
+    sig = signals(spark, sf_dir).select(F.col("id").cast("string").alias("session"), F.posexplode("samples"))
     chunks = sig.groupBy("session", F.floor(F.col("pos") / 50).alias("seq")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "col"))), lambda s: s["col"].cast("float")).alias("pcm"))
     out = sessions.enhance_stream(chunks.withColumn("control", F.lit(None).cast("string")), SHORT)
     return out.select("session", "block", F.size("samples").alias("n"), "is_speech", "late")
