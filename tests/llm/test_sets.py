@@ -227,6 +227,17 @@ def test_unique_blocks_outside_an_article_stay():
     assert html_text.main_text(pages[:2])[0] == ["text 0", "text 1"]
 
 
+def test_copies_of_a_page_keep_their_text():
+    words = [f"w{i}" for i in range(120)]
+    page = lambda w: f"<p>{' '.join(w[:60])}</p><p>{' '.join(w[60:])}</p>"
+    text = lambda w: f"{' '.join(w[:60])}\n{' '.join(w[60:])}"
+    near = [[*words[:119], f"last{i}"] for i in range(40)]
+    for copies in ([words] * 4, near):
+        assert html_text.main_text([page(w) for w in copies])[0] == [text(w) for w in copies]
+    others = [f"<div>the same seven words on every page</div><p>page {i} says its own thing</p>" for i in range(3)]
+    assert html_text.main_text([*(page(w) for w in near), *others])[0] == [*map(text, near), *(f"page {i} says its own thing" for i in range(3))]
+
+
 def test_html_takes_odd_rows(spark):
     rows = [(1, None, None), (2, "", ""), (3, "http://a.b/c", "<p>x</p>"), (3, "http://a.b/c", "<p>x</p>"), (4, "not a url", "<p>y" * 3000), (None, "http://a.b/d", "<p>z</p>")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "'x' AS text", "1 AS _at")
