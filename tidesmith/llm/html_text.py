@@ -1,23 +1,31 @@
 """Main text of web pages with suffix arrays over the pages of a host.
 
-Pages are laid out by host. The token streams of a host's pages, a bounded
-number at a time, are concatenated and a suffix array is built over them;
-common prefixes of neighbouring suffixes give every long run of tokens that
-distinct pages repeat. A block of a page is boilerplate if such runs cover most
-of it, or if its markup says so (menus, headers, footers, sidebars, forms,
-scripts, comments, adverts, notices). Where a page marks its article, markup
-decides what lies within: text that articles share is still their text, and
-runs decide on what the page has outside. The unique runs stay. Where a host
-has fewer than 3 pages nothing can repeat on 3, and the mark alone decides.
-Copies count as one page: rows with equal tokens, and those whose sets of runs
-have a Jaccard index of 0.85 at least (found by signatures, checked exactly,
-linked through others too). So pages that differ in less than that are copies,
-and what they share is their text.
+A page is parsed into blocks, each within a marked article or outside, and
+dropped by its markup or not (menus, headers, footers, sidebars, forms, scripts,
+comments, adverts, notices). The token streams of a host's pages are
+concatenated and a suffix array finds the runs of RUN tokens that distinct
+pages repeat; rows with equal token streams are one page. Outside an article a
+run that PAGES pages of the host have is boilerplate, inside one only a run that
+more than half of the host's pages have, since articles may share passages and
+must keep them. A block goes if such runs cover most of it; what is outside goes
+too if its markup says so; the unique runs stay. A page whose own text (its
+article, or all that markup leaves of it if none is marked) is covered by COPY
+at least is a copy of others and keeps that text. On a host of fewer than PAGES
+pages nothing can repeat and the mark alone decides.
+
+A host of more than CHARS characters is dealt over many arrays. Each reports its
+runs with the numbers of its pages; the sums over the host decide, and go back
+to the arrays that hold the run. So a page's text is the same for any batch
+size, partitioning and order of rows. Inside articles, where a run must be on
+most pages, an array reports only runs on more than a quarter of its pages: one
+that is on most pages of the host is reported by arrays enough to be a
+candidate, and candidates are then counted everywhere.
 
 Character references are decoded, white space inside a block becomes one space,
 blocks are trimmed and joined in page order by a line break. Null and empty
-pages give the empty text. Long pages are read whole. Repeated rows give
-repeated results. Extra columns are untouched, but for result names, which are
+pages give the empty text. A null url is the host without a name. Long pages
+are read whole. Repeated rows give repeated results. An empty table gives an
+empty one. Extra columns are untouched, but for result names, which are
 replaced.
 """
 
@@ -25,24 +33,27 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import table
+from .common import named, slim, table, written
+from .wordscan import Scan, mix
 
-#: A repeated run has so many tokens at least, and lies on so many pages.
+#: A repeated run has so many tokens, and lies on so many pages at least.
 RUN, PAGES = 6, 3
-#: Pages are copies from this Jaccard index of their runs on; signatures that find them have so many bands of so many numbers.
-COPY, BANDS, WIDTH = 0.85, 16, 4
-#: Tokens of one suffix array.
-TOKENS = 400_000
+#: A page of whose own text runs cover this share is a copy.
+COPY = 0.85
+#: Characters of HTML for one suffix array.
+CHARS = 2_400_000
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
 ATTRIBUTES = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 SPACES = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -69,6 +80,7 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
     out: list[tuple[str, bool, bool]] = []
     parts: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # name, begins an article, begins what is dropped
+    open_tags: Counter[str] = Counter()
     inside = dropped = at = 0
 
     def close() -> None:
@@ -78,6 +90,13 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
             if text:
                 out.append((text, inside > 0, dropped > 0))
 
+    def pop() -> str:
+        nonlocal inside, dropped
+        name, a, d = stack.pop()
+        open_tags[name] -= 1
+        inside, dropped = inside - a, dropped - d
+        return name
+
     n = len(page)
     while at < n:
         m = MARKUP.search(page, at)
@@ -94,12 +113,9 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
         if m[1]:  # an end tag
             if name in BLOCKS or name in DROPPED:
                 close()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    for _, a, d in stack[k:]:
-                        inside, dropped = inside - a, dropped - d
-                    del stack[k:]
-                    break
+            if open_tags[name] > 0:  # a stray one ends nothing
+                while pop() != name:
+                    pass
             continue
         if name in RAW:
             if not m[3].rstrip().endswith("/"):
@@ -107,23 +123,36 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
                 at = end.end() if end else n
             parts.append(" ")
             continue
-        if name in BLOCKS or name in DROPPED:
+        if name == "br":
+            parts.append(" ")
+        elif name in BLOCKS or name in DROPPED:
             close()
         if name in VOID:
             continue
         if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:  # an end tag left out
-            _, a, d = stack.pop()
-            inside, dropped = inside - a, dropped - d
+            pop()
         d = name in DROPPED and not (name == "header" and inside > 0) or bool(m[3]) and _away(m[3])
         a = name in MAIN and not d
         if name not in MAIN and m[3] and 'role="main"' in m[3].lower():
             a = True
         stack.append((name, a, d))
+        open_tags[name] += 1
         inside, dropped = inside + a, dropped + d
     close()
     return out
 
 
+def packed_blocks(page: str | None) -> bytes:
+    """The blocks of a page, compressed: a digit for each (1: within an article, 2: dropped), then a line for each."""
+    import zstandard as zs
+
+    found = blocks(page) if page else []
+    if not found:
+        return b""
+    flags = "".join(str(inside + 2 * dropped) for _, inside, dropped in found)
+    return zs.ZstdCompressor(level=3).compress("\n".join([flags, *(t for t, _, _ in found)]).encode())
+
+
 def suffix_array(tokens: np.ndarray, upto: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Suffixes in the order of their first `upto` tokens at least, and the ranks by 1, 2, 4, ... tokens (prefix doubling)."""
     rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
@@ -142,128 +171,254 @@ def suffix_array(tokens: np.ndarray, upto: int) -> tuple[np.ndarray, list[np.nda
     return order, ranks
 
 
-def distinct_pages(streams: list[np.ndarray], run: int = RUN) -> np.ndarray:
-    """For each page's tokens, the number of its page: copies and near copies have one number."""
-    first: dict[bytes, int] = {}
-    root = [first.setdefault(s.tobytes(), i) for i, s in enumerate(streams)]
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    rng = np.random.default_rng(7)
-    factors = rng.integers(1 << 62, size=(BANDS * WIDTH, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    runs: dict[int, np.ndarray] = {}
-    buckets: dict[tuple[int, bytes], int] = {}
-    for i in first.values():
-        n = len(streams[i]) - run + 1
-        if n < 1:
-            continue
-        key = np.zeros(n, np.uint64)
-        for k in range(run):
-            key = (key ^ streams[i][k : k + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(29)
-        runs[i] = np.unique(key)
-        # a long page some thousand runs at a time
-        least = [((runs[i][a : a + 4096] * factors) >> np.uint64(32)).min(axis=1) for a in range(0, len(runs[i]), 4096)]
-        bands = np.minimum.reduce(least).reshape(BANDS, WIDTH)
-        for k, band in enumerate(bands):
-            other = buckets.setdefault((k, band.tobytes()), i)
-            a, b = find(i), find(other)
-            if a != b:
-                both = len(np.intersect1d(runs[i], runs[other], assume_unique=True))
-                if both >= COPY * (len(runs[i]) + len(runs[other]) - both):
-                    root[max(a, b)] = min(a, b)
-    return np.array([find(i) for i in range(len(streams))], np.int64)
-
-
-def repeated(streams: list[np.ndarray], run: int = RUN, pages: int = PAGES, numbers: np.ndarray | None = None) -> list[np.ndarray]:
-    """For each page's tokens, which ones lie in a run of at least `run` tokens that at least `pages` distinct pages have; rows with equal `numbers` are one page."""
-    sizes = [len(s) for s in streams]
-    if sum(1 for s in sizes if s >= run) < pages:
-        return [np.zeros(k, bool) for k in sizes]
-    # a border of its own after each page: no run crosses it
-    flat = np.concatenate([x for i, s in enumerate(streams) for x in (s, np.array([-1 - i], np.int64))])
-    of = np.repeat(np.arange(len(streams)) if numbers is None else numbers, np.array(sizes) + 1)
-    order, ranks = suffix_array(flat, run)
-    # equal first `run` tokens: neighbours in the array whose common prefix is that long, by the ranks of two overlapping halves
-    level = max(k for k in range(len(ranks)) if 1 << k <= run)
-    width = 1 << level
-    head = ranks[level]
-    tail = np.full(len(flat), -1, np.int64)
-    tail[: len(flat) - (run - width)] = head[run - width :]
-    a, b = order[:-1], order[1:]
-    same = (head[a] == head[b]) & (tail[a] == tail[b]) & (b + run <= len(flat)) & (a + run <= len(flat))
-    group = np.concatenate(([0], np.cumsum(~same)))
-    by_page = np.unique(group * (len(streams) + 1) + of[order])
-    met = np.bincount(by_page // (len(streams) + 1), minlength=int(group[-1]) + 1)
-    starts = order[met[group] >= pages]
-    marks = np.zeros(len(flat) + 1, np.int64)
-    np.add.at(marks, starts, 1)
-    np.add.at(marks, np.minimum(starts + run, len(flat)), -1)
-    covered = np.cumsum(marks[:-1]) > 0
-    cuts = np.cumsum(np.array(sizes) + 1)[:-1]
-    return [c[:-1] for c in np.split(covered, cuts)]
+class Pages:
+    """The token streams of some pages, one after another, each with a border of its own so that no run crosses it."""
+
+    def __init__(self, hosts: np.ndarray, blobs: list[bytes], run: int = RUN):
+        import zstandard as zs
+
+        self.run, self.hosts = run, hosts
+        opened = zs.ZstdDecompressor()
+        self.flags, self.texts, sizes, tokens = [], [], [], []
+        waiting: list[str] = []
+        weight = 0
+        for k, blob in enumerate(blobs):
+            flags, *texts = opened.decompress(blob).decode().split("\n") if blob else ("",)
+            self.flags.append(np.array([int(c) for c in flags], np.int8))
+            self.texts.append(texts)
+            sizes.append(np.array([t.count(" ") + 1 for t in texts], np.int64))
+            waiting.append("\n".join(texts))
+            weight += len(waiting[-1])
+            if weight > 1 << 19 or k + 1 == len(blobs):  # words are hashed some pages at a time
+                tokens.append(Scan(pa.array(waiting, pa.string())).word_hash)
+                waiting, weight = [], 0
+        self.of_page = np.array([s.sum() for s in sizes], np.int64)
+        self.block_sizes = np.concatenate([*sizes, np.empty(0, np.int64)])
+        self.block_flags = np.concatenate([*self.flags, np.empty(0, np.int8)])
+        self.block_page = np.repeat(np.arange(len(blobs)), [len(s) for s in sizes])
+        n = int(self.of_page.sum())
+        #: where each page's stream begins in the flat array, and where its tokens are
+        self.starts = np.concatenate(([0], np.cumsum(self.of_page + 1)))
+        page = np.repeat(np.arange(len(blobs)), self.of_page)
+        spot = np.arange(n) + page
+        self.flat = np.empty(n + len(blobs), np.uint64)
+        self.flat[spot] = mix(np.concatenate([*tokens, np.empty(0, np.uint64)]) ^ hosts.view(np.uint64)[page])  # no run is of two hosts
+        self.flat[self.starts[1:] - 1] = mix(np.arange(len(blobs)).astype(np.uint64) ^ np.uint64(0x5851F42D4C957F2D))
+        self.border = np.ones(len(self.flat), bool)
+        self.border[spot] = False
+        self.page = np.repeat(np.arange(len(blobs)), self.of_page + 1)
+        outside = np.zeros(len(self.flat), bool)
+        outside[spot] = np.repeat(self.block_flags & 1 == 0, self.block_sizes)
+        # runs that lie within a page, and those that touch what is outside an article
+        self.at = np.flatnonzero(self._within(self.border) == 0)
+        self.outer = self._within(outside)[self.at] > 0
+
+    def _within(self, marks: np.ndarray) -> np.ndarray:
+        """For each place, how many of the `run` places from it on are marked."""
+        total = np.concatenate(([0], np.cumsum(marks, dtype=np.int64)))
+        return total[self.run :] - total[: -self.run] if len(marks) >= self.run else np.ones(0, np.int64)
+
+    def run_hashes(self) -> np.ndarray:
+        """A hash of the run that begins at each place of `at`."""
+        h = np.full(len(self.at), self.run, np.uint64)
+        for k in range(self.run):
+            h = mix(h ^ self.flat[self.at + k])
+        return h.view(np.int64)
+
+    def groups(self, streams: np.ndarray, counted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """From the suffix array: for each place of `at` its group (equal runs, all outside or all inside), for each group a place of `at` and the number of distinct counted pages."""
+        if not len(self.at):
+            none = np.empty(0, np.int64)
+            return none, none, none
+        order, ranks = suffix_array(self.flat, self.run)
+        # equal first `run` tokens: neighbours in the array with equal ranks by two overlapping stretches
+        level = max(k for k in range(len(ranks)) if 1 << k <= self.run)
+        head, lap = ranks[level], self.run - (1 << level)
+        a, b = order[:-1], order[1:]
+        far = len(self.flat) - 1
+        same = (head[a] == head[b]) & (head[np.minimum(a + lap, far)] == head[np.minimum(b + lap, far)])
+        number = np.empty(len(self.flat), np.int64)
+        number[order] = np.concatenate(([0], np.cumsum(~same)))
+        _, first, group = np.unique(2 * number[self.at] + self.outer, return_index=True, return_inverse=True)
+        stream = np.unique(streams, return_inverse=True)[1]
+        page = self.page[self.at]
+        mine = counted[page]
+        pairs = np.unique(group[mine] * (len(streams) + 1) + stream[page[mine]])
+        return group, first, np.bincount(pairs // (len(streams) + 1), minlength=len(first))
+
+    def judged(self, repeated: np.ndarray, told: np.ndarray) -> tuple[list[str], list[int], list[int]]:
+        """Texts, and the numbers of blocks that runs remove and that only markup does, given which runs of `at` are boilerplate and which pages' hosts can tell."""
+        edge = np.zeros((2, len(self.flat) + 1), np.int64)
+        for kind in (0, 1):
+            begin = self.at[repeated & (self.outer == kind)]
+            np.add.at(edge[kind], begin, 1)
+            np.add.at(edge[kind], begin + self.run, -1)
+        covered = np.cumsum(edge[:, :-1], axis=1)[:, ~self.border] > 0
+        inside, dropped = self.block_flags & 1 > 0, self.block_flags & 2 > 0
+        total = np.concatenate((np.zeros((2, 1), np.int64), np.cumsum(covered, axis=1)), axis=1)
+        ends = np.cumsum(self.block_sizes)
+        met = total[:, ends] - total[:, ends - self.block_sizes]
+        most = np.where(inside, met[0], met[1]) * 2 > self.block_sizes
+        # the text that is a page's own, by its mark or without one, and how much of it goes
+        n = len(self.of_page)
+        marked = np.bincount(self.block_page[inside & ~dropped], minlength=n) > 0
+        own = ~dropped & (inside | ~marked[self.block_page])
+        whole = np.bincount(self.block_page[own], self.block_sizes[own], n)
+        lost = np.bincount(self.block_page[own & most], self.block_sizes[own & most], n)
+        copy = (lost >= COPY * whole) & (whole > 0)
+        kept = ~dropped & (own & (~most | copy[self.block_page]) | ~own & ~most & told[self.block_page])
+        texts, by_runs, by_markup, at = [], [], [], 0
+        for t in self.texts:
+            k, m = kept[at : at + len(t)], most[at : at + len(t)]
+            texts.append("\n".join([x for x, stays in zip(t, k.tolist(), strict=True) if stays]))
+            by_runs.append(int((~k & m).sum()))
+            by_markup.append(int((~k & ~m).sum()))
+            at += len(t)
+        return texts, by_runs, by_markup
+
+
+def boilerplate(pages: Pages, streams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which runs of pages that hold their hosts whole are boilerplate, and on which pages' hosts anything can be."""
+    host = np.unique(pages.hosts, return_inverse=True)[1]
+    different = np.unique(np.stack([host, np.unique(streams, return_inverse=True)[1]]), axis=1)
+    total = np.bincount(different[0], minlength=len(pages.hosts) + 1)[host]  # of each page's host
+    group, first, met = pages.groups(streams, np.ones(len(streams), bool))
+    bound = np.where(pages.outer[first], 0, total[pages.page[pages.at[first]]])
+    return ((met >= PAGES) & (2 * met > bound))[group], total >= PAGES
 
 
 def main_text(pages: list[str | None]) -> tuple[list[str], list[int], list[int]]:
-    """Texts of pages of one host, with the numbers of blocks removed that are repeated, and of those that only markup tells."""
-    parsed = [blocks(p) if p else [] for p in pages]
-    words = [[b[0].split() for b in page] for page in parsed]
-    streams = [np.array([xxhash.xxh64_intdigest(w) >> 2 for b in page for w in b], np.int64) for page in words]
-    numbers = distinct_pages(streams)
-    told = len(np.unique(numbers)) >= PAGES
-    texts, by_runs, by_markup = [], [], []
-    for page, own, covered in zip(parsed, words, repeated(streams, numbers=numbers), strict=True):
-        marked = not told and any(inside and not dropped for _, inside, dropped in page)
-        kept, at, runs, markup = [], 0, 0, 0
-        for (text, inside, dropped), tokens in zip(page, own, strict=True):
-            share = covered[at : at + len(tokens)].mean() if tokens else 0
-            at += len(tokens)
-            if not dropped and (inside or not marked and share <= 0.5):
-                kept.append(text)
-            elif share > 0.5:
-                runs += 1
-            else:
-                markup += 1
-        texts.append("\n".join(kept))
-        by_runs.append(runs)
-        by_markup.append(markup)
-    return texts, by_runs, by_markup
+    """Texts of all pages of one host, with the numbers of blocks that runs remove, and that only markup does."""
+    blobs = [packed_blocks(p) for p in pages]
+    held = Pages(np.zeros(len(blobs), np.int64), blobs)
+    return held.judged(*boilerplate(held, np.array([hash(b) for b in blobs], np.int64)))
+
+
+def _host(url: str) -> Column:
+    return F.coalesce(F.lower(F.regexp_extract(named(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)), F.lit(""))
+
+
+def _shards(pages: DataFrame, stay: list[str], url: str, page: str) -> DataFrame:
+    """Parsed pages, as many as one suffix array takes to a row: (shard, host if it is one of many of that host, rows of (row, host, blob, stream))."""
+    laid = pages.select(F.struct(*(named(c) for c in stay)).alias("row"), F.xxhash64(_host(url)).alias("host"), named(page).alias("page"))
+    sizes = laid.groupBy("host").agg(F.sum(F.coalesce(F.length("page"), F.lit(0))).alias("size")).filter(F.col("size") > CHARS)
+    many = written(sizes.select("host", F.ceil(F.col("size") / CHARS).alias("parts")), "html-hosts")
+    # any other dealing would give the same texts
+    dealt = laid.withColumn("nth", F.monotonically_increasing_id()).join(many, "host", "left")
+    dealt = dealt.select("row", "host", F.coalesce(F.pmod(F.xxhash64("nth"), F.col("parts")), F.lit(-1)).alias("part"), "page")
+    row = dealt.schema["row"].dataType
+    one = T.StructType([T.StructField("row", row), T.StructField("host", T.LongType()), T.StructField("part", T.LongType()), T.StructField("blob", T.BinaryType()), T.StructField("stream", T.LongType())])
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            blobs = [packed_blocks(p.as_py()) for p in b.column("page")]
+            streams = [xxhash.xxh64_intdigest(x) - (1 << 63) for x in blobs]
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("host"), b.column("part"), pa.array(blobs, pa.binary()), pa.array(streams, pa.int64())], names=["row", "host", "part", "blob", "stream"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made = TaskContext.get().partitionId() << 32, 0
+        held: list[pa.RecordBatch] = []
+        size, last = 0, None
+
+        def shard() -> pa.RecordBatch:
+            nonlocal made, held, size
+            t = pa.Table.from_batches(held).combine_chunks()
+            rows = pa.StructArray.from_arrays([t.column(c).chunk(0) for c in ("row", "host", "blob", "stream")], names=["row", "host", "blob", "stream"])
+            out = pa.RecordBatch.from_arrays([pa.array([task + made]), pa.array([last[0] if last[1] >= 0 else None], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)], names=["shard", "split", "rows"])
+            made, held, size = made + 1, [], 0
+            return out
+
+        for b in batches:
+            keys = list(zip(b.column("host").to_pylist(), b.column("part").to_pylist(), strict=True))
+            sizes = [len(x) for x in b.column("blob").to_pylist()]
+            start = 0
+            for i, key in enumerate(keys):
+                # a host that is not split stays in one shard; blobs are about a fifth of the page
+                if last is not None and (held or i > start) and (key != last and (size > CHARS // 5 or key[1] >= 0 or last[1] >= 0) or key[1] >= 0 and size > CHARS // 5):
+                    held.append(b.slice(start, i - start))
+                    yield shard()
+                    start = i
+                last = key
+                size += sizes[i]
+            held.append(b.slice(start))
+        if last is not None and any(x.num_rows for x in held):
+            yield shard()
+
+    parsed = dealt.mapInArrow(slim(parse), one).repartition("host", "part").sortWithinPartitions("host", "part")
+    inner = T.StructType([f for f in one.fields if f.name != "part"])
+    return written(parsed.mapInArrow(slim(gather), T.StructType([T.StructField("shard", T.LongType()), T.StructField("split", T.LongType()), T.StructField("rows", T.ArrayType(inner))])), "html-shards")
+
+
+def _opened(b: pa.RecordBatch, i: int) -> tuple[pa.StructArray, Pages, np.ndarray]:
+    rows = b.column("rows")[i].values
+    _, host, blob, stream = rows.flatten()
+    return rows, Pages(host.to_numpy(zero_copy_only=False), blob.to_pylist()), stream.to_numpy(zero_copy_only=False)
+
+
+def _split_runs(shards: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For hosts of many shards: (shard, outer, inner), the boilerplate runs that each shard holds outside and inside of articles, and (split, pages), the hosts' pages."""
+    split = shards.filter("split is not null")
+    pairs = split.select("split", "shard", F.explode(F.array_distinct(F.transform("rows", lambda r: r["stream"]))).alias("stream"))
+    owners = written(pairs.groupBy("split", "stream").agg(F.min("shard").alias("owner"), F.count(F.lit(1)).alias("n")), "html-streams")
+    totals = owners.groupBy("split").agg(F.count(F.lit(1)).alias("pages"))
+    # a page of several rows is counted in one of its shards
+    again = pairs.join(owners.filter("n > 1"), ["split", "stream"]).filter("shard <> owner").groupBy("shard").agg(F.collect_list("stream").alias("again"))
+    held = split.join(written(again, "html-again"), "shard", "left")
+
+    def report(batches: Iterator[pa.RecordBatch], wanted: bool) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                _, pages, streams = _opened(b, i)
+                counted = ~np.isin(streams, np.array(b.column("again")[i].as_py() or [], np.int64))
+                own = len(np.unique(streams[counted]))
+                _, first, met = pages.groups(streams, counted)
+                h, outer = pages.run_hashes()[first], pages.outer[first]
+                keep = ~outer & np.isin(h, np.array(b.column("runs")[i].as_py(), np.int64)) if wanted else outer | (4 * met > own)
+                k = int(keep.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, b.column("split")[i].as_py())), pa.array(h[keep]), pa.array(np.full(k, b.column("shard")[i].as_py())), pa.array(outer[keep]), pa.array(met[keep].astype(np.int64)), pa.array(np.full(k, own, np.int64))], names=["split", "run", "shard", "outside", "met", "own"])
+
+    kind = "split bigint, run bigint, shard bigint, outside boolean, met bigint, own bigint"
+    counts = written(held.select("split", "shard", "rows", "again").mapInArrow(slim(lambda x: report(x, False)), kind), "html-runs")
+    outer = counts.filter("outside").groupBy("split", "run").agg(F.sum("met").alias("met")).filter(F.col("met") >= PAGES).select("split", "run")
+    # on most pages: where no report came from at most a quarter of the pages have it
+    able = counts.filter("not outside").groupBy("split", "run").agg(F.sum("met").alias("met"), F.sum("own").alias("own")).join(totals, "split").filter(F.expr("4 * met > pages + own"))
+    candidates = able.groupBy("split").agg(F.collect_list("run").alias("runs"))
+    inside = written(held.join(written(candidates, "html-candidates"), "split").select("split", "shard", "rows", "again", "runs").mapInArrow(slim(lambda x: report(x, True)), kind), "html-inside")
+    inner = inside.groupBy("split", "run").agg(F.sum("met").alias("met")).join(totals, "split").filter((F.col("met") >= PAGES) & (2 * F.col("met") > F.col("pages"))).select("split", "run")
+    found = counts.filter("outside").join(outer, ["split", "run"]).select("shard", F.lit(True).alias("outside"), "run").unionByName(inside.join(inner, ["split", "run"]).select("shard", F.lit(False).alias("outside"), "run"))
+    told = found.groupBy("shard").agg(*(F.collect_list(F.when(F.col("outside") == x, F.col("run"))).alias(name) for name, x in (("outer", True), ("inner", False))))
+    return written(told, "html-found"), totals
 
 
 def html_text(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """pages without `page`, with text, n_chars, and the numbers of blocks removed.
+    """pages without `page`, with text, n_chars, and the numbers of blocks that runs remove and that only markup does.
 
-    Rows are dealt by ranges of (host, hash of the url), so a host of any size
-    spreads over tasks, and rows of a host lie together.
+    Pages are shuffled once, parsed and compressed. Of hosts with many shards
+    run hashes and counts are shuffled, pre-aggregated; no group is larger than
+    a shard's runs.
     """
     made = ("text", "n_chars", "removed_repeated", "removed_markup")
     stay = [c for c in pages.columns if c not in (*made, page)]
-    host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)), F.lit(""))
+    shards = _shards(pages, stay, url, page)
+    told, totals = _split_runs(shards)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hosts = b.column("_host").to_pylist()
-            htmls = b.column(page).to_pylist()
-            start = size = 0
-            found: list[list] = [[], [], []]
-            for i in range(b.num_rows + 1):
-                if i == b.num_rows or hosts[i] != hosts[start] or size > 6 * TOKENS:
-                    if i > start:
-                        for column, x in zip(found, main_text(htmls[start:i]), strict=True):
-                            column += x
-                    start, size = i, 0
-                if i < b.num_rows:
-                    size += len(htmls[i] or "")
-            texts, runs, markup = found
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in stay), pa.array(texts, pa.string()), *(pa.array(x, pa.int64()) for x in ([len(t) for t in texts], runs, markup))], names=[*stay, *made])
-
-    laid = pages.withColumn("_host", host).withColumn("_at", F.xxhash64(url)).repartitionByRange("_host", "_at").sortWithinPartitions("_host", "_at")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*stay).schema), "text string, n_chars bigint, removed_repeated bigint, removed_markup bigint"])
-    return laid.select(*stay, page, "_host").mapInArrow(run, schema)
+            for i in range(b.num_rows):
+                rows, held, streams = _opened(b, i)
+                if b.column("split")[i].is_valid:
+                    h = held.run_hashes()
+                    outer, inner = (np.array(b.column(c)[i].as_py() or [], np.int64) for c in ("outer", "inner"))
+                    repeated = np.where(held.outer, np.isin(h, outer), np.isin(h, inner))
+                    texts, runs, markup = held.judged(repeated, np.full(len(streams), b.column("pages")[i].as_py() >= PAGES))
+                else:
+                    texts, runs, markup = held.judged(*boilerplate(held, streams))
+                yield pa.RecordBatch.from_arrays([*rows.flatten()[0].flatten(), pa.array(texts, pa.string()), *(pa.array(x, pa.int64()) for x in ([len(t) for t in texts], runs, markup))], names=[*stay, *made])
+
+    schema = T.StructType([*(pages.schema[c] for c in stay), T.StructField("text", T.StringType()), *(T.StructField(c, T.LongType()) for c in made[1:])])
+    return shards.join(told, "shard", "left").join(totals, "split", "left").select("shard", "split", "rows", "outer", "inner", "pages").mapInArrow(slim(run), schema)
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
