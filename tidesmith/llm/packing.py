@@ -4,13 +4,16 @@ Texts become token ids and an end id; longer ones are cut into full pieces and
 a rest. The plan is made on the histogram of piece lengths alone, which has a
 bounded number of bins whatever the corpus holds: the configuration linear
 program (how often to use each way of filling a sequence) is solved by
-multiplicative weights, where a knapsack over the lengths' prices finds the
-next configuration; weights are rounded down to whole uses, and what remains is
-packed by best-fit decreasing on the same histogram. Each piece then finds its
-place by its rank among the pieces of its length.
+multiplicative weights, where a knapsack over the prices of classes of lengths
+finds the next configuration; weights are rounded to whole uses that take real
+lengths of their classes, the last place going to what fits best. The program
+is solved again on what remains, and the few last pieces go by best fit. Each
+piece then finds its place by its rank among the pieces of its length.
 
-Null and empty texts are the end id alone. An empty table gives an empty one.
-Repeated rows are packed one by one; extra columns play no part.
+Null and empty texts are the end id alone. Texts of any length are read whole.
+An empty table gives an empty one. Repeated rows are packed one by one; pieces
+of equal length, ties, take their places in the order of tasks and rows. Extra
+columns play no part.
 """
 
 from __future__ import annotations
@@ -55,103 +58,190 @@ def pieces(docs: DataFrame, key: str, text: str, size: int, end_id: int, path: s
     return docs.select(key, text).mapInArrow(slim(run), f"`{key}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, part int, nth bigint")
 
 
-def _best_filling(size: int, lengths: np.ndarray, prices: np.ndarray) -> dict[int, int]:
-    """Knapsack with repetition: the numbers of each length whose prices sum highest within `size`."""
-    order = np.argsort(lengths)
-    s, p = lengths[order], prices[order]
-    value, taken = np.zeros(size + 1), np.full(size + 1, -1)
-    upto = np.searchsorted(s, np.arange(size + 1), "right")
-    for w in range(1, size + 1):
-        value[w] = value[w - 1]
-        if k := upto[w]:
-            gain = value[w - s[:k]] + p[:k]
-            j = int(gain.argmax())
-            if gain[j] > value[w]:
-                value[w], taken[w] = gain[j], j
+def _best_filling(size: int, lengths: np.ndarray, most: np.ndarray, prices: np.ndarray) -> tuple[tuple[int, int], ...]:
+    """Bounded knapsack: (place in `lengths`, number) of what to take, at most `most` of each, so that prices sum highest within `size`."""
+    value = np.zeros(size + 1)
+    steps: list[tuple[int, int, np.ndarray]] = []
+    for i in range(len(lengths)):
+        n, left, part = int(lengths[i]), int(most[i]), 1
+        while left > 0:  # 1, 2, 4, ... and the rest make every number up to `most`
+            k = min(part, left)
+            if k * n <= size:
+                other = value[: size + 1 - k * n] + k * prices[i]
+                better = other > value[k * n :]
+                steps.append((i, k, better))
+                value[k * n :][better] = other[better]
+            left, part = left - k, 2 * part
     found: Counter[int] = Counter()
-    w = size
-    while w > 0:
-        if taken[w] < 0:
-            w -= 1
-        else:
-            found[int(s[taken[w]])] += 1
-            w -= int(s[taken[w]])
-    return found
-
-
-def plan(histogram: dict[int, int], size: int, rounds: int = 150, rate: float = 0.5) -> list[Use]:
-    """Configurations with their numbers of uses, which hold each length exactly as often as the histogram has it."""
-    left = {n: c for n, c in histogram.items() if c > 0}
+    room = size
+    for i, k, better in reversed(steps):
+        if room >= lengths[i] * k and better[room - lengths[i] * k]:
+            found[i] += k
+            room -= int(lengths[i]) * k
+    return tuple(sorted(found.items(), reverse=True))
+
+
+def plan(histogram: dict[int, int], size: int, classes: int = 96, rounds: int = 120, told: dict[str, int] | None = None) -> list[Use]:
+    """Fillings with their numbers of uses, which hold each length exactly as often as the histogram has it.
+
+    Lengths are put into at most `classes` classes of about equal mass, so that
+    each is wanted often and a configuration can be used often. The program is
+    solved on the classes, its weights are rounded to whole uses, and each use
+    takes real lengths of its classes; what room their differences leave goes to
+    the lengths that fit best. So again on what is left, while columns place
+    much of it; best fit alone places the few last pieces. `told` gets the
+    tokens that best fit places at the end ("rest"), and of the others, before
+    any of them are packed anew, those that the columns' classes hold
+    ("columns") and those put into their room ("room").
+    """
+    stock = _Stock({n: c for n, c in histogram.items() if c > 0})
     uses: list[Use] = []
-    if size in left:
-        uses.append((left.pop(size), ((size, 1),)))
-    lengths = np.array(sorted(left))
-    if len(lengths):
-        demand = np.array([left[int(n)] for n in lengths], float)
-        bound = float((lengths * demand).sum() / size)
-        weight, chosen = np.ones(len(lengths)), Counter()
-        spot = {int(n): i for i, n in enumerate(lengths)}
-        for _ in range(rounds):
-            filling = _best_filling(size, lengths, weight / weight.sum() / demand)
-            chosen[tuple(sorted(filling.items(), reverse=True))] += 1
-            cover = np.zeros(len(lengths))
-            for n, c in filling.items():
-                cover[spot[n]] = c / demand[spot[n]]
-            weight *= np.exp(-rate * cover / max(cover.max(), 1e-12))
-        for filling, times in chosen.most_common():
-            times = min(int(bound * times / rounds), *(left[n] // c for n, c in filling))
-            if times > 0:
-                uses.append((times, filling))
-                for n, c in filling:
-                    left[n] -= c * times
-    uses += _best_fit({n: c for n, c in left.items() if c}, size)
+    if size in stock.left:
+        uses.append((stock.left[size], ((size, 1),)))
+        stock.take(uses[-1])
+    told = {} if told is None else told
+    told.update(columns=0, room=0, rest=0)
+    while stock.known:
+        before, columns = stock.tokens(), _solved(stock.left, size, classes, rounds)
+        for times, column in columns:
+            while times > 0 and stock.known:
+                filling, own = stock.filled(size, column)
+                use = (min(times, *(stock.left[n] // c for n, c in filling.items())), tuple(sorted(filling.items(), reverse=True)))
+                if not own or sum(n * c for n, c in filling.items()) < min(size - size // 64, stock.tokens()):
+                    break  # its classes are used up
+                uses.append(use)
+                stock.take(use)
+                times -= use[0]
+                told["columns"] += use[0] * own
+                told["room"] += use[0] * (sum(n * c for n, c in filling.items()) - own)
+        if before - stock.tokens() < before / 20:
+            break
+    # the last pieces; while they need more sequences than all lengths sum to, those with the most room left, an eighth at most, are packed anew with them
+    whole = [u for u in uses if u[1] == ((size, 1),)]
+    loose = sorted((u for u in uses if u[1] != ((size, 1),)), key=lambda u: sum(n * c for n, c in u[1]))
+    demand = -(-sum(n * c for n, c in histogram.items()) // size)
+    number, start = sum(t for t, _ in uses), 0
+    step = max(1, number // 64)
+    while True:
+        told["rest"] = stock.tokens()
+        last = _last(_Stock(dict(stock.left)), size)
+        if number + sum(t for t, _ in last) <= demand or start >= 8 * step or not loose:
+            return whole + loose + last
+        back = 0
+        while loose and back < step:
+            times, filling = loose.pop(0)
+            give = min(times, step - back)
+            stock.give((give, filling))
+            back, number = back + give, number - give
+            if times > give:
+                loose.insert(0, (times - give, filling))
+        start += step
+
+
+def _last(stock: _Stock, size: int) -> list[Use]:
+    """Best-fit decreasing, whole runs of equal fillings at a time."""
+    uses = []
+    while stock.known:
+        filling, _ = stock.filled(size, ())
+        uses.append((min(stock.left[n] // c for n, c in filling.items()), tuple(sorted(filling.items(), reverse=True))))
+        stock.take(uses[-1])
     return uses
 
 
-def _best_fit(left: dict[int, int], size: int) -> list[Use]:
-    """Best-fit decreasing, whole runs of equal fillings at a time; the last two of a filling are the pair that fits best."""
-    known, uses = sorted(left), []
+def _solved(left: dict[int, int], size: int, classes: int, rounds: int, rate: float = 0.5) -> list[tuple[int, tuple[tuple[int, int, int], ...]]]:
+    """Columns as (uses, ((shortest, longest, number), ...)) by classes of lengths: multiplicative weights on the classes' demands, priced by the knapsack, rounded by largest fraction."""
+    lengths = np.array(sorted(left))
+    count = np.array([left[int(n)] for n in lengths], float)
+    mass = np.cumsum(lengths * count)
+    of = np.minimum((mass - lengths * count / 2) * classes / mass[-1], classes - 1).astype(int) if len(lengths) > classes else np.arange(len(lengths))
+    of = np.unique(of, return_inverse=True)[1]
+    demand = np.bincount(of, count)
+    low, high = (f.reduceat(lengths, np.flatnonzero(np.diff(of, prepend=-1))) for f in (np.minimum, np.maximum))
+    mean = np.ceil(np.bincount(of, count * lengths) / demand).astype(np.int64)
+    bound = float(mass[-1] / size)
+    most = np.minimum(size // mean, demand.astype(np.int64))
+    weight, chosen = mean * demand, Counter()
+    for _ in range(rounds):
+        filling = _best_filling(size, mean, most, weight / weight.sum() / demand)
+        chosen[filling] += 1
+        cover = np.zeros(len(mean))
+        for k, c in filling:
+            cover[k] = c / demand[k]
+        weight = weight * np.exp(-rate * cover / max(cover.max(), 1e-12))
+    share = {filling: bound * times / rounds for filling, times in chosen.items()}
+    uses = {filling: int(x) for filling, x in share.items()}
+    for filling in sorted(share, key=lambda f: (uses[f] - share[f], f))[: max(0, round(bound) - sum(uses.values()))]:
+        uses[filling] += 1
+    return [(uses[f], tuple((int(low[k]), int(high[k]), c) for k, c in f)) for f in sorted(uses, key=lambda f: (-share[f], f)) if uses[f]]
 
-    def largest(most: int) -> int:
-        i = bisect.bisect_right(known, most)
-        return known[i - 1] if i else 0
 
-    while known:
-        filling: Counter[int] = Counter()
-        room = size
-        while room > 0:
-            n = largest(room)
-            if n and filling[n] >= left[n]:  # all of that length are in: look below
-                i = bisect.bisect_left(known, n)
-                n = next((m for m in reversed(known[:i]) if filling[m] < left[m]), 0)
-            if not n:
-                break
-            if filling and room > n:  # does some pair fit the room better than the largest one does?
-                best, gap = (n,), room - n - _next_fit(largest, left, filling, room - n)
-                for first in known[bisect.bisect_right(known, room) - 1 :: -1][:64]:
-                    second = largest(room - first)
-                    if second and filling[first] < left[first] and filling[second] + (first == second) < left[second] and room - first - second < gap:
-                        best, gap = (first, second), room - first - second
-                        if not gap:
-                            break
-                for m in best:
-                    filling[m] += 1
-                    room -= m
-                continue
-            filling[n] += 1
-            room -= n
-        times = min(left[n] // c for n, c in filling.items())
-        uses.append((times, tuple(sorted(filling.items(), reverse=True))))
-        for n, c in filling.items():
-            left[n] -= c * times
-            if not left[n]:
-                known.pop(bisect.bisect_left(known, n))
-    return uses
+class _Stock:
+    """The pieces that are left, by length."""
+
+    def __init__(self, left: dict[int, int]):
+        self.left, self.known = left, sorted(left)
+        self.total = sum(n * c for n, c in left.items())
 
+    def tokens(self) -> int:
+        return self.total
 
-def _next_fit(largest, left: dict[int, int], filling: Counter, room: int) -> int:
-    n = largest(room)
-    return n if n and filling[n] < left[n] else 0
+    def take(self, use: Use) -> None:
+        times, filling = use
+        for n, c in filling:
+            self.total -= n * c * times
+            self.left[n] -= c * times
+            if not self.left[n]:
+                del self.left[n]
+                self.known.pop(bisect.bisect_left(self.known, n))
+
+    def give(self, use: Use) -> None:
+        times, filling = use
+        for n, c in filling:
+            self.total += n * c * times
+            if n not in self.left:
+                self.left[n] = 0
+                bisect.insort(self.known, n)
+            self.left[n] += c * times
+
+    def largest(self, most: int, least: int, filling: Counter) -> int:
+        """The largest length from `least` to `most` of which `filling` has not all; 0 if there is none."""
+        for i in range(bisect.bisect_right(self.known, most) - 1, -1, -1):
+            n = self.known[i]
+            if n < least:
+                break
+            if filling[n] < self.left[n]:
+                return n
+        return 0
+
+    def filled(self, size: int, column: tuple[tuple[int, int, int], ...]) -> tuple[Counter, int]:
+        """One filling by a column, and the tokens of the column's classes in it. The last place, and what room is left, go to the piece or pair that fits best."""
+        filling: Counter[int] = Counter()
+        room, own = size, 0
+        places = [(low, high) for low, high, c in column for _ in range(c)]
+        for low, high in places[:-1]:
+            if n := self.largest(min(high, room), low, filling):
+                filling[n] += 1
+                room, own = room - n, own + n
+        while room > 0 and (n := self.largest(room, 1, filling)):
+            best = (n,)
+            if n < room and filling:
+                gap = room - n
+                for first in reversed(self.known[: bisect.bisect_right(self.known, room)]):
+                    if 2 * first < room - gap:  # two such are shorter than what is found
+                        break
+                    if filling[first] < self.left[first]:
+                        filling[first] += 1
+                        second = self.largest(room - first, 1, filling)
+                        filling[first] -= 1
+                        if second and room - first - second < gap:
+                            best, gap = (first, second), room - first - second
+                            if not gap:
+                                break
+            for n in best:
+                filling[n] += 1
+                room -= n
+                own += n if any(low <= n <= high for low, high in places) else 0
+        return +filling, own
 
 
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4096, end_id: int = 1, path: str | None = None) -> DataFrame:
