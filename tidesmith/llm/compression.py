@@ -1,21 +1,24 @@
 """Quality classifier by compression.
 
-Excerpts of good and of bad labelled texts become two zstandard dictionaries.
-A text is compressed in blocks with each. The difference of the two sizes over
-their sum says which dictionary explains the text; its size by itself, without
-a dictionary, over its bytes says how much it repeats itself. A logistic curve,
-fitted on labelled texts that the dictionaries do not hold, turns these into
-the score: the calibrated probability of label 1.
+Whole texts labelled good and whole texts labelled bad become two zstandard
+dictionaries. A text is compressed with each, block by block. The difference of
+the two sizes over the text's own size, one number, says which dictionary
+explains the text, and how much of it: a text that explains itself by repeating
+itself needs neither. A logistic curve of that number, fitted on labelled texts that the
+dictionaries do not hold, is the score: the calibrated probability of label 1.
 
 Rows are drawn at another rate for each label; weights give them the shares that
 the labels have among all labelled rows, so a score does not depend on how many
 rows the input has.
 
-Null and empty texts have no size to compare and get the share of label 1 among
-all labelled rows. Long texts are compressed whole, block by block. With labels
-of one kind only, or none, every score is that share (0.5 without any). Rows
-are judged one by one, so repeated rows are judged alike; extra columns are
-untouched, but for result names, which are replaced.
+Null and empty texts have nothing to compress and no quality: their score is 0.
+Long texts are compressed whole, block by block. An id with several labels, or
+a text, counts as bad if any of its labels is. Of equal draws, ties, the
+smaller text comes first. With labels of one kind only, or none, or too few to
+fit a curve, the score of every text with a character is the share of label 1
+(0.5 without labels). An empty table gives an empty one. Rows are judged one by
+one, so repeated rows are judged alike; extra columns are untouched, but for
+result names, which are replaced.
 """
 
 from __future__ import annotations
@@ -28,63 +31,59 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, rows_by_batch, slim, table, written
+from pyspark.sql import Window
+from pyspark.sql import types as T
 
-BLOCK = 4096
+from .common import crc_mod, named, rows_by_batch, slim, table, written
+
+#: Bytes of a text that are compressed at once: short blocks lean on the dictionary.
+BLOCK = 512
 
 
 @dataclass
 class Model:
     good: bytes
     bad: bytes
-    weights: np.ndarray
-    centre: np.ndarray
-    spread: np.ndarray
     share: float
-    level: int = 3
+    slope: float = 0.0
+    start: float = 0.0
+    centre: float = 0.0
+    spread: float = 1.0
+    level: int = 9
 
     def compressors(self):
+        """Those of the good and of the bad dictionary."""
         import zstandard as zs
 
         params = zs.ZstdCompressionParameters.from_level(self.level, write_content_size=0, write_checksum=0, write_dict_id=0)
-        with_dictionary = [zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(d, dict_type=zs.DICT_TYPE_RAWCONTENT), compression_params=params) for d in (self.good, self.bad)]
-        return [*with_dictionary, zs.ZstdCompressor(compression_params=params)]
-
-    def shaped(self, features: np.ndarray) -> np.ndarray:
-        """Features in spreads from the median, at most 3: a copy of what a dictionary holds must not bend the curve."""
-        return terms(np.clip((features - self.centre) / self.spread, -3, 3))
-
-    def score(self, features: np.ndarray, empty: np.ndarray) -> np.ndarray:
-        if not len(self.weights):
-            return np.full(len(features), self.share)
-        z = self.shaped(features) @ self.weights
-        return np.where(empty, self.share, 1 / (1 + np.exp(-np.clip(z, -30, 30))))
-
+        return [zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(d, dict_type=zs.DICT_TYPE_RAWCONTENT), compression_params=params) for d in (self.good, self.bad)]
 
-def terms(x: np.ndarray) -> np.ndarray:
-    """1, the features, their squares and products."""
-    cross = [x[:, i] * x[:, j] for i in range(x.shape[1]) for j in range(i, x.shape[1])]
-    return np.column_stack([np.ones(len(x)), x, *cross])
+    def score(self, difference: np.ndarray, empty: np.ndarray) -> np.ndarray:
+        if not self.spread:  # nothing was fitted
+            return np.where(empty, 0.0, self.share)
+        # at most 4 spreads from the median: a copy of what a dictionary holds is no more certain than that
+        z = self.start + self.slope * np.clip((difference - self.centre) / self.spread, -4, 4)
+        return np.where(empty, 0.0, 1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
 def measure(texts: list[str | None], compressors) -> tuple[np.ndarray, np.ndarray]:
-    """Features of each text, and which texts are empty."""
-    out, empty = np.zeros((len(texts), 3)), np.zeros(len(texts), bool)
-    good, bad, alone = compressors
+    """The normalised difference of the compressed sizes of each text, (bad - good) / bytes, and which texts are empty."""
+    out, empty = np.zeros(len(texts)), np.zeros(len(texts), bool)
+    good, bad = (c.compress for c in compressors)
     for i, t in enumerate(texts):
         data = (t or "").encode("utf-8", "surrogatepass")
         if not data:
             empty[i] = True
             continue
-        g = b = own = 0
+        g = b = 0
         for at in range(0, len(data), BLOCK):
             block = data[at : at + BLOCK]
-            g, b, own = g + len(good.compress(block)), b + len(bad.compress(block)), own + len(alone.compress(block))
-        out[i] = (b - g) / (b + g), np.log(own / len(data)), np.log1p(min(len(data), BLOCK))
+            g, b = g + len(good(block)), b + len(bad(block))
+        out[i] = (b - g) / len(data)
     return out, empty
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, steps: int = 60) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -96,63 +95,51 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return w
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "quality", rows: int = 4000, excerpt: int = 600, dictionary: int = 500_000, level: int = 3, whole: dict[int, int] | None = None) -> Model:
-    """A model from at most about `rows` labelled rows of each label, chosen by a hash of the text.
+def fit(labelled: DataFrame, text: str = "text", label: str = "quality", rows: int = 4000, dictionary: int = 2_000_000, level: int = 9, whole: dict[int, int] | None = None) -> Model:
+    """A model from a sample of labelled rows: at most about `rows` of each label, drawn by a hash of the text.
 
-    Their excerpts of `excerpt` characters make the dictionaries (`dictionary`
-    bytes each). The curve is fitted crosswise: each half, by another bit of the
-    hash, is measured with dictionaries of the other. `whole` has the rows of each
-    label that `labelled` was drawn from, if it is itself a sample; the curve is
-    fitted to their shares.
+    Three quarters of the drawn texts, by another hash, may become dictionary:
+    whole texts in the order of their draw, as many as `dictionary` bytes hold.
+    One label may have more bytes than the other; the curve allows for it. It is
+    fitted on the last quarter. `whole` has the rows of each label that `labelled` was
+    drawn from, if it is itself a sample; the curve is fitted to their shares.
     """
-    known = labelled.filter(F.col(text).isNotNull() & F.col(label).isin(0, 1)).select(F.col(text).alias("text"), F.col(label).cast("int").alias("y"))
+    known = labelled.filter((F.length(named(text)) > 0) & named(label).isin(0, 1)).groupBy(named(text).alias("text")).agg(F.min(named(label)).cast("int").alias("y"))
+    draw = F.pmod(F.xxhash64("text", F.lit(29)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    known = written(known.withColumn("draw", draw).withColumn("bytes", F.octet_length("text")).withColumn("part", F.pmod(F.xxhash64("text", F.lit(31)), F.lit(4))), "labelled")
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     whole = whole or counts
     total = sum(whole.values())
-    share = whole.get(1, 0) / total if total else 0.5
+    model = Model(b"", b"", whole.get(1, 0) / total if total else 0.5, spread=0.0, level=level)
     if len(counts) < 2:
-        return Model(b"", b"", np.empty(0), np.zeros(3), np.ones(3), share, level)
-    draw = F.pmod(F.xxhash64("text", F.lit(29)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+        return model
     rates = {y: min(1.0, rows / n) for y, n in counts.items()}
-    wanted = F.when(F.col("y") == 1, rates[1]).otherwise(rates[0])
-    drawn = known.filter(draw < wanted).dropDuplicates(["text"]).withColumn("half", F.pmod(F.xxhash64("text", F.lit(31)), F.lit(2)))
-    # the start, the middle and the end of a text, not its whole, go to the driver for the dictionaries
-    cut = F.concat(*(F.substring("text", 1 + k * F.greatest(F.length("text") - excerpt // 3, F.lit(0)) / 2, excerpt // 3) for k in (F.lit(0), F.lit(1), F.lit(2))))
-    short = F.when(F.length("text") <= excerpt, F.col("text")).otherwise(cut)
-    excerpts = sorted((r["half"], r["t"], r["y"]) for r in drawn.select("half", short.alias("t"), "y").collect())
-    order = np.random.default_rng(5).permutation(len(excerpts))
-
-    def dictionaries(halves: tuple[int, ...]) -> Model:
-        parts: dict[int, list[bytes]] = {0: [], 1: []}
-        for i in order:
-            half, t, y = excerpts[i]
-            if half in halves:
-                parts[y].append(t.encode("utf-8", "surrogatepass"))
-        size = min(dictionary, *(sum(map(len, p)) for p in parts.values()))  # equal sizes: neither wins by holding more
-        good, bad = (b"".join(parts[y])[:size] for y in (1, 0))
-        return Model(good, bad, np.empty(0), np.zeros(3), np.ones(3), share, level)
-
-    def features(half: int) -> DataFrame:
-        """Features of one half by dictionaries of the other."""
-        other = dictionaries((1 - half,))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            compressors = other.compressors()
-            for b in batches:
-                x, _ = measure(b.column("text").to_pylist(), compressors)
-                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), b.column("y")], names=["a", "b", "c", "y"])
-
-        return drawn.filter(F.col("half") == half).select("text", "y").mapInArrow(slim(run), "a double, b double, c double, y int")
-
-    model = dictionaries((0, 1))
-    found = sorted(tuple(r) for r in features(0).unionByName(features(1)).collect())
-    if len({r[-1] for r in found}) == 2:
-        x, y = np.array([r[:3] for r in found]), np.array([r[3] for r in found], float)
-        low, model.centre, high = np.quantile(x, (0.1, 0.5, 0.9), axis=0)
-        model.spread = np.maximum((high - low) / 2.56, 1e-6)
+    drawn = known.filter(F.col("draw") < F.when(F.col("y") == 1, rates[1]).otherwise(rates[0]))
+    # the running bytes of at most `rows` drawn rows of a label; texts stay where they are until it is known which fit
+    upto = F.sum("bytes").over(Window.partitionBy("y").orderBy("draw", "text").rowsBetween(Window.unboundedPreceding, 0))
+    running = written(drawn.filter("part > 0").select("y", "text", "draw", "bytes").withColumn("upto", upto).filter(F.col("upto") <= dictionary), "dictionary")
+    sizes = {r["y"]: r["n"] for r in running.groupBy("y").agg(F.max("upto").alias("n")).collect()}
+    if len(sizes) < 2:
+        return model
+    texts = running.select("y", "draw", "text").collect()
+    parts = {y: b"\n".join(r["text"].encode("utf-8", "surrogatepass") for r in sorted(texts, key=lambda r: (-r["draw"], r["text"])) if r["y"] == y) for y in (0, 1)}
+    model.good, model.bad = parts[1], parts[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compressors = model.compressors()
+        for b in batches:
+            x, _ = measure(b.column("text").to_pylist(), compressors)
+            yield pa.RecordBatch.from_arrays([pa.array(x), b.column("y")], names=["x", "y"])
+
+    found = sorted(tuple(r) for r in drawn.filter("part = 0").select("text", "y").mapInArrow(slim(run), "x double, y int").collect())
+    if len({y for _, y in found}) == 2:
+        x, y = np.array([r[0] for r in found]), np.array([r[1] for r in found], float)
+        low, model.centre, high = (float(q) for q in np.quantile(x, (0.1, 0.5, 0.9)))
+        model.spread = max((high - low) / 2.56, 1e-6)
         # the rows of its label that a drawn one stands for
         stands = np.where(y == 1, *(whole[k] / (counts[k] * rates[k]) for k in (1, 0)))
-        model.weights = _logistic(model.shaped(x), y, stands / stands.mean())
+        z = np.clip((x - model.centre) / model.spread, -4, 4)
+        model.start, model.slope = (float(w) for w in _logistic(np.column_stack([np.ones(len(z)), z]), y, stands / stands.mean()))
     return model
 
 
@@ -161,14 +148,12 @@ def compression_score(docs: DataFrame, model: Model, text: str = "text", thresho
     stay = [c for c in docs.columns if c not in ("score", "predicted")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compressors = model.compressors() if len(model.weights) else None
+        compressors = model.compressors()
         for b in rows_by_batch(batches, column=text):
-            x, empty = measure(b.column(text).to_pylist(), compressors) if compressors else (np.zeros((b.num_rows, 3)), np.zeros(b.num_rows, bool))
-            s = model.score(x, empty)
+            s = model.score(*measure(b.column(text).to_pylist(), compressors))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in stay), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=[*stay, "score", "predicted"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*stay).schema), "score double", "predicted int"])
-    return docs.mapInArrow(slim(run), schema)
+    return docs.mapInArrow(slim(run), T.StructType([*(docs.schema[c] for c in stay), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
 def held_out() -> Column:
@@ -178,17 +163,17 @@ def held_out() -> Column:
 def learn(docs: DataFrame, labels: DataFrame, rows: int = 4000) -> Model:
     """A model from documents outside the held-out part.
 
-    About `rows` labels of each kind are drawn by a hash of the id, at most
-    4 * rows in all, before they meet the documents, so that texts stay where
-    they are. The drawn texts are written once. The model's probabilities are
-    those of all the labels.
+    About `rows` labels of each kind are drawn by a hash of the id before they
+    meet the documents, so that texts stay where they are. The model's
+    probabilities are those of all the labels.
     """
-    mine = labels.filter(~held_out() & F.col("quality").isin(0, 1)).select("doc_id", "quality")
+    mine = labels.filter(~held_out() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     counts = {r["quality"]: r["n"] for r in mine.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     draw = F.pmod(F.xxhash64("doc_id", F.lit(37)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     wanted = F.when(F.col("quality") == 1, min(1.0, rows / counts.get(1, 1))).otherwise(min(1.0, rows / counts.get(0, 1)))
-    drawn = mine.filter(draw < wanted).dropDuplicates(["doc_id"]).limit(4 * rows)
-    return fit(written(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id"), "labelled"), rows=rows, whole=counts)
+    # written: about 2 * rows small rows, which Spark then sees and brings to the texts
+    drawn = written(mine.filter(draw < wanted), "drawn")
+    return fit(docs.select("doc_id", "text").join(drawn, "doc_id"), rows=rows, whole=counts)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
