@@ -2,8 +2,9 @@
 
 Fixed patterns find emails, IP addresses, card numbers and phone numbers. These
 are the seeds. Each occurrence, and each other token that looks like an
-identifier (an @, or five digits at least), has lexical patterns: the two words
-before it, the word before it, the word after it. In the graph of patterns and
+identifier (an @, or five digits at least; or groups of digits, seven in all at
+least, with single spaces, hyphens or brackets between), has lexical patterns:
+the two words before it, the word before it, the word after it. In the graph of patterns and
 instances (distinct strings) confidence goes to and fro: a pattern is worth to a
 kind the share of that kind in the confidence of its instances, where those of
 no known kind count in part, and few instances count for less; an instance's
@@ -12,22 +13,24 @@ tokens that confident patterns vouch for are spans too. Fixed spans always
 stay, and found ones never overlap a fixed one.
 
 Null and empty texts have no spans. Offsets are code points, ends exclusive.
-Texts are read whole. Repeated rows are judged alike. An empty table gives an
-empty one. Extra columns are untouched, but for result names, which are
-replaced.
+Texts are read whole, in linear time. Repeated rows are judged alike; an
+instance with equal confidence for two kinds, a tie, is of the first one listed.
+An empty table gives an empty one. Extra columns of any name are untouched.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import slim, table, written
+from .common import named, slim, table, written
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -37,7 +40,8 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-TOKEN = re.compile(r"[^\s]*(?:@|[0-9](?:[^\s0-9]{0,3}[0-9]){4})[^\s]*")
+IDENTIFIER = re.compile(r"@|[0-9](?:[^\s0-9]{0,3}[0-9]){4}")
+GROUPS = re.compile(r"(?<![0-9])[(]?[0-9]++(?:[)]?[\x20-][(]?[0-9]++|[)][(]?[0-9]++)++")
 WORD = re.compile(r"\S+")
 #: Rounds, distinct seeds that a pattern needs, worth that a pattern needs, confidence that a found span needs.
 ROUNDS, SUPPORT, WORTH, CONFIDENT = 3, 8, 0.8, 0.85
@@ -74,7 +78,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     found = [(0, a, b) for a, b in emails(text)] if "@" in text else []
     if not DIGIT.search(text):
         return found
-    found += [(1, *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    found += [(1, *m.span()) for m in IP.finditer(text) if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m[0].split(".")))]
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if 16 <= len(digits) <= 19 and luhn(digits):
@@ -83,58 +87,78 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def _short(word: str) -> str:
+    """The word itself, or a hash of a long one."""
+    return word if len(word) <= 64 else f"#{xxhash.xxh64_hexdigest(word.encode())}"
+
+
 def _cue(word: str) -> str:
-    return word.strip(".,;:!?\"'()[]<>").lower()
+    return _short(word.strip(".,;:!?\"'()[]<>").lower())
 
 
 def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, list[str]]]:
     """(kind or -1, start, end, instance, patterns) of the seeds and of other tokens like identifiers."""
-    out = []
-    taken = sorted((a, b) for _, a, b in spans)
+    if not (DIGIT.search(text) or "@" in text):
+        return []
+    words = [m.span() for m in WORD.finditer(text)]
+    near = [m.span() for m in GROUPS.finditer(text) if 7 <= sum(c.isdigit() for c in m[0]) <= 19]
     found = list(spans)
-    if DIGIT.search(text) or "@" in text:
-        k = 0
-        for m in TOKEN.finditer(text):
-            a, b = m.span()
-            while a < b and not (text[a].isalnum() or text[a] == "+"):
+    taken = sorted((a, b) for _, a, b in spans)
+    for other in (near, words):  # a token is none if it meets a group of digits that is one
+        k, more = 0, []
+        for a, b in other:
+            if other is words and not IDENTIFIER.search(text, a, b):
+                continue
+            while a < b and not (text[a].isalnum() or text[a] in "+("):
                 a += 1
             while b > a and not text[b - 1].isalnum():
                 b -= 1
             while k < len(taken) and taken[k][1] <= a:
                 k += 1
             if a < b and not (k < len(taken) and taken[k][0] < b):
-                found.append((-1, a, b))
+                more.append((a, b))
+        found += [(-1, a, b) for a, b in more]
+        taken = sorted(taken + more)
+    begins = [a for a, _ in words]
+    out = []
     for kind, a, b in found:
-        before = WORD.findall(text[max(0, a - 80) : a])[-2:]
-        after = WORD.match(text, b + 1) if b + 1 < len(text) and text[b : b + 1].isspace() else None
+        at = bisect_right(begins, a) - 1  # the word in which it begins
+        before = [text[x:y] for x, y in words[max(0, at - 2) : max(at, 0)]]
         left = [_cue(w) for w in before if not DIGIT.search(w)]
         cues = [f"<{left[-1]}"] if left and left[-1] else []
         if len(left) == 2 and all(left):
             cues.append(f"<{left[0]} {left[1]}")
-        if after and not DIGIT.search(after[0]) and _cue(after[0][:80]):
-            cues.append(f">{_cue(after[0][:80])}")
-        surface = text[a:b]
-        out.append((kind, a, b, surface.lower() if "@" in surface else re.sub(r"[^0-9a-z]", "", surface.lower()), cues))
+        at = bisect_right(begins, b)  # the first word after its last one
+        if b < len(text) and text[b].isspace() and at < len(words):
+            after = text[slice(*words[at])]
+            if not DIGIT.search(after) and _cue(after):
+                cues.append(f">{_cue(after)}")
+        surface = text[a:b].lower()
+        out.append((kind, a, b, _short(surface if "@" in surface else re.sub(r"[^0-9a-z]", "", surface)), cues))
     return out
 
 
+SPANS = T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in ("kind", "start", "end")]))
+MENTIONS = T.ArrayType(T.StructType([*SPANS.elementType.fields, T.StructField("instance", T.StringType()), T.StructField("cues", T.ArrayType(T.StringType()))]))
+
+
 def _scan(docs: DataFrame, key: str, text: str) -> DataFrame:
-    kind = docs.schema[key].dataType.simpleString()
+    """(key, text_hash, base, mentions)"""
     span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
     mention = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), ("cues", pa.list_(pa.string()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, spans, found = [], [], []
-            for t in b.column(text):
+            spans, found = [], []
+            for t in b.column("text"):
                 t = t.as_py() or ""
                 base = base_spans(t)
-                rows.append(xxhash.xxh64_intdigest(t.encode()) - (1 << 63))
                 spans.append([{"kind": k, "start": s, "end": e} for k, s, e in base])
                 found.append([{"kind": k, "start": s, "end": e, "instance": i, "cues": c} for k, s, e, i, c in mentions(t, base)])
-            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(rows, pa.int64()), pa.array(spans, span), pa.array(found, mention)], names=[key, "text_hash", "base", "mentions"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("text_hash"), pa.array(spans, span), pa.array(found, mention)], names=["key", "text_hash", "base", "mentions"])
 
-    return docs.select(key, text).mapInArrow(slim(run), f"`{key}` {kind}, text_hash bigint, base array<struct<kind int, start int, end int>>, mentions array<struct<kind int, start int, end int, instance string, cues array<string>>>")
+    rows = docs.select(named(key).alias("key"), F.xxhash64(named(text)).alias("text_hash"), named(text).alias("text"))
+    return rows.mapInArrow(slim(run), T.StructType([*rows.schema.fields[:2], T.StructField("base", SPANS), T.StructField("mentions", MENTIONS)]))
 
 
 def bootstrap(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, worth: float = WORTH) -> DataFrame:
@@ -156,14 +180,14 @@ def bootstrap(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, wo
 
 
 def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", confident: float = CONFIDENT) -> DataFrame:
-    """(key, text_hash, base, found): the fixed spans and those that the bootstrapped patterns add."""
+    """(key, text_hash, base, found): the fixed spans and those that the bootstrapped patterns add; text_hash is Spark's xxhash64 of the text."""
     seen = written(_scan(docs, key, text), "pii-mentions")
-    each = seen.select(key, "text_hash", F.explode("mentions").alias("m")).select(key, "text_hash", "m.*")
+    each = seen.select("key", "text_hash", F.explode("mentions").alias("m")).select("key", "text_hash", "m.*")
     edges = each.select(F.explode("cues").alias("cue"), "instance", "kind").distinct()
     new = bootstrap(edges).filter(F.col("confidence") >= confident).select("instance", F.col("kind").alias("as"))
-    added = each.filter("kind < 0").join(new, "instance").groupBy(F.col(key).alias("k2"), F.col("text_hash").alias("h2")).agg(F.sort_array(F.collect_set(F.struct(F.col("as").cast("int").alias("kind"), "start", "end"))).alias("found"))
-    none = F.array().cast("array<struct<kind int, start int, end int>>")
-    return seen.join(added, seen[key].eqNullSafe(F.col("k2")) & (F.col("text_hash") == F.col("h2")), "left").select(key, "text_hash", "base", F.coalesce("found", none).alias("found"))
+    added = each.filter("kind < 0").join(new, "instance").groupBy(F.col("key").alias("k2"), F.col("text_hash").alias("h2")).agg(F.sort_array(F.collect_set(F.struct(F.col("as").cast("int").alias("kind"), "start", "end"))).alias("found"))
+    none = F.array().cast(SPANS)
+    return seen.join(added, F.col("key").eqNullSafe(F.col("k2")) & (F.col("text_hash") == F.col("h2")), "left").select("key", "text_hash", "base", F.coalesce("found", none).alias("found"))
 
 
 def span_text(spans: Column) -> Column:
@@ -178,39 +202,37 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     from a written table, so that Spark knows its size and leaves the texts in
     place if it is small.
     """
-    added = find_pii(docs, key, text).filter(F.size("found") > 0).groupBy(F.col(key).alias("k3")).agg(F.collect_list(F.struct("text_hash", "found")).alias("added"))
-    joined = docs.join(written(added, "pii-found"), docs[key].eqNullSafe(F.col("k3")), "left").drop("k3")
+    added = find_pii(docs, key, text).filter(F.size("found") > 0).select(F.col("key").alias("k2"), F.col("text_hash").alias("h2"), "found").dropDuplicates(["k2", "h2"])
+    rows = docs.select(F.struct(*(named(c) for c in docs.columns)).alias("row"), named(key).alias("k1"), F.xxhash64(named(text)).alias("h1"))
+    joined = rows.join(written(added, "pii-found"), F.col("k1").eqNullSafe(F.col("k2")) & (F.col("h1") == F.col("h2")), "left").select("row", "found")
     names = docs.columns
+    at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for t, more in zip(b.column(text), b.column("added").to_pylist(), strict=True):
+            columns, out = b.column("row").flatten(), []
+            for t, more in zip(columns[at], b.column("found"), strict=True):
                 t = t.as_py()
                 if t:
-                    spans = {(s, e, k) for k, s, e in base_spans(t)}
-                    if more:
-                        own = xxhash.xxh64_intdigest(t.encode()) - (1 << 63)
-                        spans |= {(s["start"], s["end"], s["kind"]) for m in more if m["text_hash"] == own for s in m["found"]}
+                    spans = {(s, e, k) for k, s, e in base_spans(t)} | {(s["start"], s["end"], s["kind"]) for s in more.as_py() or ()}
                     if spans:
-                        parts, at = [], 0
+                        parts, end = [], 0
                         for a, e, k in sorted(spans):
-                            if a >= at:
-                                parts += [t[at:a], f"<{KINDS[k].upper()}>"]
-                            at = max(at, e)
-                        t = "".join([*parts, t[at:]])
+                            if a >= end:
+                                parts += [t[end:a], f"<{KINDS[k].upper()}>"]
+                            end = max(end, e)
+                        t = "".join([*parts, t[end:]])
                 out.append(t)
-            done = pa.array(out, pa.string())
-            columns = {c: b.column(c) for c in names} | {text: done}
-            if "n_chars" in columns:
-                columns["n_chars"] = pa.array([None if t is None else len(t) for t in out], pa.int64())
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
+            columns[at] = pa.array(out, pa.string())
+            if "n_chars" in names:
+                columns[names.index("n_chars")] = pa.array([None if t is None else len(t) for t in out], pa.int64())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = ", ".join(f"`{f.name}` {'bigint' if f.name == 'n_chars' else f.dataType.simpleString()}" for f in docs.schema)
-    return joined.select(*names, "added").mapInArrow(slim(run), schema)
+    return joined.mapInArrow(slim(run), T.StructType([T.StructField(f.name, T.LongType() if f.name == "n_chars" else f.dataType) for f in docs.schema]))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = (F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(KINDS))
-    return found.select("doc_id", *counts, F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.concat("base", "found")).alias("spans"))
+    # not lambda s, k=k: a second parameter is the place in the array
+    counts = (F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{name}") for kind, name in enumerate(KINDS))
+    return found.select(F.col("key").alias("doc_id"), *counts, F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.concat("base", "found")).alias("spans"))

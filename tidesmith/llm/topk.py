@@ -5,13 +5,16 @@ shard keeps its components term by term, with the largest and smallest value of
 each. For a query, a term's score bound follows from those. The terms whose
 bounds alone cannot lift a row to the k-th best score so far are non-essential:
 the others are traversed for all rows, then the non-essential ones are probed,
-largest bound first, only for rows that can still compete. The shards' best
-rows are merged by query.
+only for rows that can still compete. A few rows of each shard are scored whole
+to have a floor from the start. The shards' best rows are merged by query.
 
 Vectors that are null or hold null or non-finite components take no part.
 Vectors meet only those of equal length. A row never finds rows of its own id;
 ties go to the smaller id. Rows that repeat an id are found each; of queries
-that do, one is asked. An empty table gives an empty one.
+that do, the least vector is asked. Components are whole numbers of 64 bits and
+scores are exact; what is larger is cut to the largest there is. Vectors of any
+length are taken whole. An empty table gives an empty one; extra columns play
+no part.
 """
 
 from __future__ import annotations
@@ -23,26 +26,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import named, table
 
-SHARD_ROWS, CHUNK = 16_384, 4096
+#: Rows of a shard, rows that share bounds, and rows whose products seed the floor.
+SHARD_ROWS, CHUNK, SEED = 16_384, 1024, 32
+#: Terms that are traversed or probed at once.
+STEP = 8
 
 
 class Shard:
-    """ids and term-major components of rows of equal length."""
+    """ids and term-major components of rows of equal length.
+
+    Terms are kept in one order, those that vary most first, so that a query's
+    essential terms are a prefix and its product with them is one matrix product.
+    """
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.terms = ids[order], np.ascontiguousarray(rows[order].T)
-        self.parts = []
-        for a in range(0, len(ids), CHUNK):
-            x = self.terms[:, a : a + CHUNK]
-            self.parts.append((a, x, x.max(axis=1, initial=np.iinfo(np.int64).min), x.min(axis=1, initial=np.iinfo(np.int64).max)))
+        self.ids, terms = ids[order], rows[order].T
+        spread = terms.max(axis=1, initial=0).astype(float) - terms.min(axis=1, initial=0)
+        self.by = np.argsort(-spread, kind="stable")
+        self.terms = np.ascontiguousarray(terms[self.by])
+        self.largest = float(np.abs(rows.astype(float)).max(initial=0))
+        self.products = 0  # multiplications so far
+
+    def _parts(self, kind) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        x = self.terms.astype(kind)
+        cuts = [0, *range(min(SEED, len(self.ids)), len(self.ids), CHUNK), len(self.ids)]
+        return [(a, x[:, a:z], x[:, a:z].max(axis=1), x[:, a:z].min(axis=1)) for a, z in zip(cuts[:-1], cuts[1:], strict=True) if z > a]
 
     def best(self, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(scores, ids) of the k best rows, ties to the smaller id."""
-        scores, ids = np.empty(0, np.int64), np.empty(0, np.int64)
-        for a, x, high, low in self.parts:
+        # doubles are exact while sums stay below 2^53; beyond, Python's whole numbers are
+        exact = len(q) * self.largest * float(np.abs(q.astype(float)).max(initial=0)) < 2.0**53
+        kind = np.float64 if exact else object
+        if getattr(self, "_kind", None) is not kind:
+            self._kind, self._held = kind, self._parts(kind)
+        q = q[self.by].astype(kind)
+        scores, ids = np.empty(0, kind), np.empty(0, np.int64)
+        for a, x, high, low in self._held:
             floor = scores[-1] if len(scores) == k else None
             s, at = self._traverse(q, x, np.maximum(q * high, q * low), floor)
             found = self.ids[a + at]
@@ -50,41 +72,44 @@ class Shard:
             scores, ids = np.concatenate([scores, s[keep]]), np.concatenate([ids, found[keep]])
             order = np.lexsort((ids, -scores))[:k]
             scores, ids = scores[order], ids[order]
-        return scores, ids
+        limit = np.iinfo(np.int64)
+        return (scores.astype(np.int64) if exact else np.array([min(max(x, limit.min), limit.max) for x in scores], np.int64)), ids
 
-    @staticmethod
-    def _traverse(q: np.ndarray, x: np.ndarray, bound: np.ndarray, floor: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Scores and places of the rows of one part that can reach `floor`."""
+    def _traverse(self, q: np.ndarray, x: np.ndarray, bound: np.ndarray, floor) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and places of the rows of one part that can reach `floor` (all without one)."""
         n = x.shape[1]
-        if floor is None:
-            return q @ x if len(q) else np.zeros(n, np.int64), np.arange(n)
-        by = np.argsort(-np.abs(q))  # heavy terms first: they separate rows
-        rest = np.concatenate((np.cumsum(bound[by][::-1])[::-1], [0]))  # what the terms from here on can add
-        essential = max(1, int((rest > floor).sum())) if len(by) else 0
-        total = q[by[:essential]] @ x[by[:essential]] if essential else np.zeros(n, np.int64)
-        alive = np.flatnonzero(total + rest[essential] >= floor)
-        total = total[alive]
-        for i in range(essential, len(by)):
-            if not len(alive):
-                break
-            total = total + q[by[i]] * x[by[i], alive]
-            if i % 4 == 3 or i + 1 == len(by):
-                keep = total + rest[i + 1] >= floor
+        if not len(q):
+            return np.zeros(n, q.dtype), np.arange(n)
+        rest = np.concatenate((np.cumsum(bound[::-1])[::-1], np.zeros(1, q.dtype)))  # what the terms from here on can add
+        if floor is not None and rest[0] < floor:
+            return rest[:0], np.arange(0)  # no row of this part competes
+        essential = len(q) if floor is None else max(1, int((rest > floor).sum()))
+        # essential terms for all rows: some at once, then only for rows that still compete
+        total, alive, done = np.zeros(n, q.dtype), np.arange(n), 0
+        while done < len(q) and len(alive):
+            upto = len(q) if floor is None else min(done + STEP, len(q))
+            if done < essential < upto:
+                upto = essential
+            self.products += (upto - done) * len(alive)
+            part = x[done:upto] if len(alive) == n else x[done:upto, alive]
+            total, done = total + q[done:upto] @ part, upto
+            if floor is not None:
+                keep = total + rest[done] >= floor
                 alive, total = alive[keep], total[keep]
         return total, alive
 
 
 def _vectors(df: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
     """(id, v, d): whole-number components, valid vectors only."""
-    x = F.col(vector)
+    x = named(vector)
     valid = x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")))
-    return df.filter(F.col(key).isNotNull()).filter(valid).select(F.col(key).cast("bigint").alias("id"), F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c.cast("double")).cast("bigint")).alias("v"), F.size(x).alias("d"))
+    return df.filter(named(key).isNotNull()).filter(valid).select(named(key).cast("bigint").alias("id"), F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c.cast("double")).cast("bigint")).alias("v"), F.size(x).alias("d"))
 
 
 def max_score_search(data: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", scale: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of `data` with the highest inner products for each query."""
     shards = max(1, -(-data.count() // SHARD_ROWS))
-    rows, asked = _vectors(data, key, vector, scale), _vectors(queries, key, vector, scale).dropDuplicates(["id"])
+    rows, asked = _vectors(data, key, vector, scale), _vectors(queries, key, vector, scale).groupBy("id").agg(F.min("v").alias("v")).withColumn("d", F.size("v"))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(shards)).cast("int")).withColumn("side", F.lit(0))
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("side", F.lit(1))
 
