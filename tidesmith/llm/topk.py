@@ -37,16 +37,13 @@ STEP = 8
 class Shard:
     """ids and term-major components of rows of equal length.
 
-    Terms are kept in one order, those that vary most first, so that a query's
-    essential terms are a prefix and its product with them is one matrix product.
+    A query takes its terms in the order of what they can add, so that those it
+    starts with separate rows, and the rest is soon too small to matter.
     """
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, terms = ids[order], rows[order].T
-        spread = terms.max(axis=1, initial=0).astype(float) - terms.min(axis=1, initial=0)
-        self.by = np.argsort(-spread, kind="stable")
-        self.terms = np.ascontiguousarray(terms[self.by])
+        self.ids, self.terms = ids[order], np.ascontiguousarray(rows[order].T)
         self.largest = float(np.abs(rows.astype(float)).max(initial=0))
         self.products = 0  # multiplications so far
 
@@ -62,11 +59,12 @@ class Shard:
         kind = np.float64 if exact else object
         if getattr(self, "_kind", None) is not kind:
             self._kind, self._held = kind, self._parts(kind)
-        q = q[self.by].astype(kind)
+        q = q.astype(kind)
+        by = np.argsort(-np.abs(q.astype(float)), kind="stable")
         scores, ids = np.empty(0, kind), np.empty(0, np.int64)
         for a, x, high, low in self._held:
             floor = scores[-1] if len(scores) == k else None
-            s, at = self._traverse(q, x, np.maximum(q * high, q * low), floor)
+            s, at = self._traverse(q, by, x, np.maximum(q * high, q * low), floor)
             found = self.ids[a + at]
             keep = found != own
             scores, ids = np.concatenate([scores, s[keep]]), np.concatenate([ids, found[keep]])
@@ -75,12 +73,12 @@ class Shard:
         limit = np.iinfo(np.int64)
         return (scores.astype(np.int64) if exact else np.array([min(max(x, limit.min), limit.max) for x in scores], np.int64)), ids
 
-    def _traverse(self, q: np.ndarray, x: np.ndarray, bound: np.ndarray, floor) -> tuple[np.ndarray, np.ndarray]:
+    def _traverse(self, q: np.ndarray, by: np.ndarray, x: np.ndarray, bound: np.ndarray, floor) -> tuple[np.ndarray, np.ndarray]:
         """Scores and places of the rows of one part that can reach `floor` (all without one)."""
         n = x.shape[1]
         if not len(q):
             return np.zeros(n, q.dtype), np.arange(n)
-        rest = np.concatenate((np.cumsum(bound[::-1])[::-1], np.zeros(1, q.dtype)))  # what the terms from here on can add
+        rest = np.concatenate((np.cumsum(bound[by][::-1])[::-1], np.zeros(1, q.dtype)))  # what the terms from here on can add
         if floor is not None and rest[0] < floor:
             return rest[:0], np.arange(0)  # no row of this part competes
         essential = len(q) if floor is None else max(1, int((rest > floor).sum()))
@@ -91,8 +89,9 @@ class Shard:
             if done < essential < upto:
                 upto = essential
             self.products += (upto - done) * len(alive)
-            part = x[done:upto] if len(alive) == n else x[done:upto, alive]
-            total, done = total + q[done:upto] @ part, upto
+            terms = by[done:upto]
+            part = x[terms] if len(alive) == n else x[np.ix_(terms, alive)]
+            total, done = total + q[terms] @ part, upto
             if floor is not None:
                 keep = total + rest[done] >= floor
                 alive, total = alive[keep], total[keep]
