@@ -68,12 +68,25 @@ def test_join_takes_odd_rows(clashing, texts):
     assert nj.ngram_jaccard_join(clashing.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("bits", [1 << 23, 1 << 5])
-def test_join_without_room_in_its_bitmap(spark, monkeypatch, bits):
-    monkeypatch.setattr(nj, "BITS", bits)
-    rows = near_copies(9, 60)
-    out = nj.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute_components(rows)
+def test_join_of_ids_with_several_texts(spark):
+    words = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    a, b = words("a"), words("b")
+    rows = [(1, a), (1, b), (2, b + " x"), (3, a + " y"), (4, words("c")), (9, words("d")), (5, words("d")), (9, words("e")), (7, words("e") + " z")]
+    out = nj.ngram_jaccard_join(spark.createDataFrame(rows * 2, "doc_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in out} == {(1, 1), (2, 1), (3, 1), (4, 4), (9, 5), (5, 5), (7, 5)} and len(out) == 18
+
+
+def test_join_of_a_hot_token(spark, monkeypatch):
+    """Thousands of texts that share their rarest shingles in groups, and one shingle all; stars in pieces."""
+    monkeypatch.setattr(nj, "STAR", 3)
+    rnd = random.Random(11)
+    rows = []
+    for g in range(300):
+        base = [f"g{g}w{i}" for i in range(40)]
+        for _ in range(8):
+            rows.append((len(rows), " ".join(["all", "texts", "begin", "so", *base, f"n{rnd.randrange(10**9)}"])))
+    out = {r["doc_id"]: r["component_id"] for r in nj.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert out == {i: i // 8 * 8 for i in range(len(rows))}
 
 
 def test_tree_prunes_and_finds_every_component():

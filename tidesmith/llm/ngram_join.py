@@ -1,8 +1,11 @@
 """Similarity join of documents on the Jaccard index of their word shingles.
 
-Equal shingle sets are one class from the start. Classes that can link share
-enough of the first shingles in a common order (frequent ones last), so only
-those meet. What meets is joined with signature trees: the leaves are classes
+Equal shingle sets are one class from the start, named by a hash of the set.
+Classes that can link share enough of the first shingles in a common order
+(frequent ones last), so only those meet. Classes on a short list of a shingle
+meet in pairs, gathered as stars of bounded size; long lists are cut into sides
+of bounded size by a hash and the number of shingles, and two sides meet if
+their size ranges can match. What meets is joined with signature trees: the leaves are classes
 sorted by size, an inner node holds the OR of its children's token bitmaps and
 their range of sizes, and two trees are traversed together, leaving out every
 pair of nodes whose largest possible overlap is too small, or whose members
@@ -11,8 +14,10 @@ its block share, so at the leaves the overlap is exact.
 
 A document is empty without words: 0 shingles, its own component. One of fewer
 words than the width has its whole sequence as the only shingle. Rows with a
-null id are returned with a null component. Rows that repeat an id share its
-component. An empty table gives an empty one; extra columns play no part.
+null id are returned with a null component. Rows that repeat an id, with equal
+or other texts, share one component. Texts of any length are read whole. Ties do
+not occur: the smallest id names a component. An empty table gives an empty one;
+extra columns play no part.
 """
 
 from __future__ import annotations
@@ -21,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import rows_by_batch, slim, table, written
+from .common import named, rows_by_batch, slim, table, written
 from .components import components
 from .wordscan import Scan, mix
 
@@ -34,8 +39,8 @@ SHARED = 8
 LIST = 128
 #: A block's side: classes, and shingles in all.
 SIDE, SIDE_TOKENS = 1024, 1_000_000
-#: Bits of the bitmap that tells which documents' sets are needed.
-BITS = 1 << 23
+#: Members of one star, apart from its head.
+STAR = 256
 
 
 def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
@@ -134,8 +139,16 @@ def frequent_tokens(docs: DataFrame, key: str, text: str, width: int, one_in: in
     return np.array([r["token"] for r in top.collect()][::-1], np.int64).view(np.uint64)
 
 
+def class_of(s: np.ndarray) -> np.uint64:
+    """The name of a set of shingles: a hash of two fingerprints and its size."""
+    if not len(s):
+        return np.uint64(0)
+    f1, f2 = np.bitwise_xor.reduce(mix(s ^ np.uint64(1))), np.add.reduce(mix(s ^ np.uint64(2)))
+    return mix(mix(np.array([f1]) ^ np.uint64(len(s))) ^ f2)[0]
+
+
 def signatures(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """key, n, fingerprint of the set (f1, f2), and the first shingles in the common order."""
+    """key, n, class, and the first shingles in the common order."""
     frequent = frequent_tokens(docs, key, text, width)
     by_value = np.argsort(frequent)
     kind = docs.schema[key].dataType.simpleString()
@@ -145,22 +158,18 @@ def signatures(docs: DataFrame, key: str, text: str, width: int, percent: int) -
         for b in rows_by_batch(batches, column=text):
             sets = Scan(b.column(text), lower=True).shingle_sets(width)
             n = np.array([len(s) for s in sets], np.int64)
-            first, f1, f2 = [], np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
-            for i, s in enumerate(sets):
-                if not len(s):
-                    first.append(s.view(np.int64))
-                    continue
-                f1[i], f2[i] = np.bitwise_xor.reduce(mix(s ^ np.uint64(1))), np.add.reduce(mix(s ^ np.uint64(2)))
+            first, cls = [], np.array([class_of(s) for s in sets], np.uint64)
+            for s in sets:
                 need = -(-percent * len(s) // 100)
                 keep = len(s) - need + min(SHARED, need)
-                if len(known):
+                if len(known) and len(s):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     rank = np.where(known[at] == s, by_value[at] + 1, 0)
                     s = s[np.lexsort((s, rank))] if rank.any() else s
                 first.append(s[:keep].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(first, pa.list_(pa.int64()))], names=[key, "n", "f1", "f2", "first"])
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(n), pa.array(cls.view(np.int64)), pa.array(first, pa.list_(pa.int64()))], names=[key, "n", "class", "first"])
 
-    return docs.select(key, text).mapInArrow(slim(run), f"`{key}` {kind}, n bigint, f1 bigint, f2 bigint, first array<bigint>")
+    return docs.select(key, text).mapInArrow(slim(run), f"`{key}` {kind}, n bigint, class bigint, first array<bigint>")
 
 
 def _meet(postings: DataFrame, percent: int) -> DataFrame:
@@ -231,34 +240,26 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def _membership(ids: DataFrame) -> np.ndarray | None:
-    """A bitmap of BITS bits with those of the ids' hashes set; None if it is too full to tell anything.
+def _sets(docs: DataFrame, needed: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """(id, tokens): the shingle sets of the needed classes, as bytes, from the documents in `needed` (class, rep); a class may have several equal rows.
 
-    Its size is fixed, and a wrong yes only costs a set that no join asks for.
+    Spark joins by its own choice: while the needed ids are few, the texts stay where they are.
     """
-    at = F.pmod(F.xxhash64("id", F.lit(41)), F.lit(BITS))
-    words = ids.select(at.alias("at")).groupBy(F.expr("at div 32").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 32 as int)))").alias("bits")).toArrow()
-    out = np.zeros(BITS // 32, np.uint32)
-    out[words["word"].to_numpy()] = words["bits"].to_numpy()
-    return out if int(np.bitwise_count(out).sum()) < BITS // 4 else None
-
-
-def _sets(docs: DataFrame, ids: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(id, tokens): the shingle sets of the documents in `ids` at least, as bytes. Texts are not shuffled, unless the ids are too many for a bitmap."""
-    marks = _membership(ids)
-    rows = docs.select(F.col(key).alias("id"), text, F.pmod(F.xxhash64(key, F.lit(41)), F.lit(BITS)).alias("at"))
-    rows = rows.filter(F.col("id").isNotNull()) if marks is not None else rows.join(ids, "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for b in rows_by_batch(batches, column=text):
-            if marks is not None:
-                at = b.column("at").to_numpy(zero_copy_only=False)
-                b = b.filter(pa.array((marks[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)))
-                if not b.num_rows:
-                    continue
-            sets = Scan(b.column(text), lower=True).shingle_sets(width)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "tokens"])
-
+            wanted = b.column("class").to_pylist()
+            ids, out = [], []
+            for s, c in zip(Scan(b.column(text), lower=True).shingle_sets(width), wanted, strict=True):
+                own = int(class_of(s).view(np.int64))
+                if own == c and own not in done:  # a row of that id with another text is not of the class
+                    done.add(own)
+                    ids.append(own)
+                    out.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["id", "tokens"])
+
+    rows = docs.join(needed.withColumnRenamed("rep", key), key).select(text, "class")
     return rows.mapInArrow(slim(run), "id bigint, tokens binary")
 
 
@@ -294,45 +295,58 @@ def _linked(blocks: DataFrame, percent: int, stars: bool) -> DataFrame:
 
 def ngram_jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
     """key, n_shingles, component_id: documents link when 100 * intersection >= percent * union of their shingle sets."""
-    docs = docs.select(F.col(key).cast("bigint").alias(key), text)
-    sig = written(signatures(docs, key, text, width, percent), "signatures")
-    full = sig.filter((F.col("n") > 0) & F.col(key).isNotNull())
-    classes = full.groupBy("f1", "f2", "n").agg(F.min(key).alias("rep"))
-    members = full.join(classes, ["f1", "f2", "n"])
-    postings = members.filter(F.col(key) == F.col("rep")).dropDuplicates([key]).select(F.explode("first").alias("token"), F.col("rep").alias("id"), "n")
+    docs = docs.select(named(key).cast("bigint").alias("key"), named(text).alias("text"))
+    sig = written(signatures(docs, "key", "text", width, percent), "signatures")
+    full = sig.filter((F.col("n") > 0) & F.col("key").isNotNull())
+    classes = written(full.groupBy("class").agg(F.min("key").alias("rep")), "classes")
+    # one row of each class has its first shingles on
+    postings = full.join(classes, "class").filter("key = rep").dropDuplicates(["class"]).select(F.explode("first").alias("token"), F.col("class").alias("id"), "n")
     met = written(_meet(postings.repartition("token").sortWithinPartitions("token", "id"), percent), "met")
 
-    # short lists: pairs that share enough prefix shingles; each meets as part of the star of its smaller id
+    # short lists: pairs that share enough prefix shingles; each meets in a star of its smaller id
     need = F.least(F.lit(SHARED), F.ceil(F.greatest("na", "nb") * percent / F.lit(100)))
     pairs = written(met.filter("shared is not null").groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared")).filter(F.col("shared") >= need).select("a", "b"), "pairs")
-    # long lists: blocks of two sides of bounded size, for every two sides whose sizes can match
-    listed = met.filter("shared is null").select(F.col("a").alias("token"), F.col("b").alias("id"), F.col("na").alias("n"))
-    sides = written(listed.withColumn("at", _places("token", "n", "id")).withColumn("side", _side()).select("token", "id", "n", "side"), "sides")
-    spans = sides.groupBy("token", "side").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    two = spans.alias("x").join(spans.select("token", F.col("side").alias("other"), F.col("low").alias("low2"), F.col("high").alias("high2")).alias("y"), "token").filter((F.col("side") <= F.col("other")) & (100 * F.col("high") >= percent * F.col("low2")))
-    two = two.select("token", "side", "other", F.xxhash64("token", "side", "other").alias("block"))
-    parts = two.select("token", "side", "block").unionByName(two.filter("side <> other").select("token", F.col("other").alias("side"), "block"))
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("parts"))
+    members = pairs.join(parts, "a").select(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))).alias("block"), "a", "b")
+    # long lists: blocks of two sides, for every two sides whose sizes can match
+    sides, blocks = _sides(met, percent)
 
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(sides.select("id")).distinct()
-    sets = written(_sets(docs, ids, key, text, width), "sets")
-    heads = pairs.select(F.col("a").alias("block"), F.lit(0).alias("side"), F.col("a").alias("id")).distinct()
-    stars = heads.unionByName(pairs.select(F.col("a").alias("block"), F.lit(1).alias("side"), F.col("b").alias("id"))).join(sets, "id")
-    blocks = sides.join(parts, ["token", "side"]).select("block", "side", "id").join(sets, "id")
-    links = [_linked(x.repartition("block").sortWithinPartitions("block", "side", "id").select("block", "side", "id", "tokens"), percent, s) for x, s in ((stars, True), (blocks, False))]
-    roots = components(links[0].unionByName(links[1]))
-    return sig.join(classes, ["f1", "f2", "n"], "left").join(roots.withColumnRenamed("u", "rep"), "rep", "left").select(
-        key, F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col(key).isNotNull(), F.coalesce("root", "rep")).otherwise(F.col(key)).alias("component_id")
-    )
-
-
-def _places(*by: str) -> Column:
-    """Row number and running number of shingles within a list, which cut it into sides of bounded size."""
-    w = Window.partitionBy(by[0]).orderBy(*by[1:])
-    return F.struct(F.row_number().over(w).alias("row"), F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("tokens"))
-
-
-def _side() -> Column:
-    return F.floor((F.col("at.row") - 1) / SIDE + F.col("at.tokens") / SIDE_TOKENS).cast("bigint")
+    needed = written(ids.join(classes.withColumnRenamed("class", "id"), "id").select(F.col("id").alias("class"), "rep"), "needed")
+    sets = written(_sets(docs, needed, "key", "text", width), "sets")
+    stars = members.select("block", F.lit(0).alias("side"), F.col("a").alias("id")).distinct().unionByName(members.select("block", F.lit(1).alias("side"), F.col("b").alias("id"))).join(sets, "id")
+    links = [_linked(x.repartition("block").sortWithinPartitions("block", "side", "id").select("block", "side", "id", "tokens"), percent, s) for x, s in ((stars, True), (blocks.join(sets, "id"), False))]
+    # rows that repeat an id join the classes of their texts
+    several = full.groupBy("key").agg(F.min("class").alias("u"), F.max("class").alias("last")).filter("u <> last").select("key", "u")
+    same = full.join(written(several, "several"), "key").select("u", F.col("class").alias("v")).filter("u <> v").distinct()
+    roots = written(components(links[0].unionByName(links[1]).unionByName(same)), "roots")
+    joined = classes.join(roots.withColumnRenamed("u", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    # only components of several classes look for another one's smallest id
+    low = joined.join(roots.select("root").distinct(), "root").groupBy("root").agg(F.min("rep").alias("low"))
+    named_by = joined.join(low, "root", "left").select("class", F.coalesce("low", "rep").alias("component_id"))
+    found = sig.join(named_by, "class", "left")
+    return found.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("key").isNotNull(), F.col("component_id")).otherwise(F.col("key")).alias("component_id"))
+
+
+def _sides(met: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of long lists: sides (token, band, part, id), and blocks (block, side, id) of one side or two that can match.
+
+    Bands of sizes are as wide as two sizes that can match are apart, so only
+    equal and neighbouring bands meet; a hash cuts a band into parts.
+    """
+    listed = met.filter("shared is null").select(F.col("a").alias("token"), F.col("b").alias("id"), F.col("na").alias("n"))
+    listed = listed.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))))
+    size = listed.groupBy("token", "band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / SIDE), F.ceil(F.sum("n") / SIDE_TOKENS)).alias("parts"))
+    sides = written(listed.join(size, ["token", "band"]).select("token", "id", "n", "band", F.pmod(F.xxhash64("id", "token"), F.col("parts")).alias("part")), "sides")
+    spans = written(sides.groupBy("token", "band", "part").agg(F.min("n").alias("low"), F.max("n").alias("high")), "spans")
+    other = spans.select("token", *(F.col(c).alias(c + "2") for c in ("band", "part", "low", "high")))
+    # rounding may set a size in the band beside its own, so bands up to two apart are tried
+    near = spans.withColumn("band2", F.explode(F.array(*(F.col("band") + k for k in range(3))))).join(other, ["token", "band2"])
+    near = near.filter((F.col("band") < F.col("band2")) | (F.col("part") <= F.col("part2"))).filter(100 * F.least("high", "high2") >= percent * F.greatest("low", "low2"))
+    two = near.select("token", "band", "part", "band2", "part2", F.xxhash64("token", "band", "part", "band2", "part2").alias("block"))
+    one = two.select("token", "band", "part", "block", F.lit(0).alias("side"))
+    rest = two.filter("band <> band2 OR part <> part2").select("token", F.col("band2").alias("band"), F.col("part2").alias("part"), "block", F.lit(1).alias("side"))
+    return sides, sides.join(one.unionByName(rest), ["token", "band", "part"]).select("block", "side", "id")
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
