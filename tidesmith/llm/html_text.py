@@ -7,8 +7,9 @@ concatenated and a suffix array finds the runs of RUN tokens that distinct
 pages repeat; rows with equal token streams are one page. Outside an article a
 run that PAGES pages of the host have is boilerplate, inside one only a run that
 more than half of the host's pages have, since articles may share passages and
-must keep them. A block goes if such runs cover most of it; what is outside goes
-too if its markup says so; the unique runs stay. A page whose own text (its
+must keep them. A block goes if its markup says so; of the others, those go that
+such runs cover mostly; the unique runs stay. What markup drops anyway takes no
+part in the arrays. A page whose own text (its
 article, or all that markup leaves of it if none is marked) is covered by COPY
 at least is a copy of others and keeps that text. On a host of fewer than PAGES
 pages nothing can repeat and the mark alone decides.
@@ -75,8 +76,8 @@ def _away(attributes: str) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, within an article, dropped by its markup) of the blocks of a page."""
+def blocks(page: str, markup: bool = True) -> list[tuple[str, bool, bool]]:
+    """(text, within an article, dropped by its markup) of the blocks of a page; without `markup` no block is either."""
     out: list[tuple[str, bool, bool]] = []
     parts: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # name, begins an article, begins what is dropped
@@ -88,7 +89,7 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
             text = SPACES.sub(" ", html.unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                out.append((text, inside > 0, dropped > 0))
+                out.append((text, markup and inside > 0, markup and dropped > 0))
 
     def pop() -> str:
         nonlocal inside, dropped
@@ -142,11 +143,11 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
     return out
 
 
-def packed_blocks(page: str | None) -> bytes:
+def packed_blocks(page: str | None, markup: bool = True) -> bytes:
     """The blocks of a page, compressed: a digit for each (1: within an article, 2: dropped), then a line for each."""
     import zstandard as zs
 
-    found = blocks(page) if page else []
+    found = blocks(page, markup) if page else []
     if not found:
         return b""
     flags = "".join(str(inside + 2 * dropped) for _, inside, dropped in found)
@@ -172,41 +173,38 @@ def suffix_array(tokens: np.ndarray, upto: int) -> tuple[np.ndarray, list[np.nda
 
 
 class Pages:
-    """The token streams of some pages, one after another, each with a border of its own so that no run crosses it."""
-
-    def __init__(self, hosts: np.ndarray, blobs: list[bytes], run: int = RUN):
-        import zstandard as zs
+    """The token streams of some pages, without what markup drops, one after another, each with a border of its own so that no run crosses it."""
 
+    def __init__(self, hosts: np.ndarray, pages: list[bytes], run: int = RUN):
         self.run, self.hosts = run, hosts
-        opened = zs.ZstdDecompressor()
         self.flags, self.texts, sizes, tokens = [], [], [], []
         waiting: list[str] = []
         weight = 0
-        for k, blob in enumerate(blobs):
-            flags, *texts = opened.decompress(blob).decode().split("\n") if blob else ("",)
-            self.flags.append(np.array([int(c) for c in flags], np.int8))
+        for k, page in enumerate(pages):
+            flags, *texts = page.decode().split("\n")
+            self.flags.append(np.frombuffer(flags.encode(), np.uint8).astype(np.int8) - 48)
             self.texts.append(texts)
-            sizes.append(np.array([t.count(" ") + 1 for t in texts], np.int64))
-            waiting.append("\n".join(texts))
+            sizes.append(np.array([0 if f in "23" else t.count(" ") + 1 for f, t in zip(flags, texts, strict=True)], np.int64))
+            waiting.append("\n".join(t for f, t in zip(flags, texts, strict=True) if f in "01"))
             weight += len(waiting[-1])
-            if weight > 1 << 19 or k + 1 == len(blobs):  # words are hashed some pages at a time
+            if weight > 1 << 19 or k + 1 == len(pages):  # words are hashed some pages at a time
                 tokens.append(Scan(pa.array(waiting, pa.string())).word_hash)
                 waiting, weight = [], 0
         self.of_page = np.array([s.sum() for s in sizes], np.int64)
         self.block_sizes = np.concatenate([*sizes, np.empty(0, np.int64)])
         self.block_flags = np.concatenate([*self.flags, np.empty(0, np.int8)])
-        self.block_page = np.repeat(np.arange(len(blobs)), [len(s) for s in sizes])
+        self.block_page = np.repeat(np.arange(len(pages)), [len(s) for s in sizes])
         n = int(self.of_page.sum())
         #: where each page's stream begins in the flat array, and where its tokens are
         self.starts = np.concatenate(([0], np.cumsum(self.of_page + 1)))
-        page = np.repeat(np.arange(len(blobs)), self.of_page)
+        page = np.repeat(np.arange(len(pages)), self.of_page)
         spot = np.arange(n) + page
-        self.flat = np.empty(n + len(blobs), np.uint64)
+        self.flat = np.empty(n + len(pages), np.uint64)
         self.flat[spot] = mix(np.concatenate([*tokens, np.empty(0, np.uint64)]) ^ hosts.view(np.uint64)[page])  # no run is of two hosts
-        self.flat[self.starts[1:] - 1] = mix(np.arange(len(blobs)).astype(np.uint64) ^ np.uint64(0x5851F42D4C957F2D))
+        self.flat[self.starts[1:] - 1] = mix(np.arange(len(pages)).astype(np.uint64) ^ np.uint64(0x5851F42D4C957F2D))
         self.border = np.ones(len(self.flat), bool)
         self.border[spot] = False
-        self.page = np.repeat(np.arange(len(blobs)), self.of_page + 1)
+        self.page = np.repeat(np.arange(len(pages)), self.of_page + 1)
         outside = np.zeros(len(self.flat), bool)
         outside[spot] = np.repeat(self.block_flags & 1 == 0, self.block_sizes)
         # runs that lie within a page, and those that touch what is outside an article
@@ -247,7 +245,7 @@ class Pages:
         return group, first, np.bincount(pairs // (len(streams) + 1), minlength=len(first))
 
     def judged(self, repeated: np.ndarray, told: np.ndarray) -> tuple[list[str], list[int], list[int]]:
-        """Texts, and the numbers of blocks that runs remove and that only markup does, given which runs of `at` are boilerplate and which pages' hosts can tell."""
+        """Texts, and the numbers of blocks that runs remove and that markup does, given which runs of `at` are boilerplate and which pages' hosts can tell."""
         edge = np.zeros((2, len(self.flat) + 1), np.int64)
         for kind in (0, 1):
             begin = self.at[repeated & (self.outer == kind)]
@@ -258,7 +256,7 @@ class Pages:
         total = np.concatenate((np.zeros((2, 1), np.int64), np.cumsum(covered, axis=1)), axis=1)
         ends = np.cumsum(self.block_sizes)
         met = total[:, ends] - total[:, ends - self.block_sizes]
-        most = np.where(inside, met[0], met[1]) * 2 > self.block_sizes
+        most = ~dropped & (np.where(inside, met[0], met[1]) * 2 > self.block_sizes)
         # the text that is a page's own, by its mark or without one, and how much of it goes
         n = len(self.of_page)
         marked = np.bincount(self.block_page[inside & ~dropped], minlength=n) > 0
@@ -287,19 +285,25 @@ def boilerplate(pages: Pages, streams: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return ((met >= PAGES) & (2 * met > bound))[group], total >= PAGES
 
 
-def main_text(pages: list[str | None]) -> tuple[list[str], list[int], list[int]]:
-    """Texts of all pages of one host, with the numbers of blocks that runs remove, and that only markup does."""
-    blobs = [packed_blocks(p) for p in pages]
-    held = Pages(np.zeros(len(blobs), np.int64), blobs)
-    return held.judged(*boilerplate(held, np.array([hash(b) for b in blobs], np.int64)))
+def main_text(pages: list[str | None], markup: bool = True) -> tuple[list[str], list[int], list[int]]:
+    """Texts of all pages of one host, with the numbers of blocks that runs remove, and that markup does."""
+    opened = [opened_page(packed_blocks(p, markup)) for p in pages]
+    held = Pages(np.zeros(len(opened), np.int64), opened)
+    return held.judged(*boilerplate(held, np.array([hash(b) for b in opened], np.int64)))
+
+
+def opened_page(blob: bytes) -> bytes:
+    import zstandard as zs
+
+    return zs.ZstdDecompressor().decompress(blob) if blob else b""
 
 
 def _host(url: str) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(named(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)), F.lit(""))
 
 
-def _shards(pages: DataFrame, stay: list[str], url: str, page: str) -> DataFrame:
-    """Parsed pages, as many as one suffix array takes to a row: (shard, host if it is one of many of that host, rows of (row, host, blob, stream))."""
+def _shards(pages: DataFrame, stay: list[str], url: str, page: str, markup: bool) -> DataFrame:
+    """Parsed pages, as many as one suffix array takes to a row: (shard, host if it is one of many of that host, rows of (row, host, stream), their sizes, the pages one after another, compressed)."""
     laid = pages.select(F.struct(*(named(c) for c in stay)).alias("row"), F.xxhash64(_host(url)).alias("host"), named(page).alias("page"))
     sizes = laid.groupBy("host").agg(F.sum(F.coalesce(F.length("page"), F.lit(0))).alias("size")).filter(F.col("size") > CHARS)
     many = written(sizes.select("host", F.ceil(F.col("size") / CHARS).alias("parts")), "html-hosts")
@@ -313,7 +317,7 @@ def _shards(pages: DataFrame, stay: list[str], url: str, page: str) -> DataFrame
         import xxhash
 
         for b in batches:
-            blobs = [packed_blocks(p.as_py()) for p in b.column("page")]
+            blobs = [packed_blocks(p.as_py(), markup) for p in b.column("page")]
             streams = [xxhash.xxh64_intdigest(x) - (1 << 63) for x in blobs]
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("host"), b.column("part"), pa.array(blobs, pa.binary()), pa.array(streams, pa.int64())], names=["row", "host", "part", "blob", "stream"])
 
@@ -323,10 +327,14 @@ def _shards(pages: DataFrame, stay: list[str], url: str, page: str) -> DataFrame
         size, last = 0, None
 
         def shard() -> pa.RecordBatch:
+            import zstandard as zs
+
             nonlocal made, held, size
             t = pa.Table.from_batches(held).combine_chunks()
-            rows = pa.StructArray.from_arrays([t.column(c).chunk(0) for c in ("row", "host", "blob", "stream")], names=["row", "host", "blob", "stream"])
-            out = pa.RecordBatch.from_arrays([pa.array([task + made]), pa.array([last[0] if last[1] >= 0 else None], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)], names=["shard", "split", "rows"])
+            rows = pa.StructArray.from_arrays([t.column(c).chunk(0) for c in ("row", "host", "stream")], names=["row", "host", "stream"])
+            opened = [opened_page(x.as_py()) for x in t.column("blob")]
+            data = zs.ZstdCompressor(level=3).compress(b"".join(opened))
+            out = pa.RecordBatch.from_arrays([pa.array([task + made]), pa.array([last[0] if last[1] >= 0 else None], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows), pa.array([[len(x) for x in opened]], pa.list_(pa.int64())), pa.array([data], pa.binary())], names=["shard", "split", "rows", "sizes", "data"])
             made, held, size = made + 1, [], 0
             return out
 
@@ -347,14 +355,17 @@ def _shards(pages: DataFrame, stay: list[str], url: str, page: str) -> DataFrame
             yield shard()
 
     parsed = dealt.mapInArrow(slim(parse), one).repartition("host", "part").sortWithinPartitions("host", "part")
-    inner = T.StructType([f for f in one.fields if f.name != "part"])
-    return written(parsed.mapInArrow(slim(gather), T.StructType([T.StructField("shard", T.LongType()), T.StructField("split", T.LongType()), T.StructField("rows", T.ArrayType(inner))])), "html-shards")
+    inner = T.StructType([f for f in one.fields if f.name in ("row", "host", "stream")])
+    kinds = (("shard", T.LongType()), ("split", T.LongType()), ("rows", T.ArrayType(inner)), ("sizes", T.ArrayType(T.LongType())), ("data", T.BinaryType()))
+    return written(parsed.mapInArrow(slim(gather), T.StructType([T.StructField(*k) for k in kinds])), "html-shards")
 
 
 def _opened(b: pa.RecordBatch, i: int) -> tuple[pa.StructArray, Pages, np.ndarray]:
     rows = b.column("rows")[i].values
-    _, host, blob, stream = rows.flatten()
-    return rows, Pages(host.to_numpy(zero_copy_only=False), blob.to_pylist()), stream.to_numpy(zero_copy_only=False)
+    _, host, stream = rows.flatten()
+    data = opened_page(b.column("data")[i].as_py())
+    cuts = np.concatenate(([0], np.cumsum(b.column("sizes")[i].values.to_numpy()))).tolist()
+    return rows, Pages(host.to_numpy(zero_copy_only=False), [data[a:z] for a, z in zip(cuts[:-1], cuts[1:], strict=True)]), stream.to_numpy(zero_copy_only=False)
 
 
 def _split_runs(shards: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -362,7 +373,7 @@ def _split_runs(shards: DataFrame) -> tuple[DataFrame, DataFrame]:
     split = shards.filter("split is not null")
     pairs = split.select("split", "shard", F.explode(F.array_distinct(F.transform("rows", lambda r: r["stream"]))).alias("stream"))
     owners = written(pairs.groupBy("split", "stream").agg(F.min("shard").alias("owner"), F.count(F.lit(1)).alias("n")), "html-streams")
-    totals = owners.groupBy("split").agg(F.count(F.lit(1)).alias("pages"))
+    totals = written(owners.groupBy("split").agg(F.count(F.lit(1)).alias("pages")), "html-totals")
     # a page of several rows is counted in one of its shards
     again = pairs.join(owners.filter("n > 1"), ["split", "stream"]).filter("shard <> owner").groupBy("shard").agg(F.collect_list("stream").alias("again"))
     held = split.join(written(again, "html-again"), "shard", "left")
@@ -380,20 +391,22 @@ def _split_runs(shards: DataFrame) -> tuple[DataFrame, DataFrame]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(k, b.column("split")[i].as_py())), pa.array(h[keep]), pa.array(np.full(k, b.column("shard")[i].as_py())), pa.array(outer[keep]), pa.array(met[keep].astype(np.int64)), pa.array(np.full(k, own, np.int64))], names=["split", "run", "shard", "outside", "met", "own"])
 
     kind = "split bigint, run bigint, shard bigint, outside boolean, met bigint, own bigint"
-    counts = written(held.select("split", "shard", "rows", "again").mapInArrow(slim(lambda x: report(x, False)), kind), "html-runs")
+    counts = written(held.select("split", "shard", "rows", "sizes", "data", "again").mapInArrow(slim(lambda x: report(x, False)), kind), "html-runs")
     outer = counts.filter("outside").groupBy("split", "run").agg(F.sum("met").alias("met")).filter(F.col("met") >= PAGES).select("split", "run")
     # on most pages: where no report came from at most a quarter of the pages have it
     able = counts.filter("not outside").groupBy("split", "run").agg(F.sum("met").alias("met"), F.sum("own").alias("own")).join(totals, "split").filter(F.expr("4 * met > pages + own"))
     candidates = able.groupBy("split").agg(F.collect_list("run").alias("runs"))
-    inside = written(held.join(written(candidates, "html-candidates"), "split").select("split", "shard", "rows", "again", "runs").mapInArrow(slim(lambda x: report(x, True)), kind), "html-inside")
+    inside = written(held.join(written(candidates, "html-candidates"), "split").select("split", "shard", "rows", "sizes", "data", "again", "runs").mapInArrow(slim(lambda x: report(x, True)), kind), "html-inside")
     inner = inside.groupBy("split", "run").agg(F.sum("met").alias("met")).join(totals, "split").filter((F.col("met") >= PAGES) & (2 * F.col("met") > F.col("pages"))).select("split", "run")
     found = counts.filter("outside").join(outer, ["split", "run"]).select("shard", F.lit(True).alias("outside"), "run").unionByName(inside.join(inner, ["split", "run"]).select("shard", F.lit(False).alias("outside"), "run"))
     told = found.groupBy("shard").agg(*(F.collect_list(F.when(F.col("outside") == x, F.col("run"))).alias(name) for name, x in (("outer", True), ("inner", False))))
     return written(told, "html-found"), totals
 
 
-def html_text(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """pages without `page`, with text, n_chars, and the numbers of blocks that runs remove and that only markup does.
+def html_text(pages: DataFrame, url: str = "url", page: str = "html", markup: bool = True) -> DataFrame:
+    """pages without `page`, with text, n_chars, and the numbers of blocks that runs remove and that markup does.
+
+    Without `markup` neither marks of articles nor of what is to be dropped count, and runs alone decide.
 
     Pages are shuffled once, parsed and compressed. Of hosts with many shards
     run hashes and counts are shuffled, pre-aggregated; no group is larger than
@@ -401,7 +414,7 @@ def html_text(pages: DataFrame, url: str = "url", page: str = "html") -> DataFra
     """
     made = ("text", "n_chars", "removed_repeated", "removed_markup")
     stay = [c for c in pages.columns if c not in (*made, page)]
-    shards = _shards(pages, stay, url, page)
+    shards = _shards(pages, stay, url, page, markup)
     told, totals = _split_runs(shards)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -418,7 +431,7 @@ def html_text(pages: DataFrame, url: str = "url", page: str = "html") -> DataFra
                 yield pa.RecordBatch.from_arrays([*rows.flatten()[0].flatten(), pa.array(texts, pa.string()), *(pa.array(x, pa.int64()) for x in ([len(t) for t in texts], runs, markup))], names=[*stay, *made])
 
     schema = T.StructType([*(pages.schema[c] for c in stay), T.StructField("text", T.StringType()), *(T.StructField(c, T.LongType()) for c in made[1:])])
-    return shards.join(told, "shard", "left").join(totals, "split", "left").select("shard", "split", "rows", "outer", "inner", "pages").mapInArrow(slim(run), schema)
+    return shards.join(told, "shard", "left").join(totals, "split", "left").select("split", "rows", "sizes", "data", "outer", "inner", "pages").mapInArrow(slim(run), schema)
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

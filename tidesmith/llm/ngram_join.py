@@ -41,6 +41,8 @@ LIST = 128
 SIDE, SIDE_TOKENS = 1024, 1_000_000
 #: Members of one star, apart from its head.
 STAR = 256
+#: Bits of the bitmap that spares the join with needed sets most other texts.
+BITS = 1 << 23
 
 
 def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
@@ -243,8 +245,12 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 def _sets(docs: DataFrame, needed: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """(id, tokens): the shingle sets of the needed classes, as bytes, from the documents in `needed` (class, rep); a class may have several equal rows.
 
-    Spark joins by its own choice: while the needed ids are few, the texts stay where they are.
+    A bitmap of the needed ids, BITS / 64 rows at most, goes to every task and
+    spares other texts the join; however full it is, the join decides.
     """
+    place = lambda c: F.pmod(F.xxhash64(c, F.lit(41)), F.lit(BITS))
+    marks = needed.select(place("rep").alias("at")).groupBy(F.expr("at div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits"))
+    docs = docs.withColumn("at", place(key)).withColumn("word", F.expr("at div 64")).join(F.broadcast(marks), "word").filter(F.expr("shiftright(bits, cast(at % 64 as int)) & 1") == 1).select(key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
