@@ -41,8 +41,8 @@ LIST = 128
 SIDE, SIDE_TOKENS = 1024, 1_000_000
 #: Members of one star, apart from its head.
 STAR = 256
-#: Bits of the bitmap that spares the join with needed sets most other texts.
-BITS = 1 << 23
+#: Bits of the bitmap that tells which documents' sets are needed.
+BITS = 1 << 24
 
 
 def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
@@ -243,30 +243,28 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 
 
 def _sets(docs: DataFrame, needed: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(id, tokens): the shingle sets of the needed classes, as bytes, from the documents in `needed` (class, rep); a class may have several equal rows.
+    """(id, tokens): the shingle sets of the needed classes at least, as bytes, from the documents whose ids are the `rep` of one; a class may have several equal rows.
 
-    A bitmap of the needed ids, BITS / 64 rows at most, goes to every task and
-    spares other texts the join; however full it is, the join decides.
+    A bitmap of these ids, BITS / 64 rows at most, goes to every task, so texts
+    stay where they are. A wrong yes costs a set that no join asks for.
     """
     place = lambda c: F.pmod(F.xxhash64(c, F.lit(41)), F.lit(BITS))
     marks = needed.select(place("rep").alias("at")).groupBy(F.expr("at div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits"))
-    docs = docs.withColumn("at", place(key)).withColumn("word", F.expr("at div 64")).join(F.broadcast(marks), "word").filter(F.expr("shiftright(bits, cast(at % 64 as int)) & 1") == 1).select(key, text)
+    marked = docs.withColumn("at", place(key)).withColumn("word", F.expr("at div 64")).join(F.broadcast(marks), "word").filter(F.expr("shiftright(bits, cast(at % 64 as int)) & 1") == 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for b in rows_by_batch(batches, column=text):
-            wanted = b.column("class").to_pylist()
             ids, out = [], []
-            for s, c in zip(Scan(b.column(text), lower=True).shingle_sets(width), wanted, strict=True):
+            for s in Scan(b.column(text), lower=True).shingle_sets(width):
                 own = int(class_of(s).view(np.int64))
-                if own == c and own not in done:  # a row of that id with another text is not of the class
+                if own not in done:
                     done.add(own)
                     ids.append(own)
                     out.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["id", "tokens"])
 
-    rows = docs.join(needed.withColumnRenamed("rep", key), key).select(text, "class")
-    return rows.mapInArrow(slim(run), "id bigint, tokens binary")
+    return marked.select(text).mapInArrow(slim(run), "id bigint, tokens binary")
 
 
 def _linked(blocks: DataFrame, percent: int, stars: bool) -> DataFrame:
@@ -318,7 +316,7 @@ def ngram_jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text",
     sides, blocks = _sides(met, percent)
 
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(sides.select("id")).distinct()
-    needed = written(ids.join(classes.withColumnRenamed("class", "id"), "id").select(F.col("id").alias("class"), "rep"), "needed")
+    needed = ids.join(classes.withColumnRenamed("class", "id"), "id").select("rep")
     sets = written(_sets(docs, needed, "key", "text", width), "sets")
     stars = members.select("block", F.lit(0).alias("side"), F.col("a").alias("id")).distinct().unionByName(members.select("block", F.lit(1).alias("side"), F.col("b").alias("id"))).join(sets, "id")
     links = [_linked(x.repartition("block").sortWithinPartitions("block", "side", "id").select("block", "side", "id", "tokens"), percent, s) for x, s in ((stars, True), (blocks.join(sets, "id"), False))]
