@@ -171,11 +171,13 @@ def test_packing_takes_odd_rows(clashing):
 
 def test_magic_in_payloads_is_rejected(spark, tmp_path):
     evil = warc.record_of(99, "http://x", b"inner", None).decode()
-    rows = [(1, "u", f"a {evil} b {evil}"), (2, None, None), (3, "", "abc"), (4, "z\r\nContent-Length: 9", "abc"), (5, "q", "é\r\n"), (6, "", ""), (7, "w", evil), (7, "w", evil)]
-    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
-    warc.write_warc(pages, str(tmp_path / "w"), rows_per_file=3)
-    out = {r["id"]: r for r in warc.read_warc(spark, str(tmp_path / "w")).collect()}
-    assert sorted(out) == [1, 2, 3, 4, 5, 6, 7] and all(r["intact"] in (True, None) for r in out.values())
+    rows = [(1, "u", f"a {evil} b {evil}"), (2, None, None), (3, "", "abc"), (4, "z\r\nContent-Length: 9", "abc"), (5, "q", "é\r\n"), (6, "", ""), (7, "w", evil), (7, "w", evil), (8, "http://x/WARC/1.0", "x"), (None, "n", "x"), (None, "n", "alone"), (9, "big", "z" * 300_000)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "1 AS id", "2 AS digest", "3 AS last", "4 AS n")
+    warc.write_warc(pages, str(tmp_path / "w"), most_rows=3)
+    read = warc.read_warc(spark, str(tmp_path / "w")).collect()
+    out = {r["id"]: r for r in read if r["id"] is not None}
+    assert len(read) == len(rows) and {(r["record_type"], r["refers_to"]) for r in read if r["id"] is None} == {("revisit", 8), ("response", None)}
+    assert out[8]["url"] == "http://x/WARC/1.0" and len(out[9]["payload"]) == 300_000 and sorted(out) == [1, 2, 3, 4, 5, 6, 7, 8, 9] and all(r["intact"] in (True, None) for r in out.values())
     assert out[1]["payload"] == rows[0][2] and out[2]["refers_to"] == 6 and out[3]["refers_to"] == 4 and out[3]["record_type"] == "revisit" and out[3]["payload_bytes"] == 3 and out[7]["record_type"] == "response"
 
 
@@ -185,6 +187,14 @@ def test_pointer_jumping_follows_the_chain_only():
     assert warc.reachable(np.array([3]), np.array([9])).tolist() == [False] and warc.reachable(np.empty(0, int), np.empty(0, int)).tolist() == []
 
 
+def test_magic_without_end_takes_linear_time():
+    import time
+
+    began = time.perf_counter()
+    assert len(warc.candidates(warc.MAGIC * 100_000 + b"Content-Length: 5\r\n")[0]) == 0
+    assert time.perf_counter() - began < 5
+
+
 def test_warc_of_an_empty_table(spark, tmp_path):
     warc.write_warc(spark.createDataFrame([], "page_id bigint, url string, html string"), str(tmp_path / "w"))
     assert warc.read_warc(spark, str(tmp_path / "w")).count() == 0

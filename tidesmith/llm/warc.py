@@ -12,7 +12,11 @@ doubling the step each round, marks the candidates that the chain of records
 reaches. The others are magic words inside payloads and are rejected.
 
 A null payload counts as empty; equal empty payloads are deduplicated like any
-other. Rows that repeat an id are written each. An empty table gives no records.
+other. Payloads are written whole; files hold so few records that none exceeds
+`file_bytes`, unless one record does. Rows that repeat an id, ties among them,
+are written each. A row with a null id is a record that reads back with a null
+id; it revisits an equal payload with an id, and is a response without one. An
+empty table gives no records. Extra columns play no part.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, written
+from .common import named, shared_dir, table, written
 
 MAGIC = b"WARC/1.0\r\n"
 LENGTH = re.compile(rb"\r\nContent-Length:[ \t]*([0-9]+)[ \t]*\r\n", re.I)
@@ -46,12 +50,13 @@ def _sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_of(page: int, url: str, payload: bytes, refers: int | None) -> bytes:
+def record_of(page: int | None, url: str, payload: bytes, refers: int | None) -> bytes:
     """One record with its closing blank lines. A revisit keeps the HTTP header, with the payload's length, and leaves the payload out."""
     kind = "response" if refers is None else "revisit"
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + payload if refers is None else http
     line = re.sub(r"[\r\n]+", " ", url)
+    line += " " if line.endswith("WARC/1.0") else ""  # no header holds the magic
     head = [
         f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page}>", f"WARC-Target-URI: {line}", f"WARC-Payload-Digest: sha1:{_sha1(payload)}",
         f"Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
@@ -61,14 +66,17 @@ def record_of(page: int, url: str, payload: bytes, refers: int | None) -> bytes:
     return MAGIC + "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0, rows_per_file: int = 2000) -> None:
+def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0, file_bytes: int = 256 << 20, most_rows: int = 2000) -> None:
     """Writes a record for each page. Payloads of fewer than `least_bytes` bytes are never revisits."""
-    body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
-    one = pages.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload"), F.sha1(body).alias("digest"), F.octet_length(F.coalesce(F.col(payload), F.lit(""))).alias("n"))
+    body = F.coalesce(named(payload), F.lit(""))
+    one = pages.select(named(key).alias("id"), F.coalesce(named(url), F.lit("")).alias("url"), body.alias("payload"), F.sha1(body.cast("binary")).alias("digest"), F.octet_length(body).alias("n"))
     # the one row of a digest that is a response: only digests of at least two rows matter, and those travel without payloads
-    last = pages.filter(F.col(key).isNotNull()).select(F.sha1(body).alias("digest"), F.col(key).alias("id"), F.octet_length(F.coalesce(F.col(payload), F.lit(""))).alias("n")).filter(F.col("n") >= least_bytes).groupBy("digest").agg(F.max("id").alias("last"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("digest", "last")
+    groups = written(one.groupBy("digest", "n").agg(F.max("id").alias("last"), F.count(F.lit(1)).alias("rows")).filter((F.col("rows") > 1) | (F.col("n") > file_bytes // most_rows)), "warc-groups")
+    longest = groups.agg(F.max("n")).first()[0] or 0
+    rows_per_file = max(1, min(most_rows, file_bytes // max(longest, 1)))
+    last = groups.filter((F.col("rows") > 1) & (F.col("n") >= least_bytes)).select("digest", "last")
     # written first: Spark then knows its size, and leaves the payloads in place if it is small
-    planned = one.join(written(last, "warc-last"), "digest", "left").withColumn("refers", F.when((F.col("last") != F.col("id")) & (F.col("n") >= least_bytes), F.col("last")))
+    planned = one.join(written(last, "warc-last"), "digest", "left").withColumn("refers", F.when(~F.col("last").eqNullSafe(F.col("id")), F.col("last")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -84,10 +92,12 @@ def candidates(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     found = []
     at = data.find(MAGIC)
     while at >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end >= 0 and (m := LENGTH.search(data, at, end + 2)):
+        after = data.find(MAGIC, at + 1)
+        # a header ends before the next magic, so each byte is looked at once
+        end = data.find(b"\r\n\r\n", at, after if after >= 0 else len(data))
+        if end >= 0 and (m := LENGTH.search(data, at, end + 2)) and len(m[1]) < 16:
             found.append((at, end + 4, end + 4 + int(m[1]) + 4))
-        at = data.find(MAGIC, at + 1)
+        at = after
     x = np.array(found, np.int64).reshape(-1, 3)
     return x[:, 0], x[:, 1], x[:, 2]
 
@@ -120,7 +130,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 offsets, blocks, ends = candidates(data)
                 rows = []
                 for k in np.flatnonzero(reachable(offsets, ends)):
-                    head = dict(x.split(": ", 1) for x in data[offsets[k] + len(MAGIC) : blocks[k] - 4].decode("utf-8", "replace").split("\r\n") if ": " in x)
+                    head = {name: value.rstrip() for name, _, value in (x.partition(": ") for x in data[offsets[k] + len(MAGIC) : blocks[k] - 4].decode("utf-8", "replace").split("\r\n"))}
                     block = data[blocks[k] : ends[k] - 4]
                     split = block.find(b"\r\n\r\n")
                     body, kind = block[split + 4 :], head.get("WARC-Type", "")
@@ -132,7 +142,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in schema.split(", ")])
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content").mapInArrow(run, schema)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
