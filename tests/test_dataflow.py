@@ -159,7 +159,20 @@ def test_session_drops_late_chunks_and_rebuilds_on_change():
 def test_segmenter():
     s = sessions.Segmenter(quiet=3, least=2, longest=10)
     cuts = [s.step(v) for v in [0, 1, 1, 0, 0, 0, 1, 0, 0, 0] + [1] * 11]
-    assert [c for c in cuts if c] == [(1, 6), (10, 21)]
+    assert [c for c in cuts if c] == [(1, 6), (6, 17)]
+    s = sessions.Segmenter()  # a pause after too little speech ends nothing
+    cuts = [s.step(v) for v in [1] * 20 + [0] * 30 + [1] * 20 + [0] * 30]
+    assert [c for c in cuts if c] == [(0, 100)]
+
+
+def test_last_baseline_counts(spark):
+    rows = spark.createDataFrame([("a", "none", 5.0), ("a", "none", 2.0), ("a", "m", 3.0)], "id string, method string, score double").coalesce(1)
+    assert [r["delta"] for r in evaluation.against_baseline(rows, ["id"]).filter("method = 'm'").collect()] == [1.0]
+
+
+def test_places_in_order(spark):
+    out = evaluation.numbered(spark.range(1000).selectExpr("(id * 7919) % 1000 AS v"), "place", ["v"]).collect()
+    assert all(r["v"] == r["place"] for r in out) and len(out) == 1000
 
 
 def test_kernels_keep_rows_and_score(spark):

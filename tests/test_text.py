@@ -25,3 +25,25 @@ def test_error_rates(spark):
     out = df.select(T.cer(F.col("r"), F.col("h")), T.wer(F.col("r"), F.col("h"))).collect()
     assert abs(out[0][0] - 1 / 7) < 1e-12 and [out[1][0], out[2][0], out[1][1], out[2][1]] == [0, 1, 0, 1]
     assert out[3][1] == 0.25 and out[4][1] == 2.0
+
+
+def test_whole_table_error_rates_equal_brute_force(spark, sf_dir):
+    from tidesmith.plans import texts
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    turns = {(r["conv_id"], r["turn"]): r["text"] for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()}
+    found = texts.cer_pairs(spark, sf_dir).collect()
+    held = sorted(turns)
+    before = {b: turns[a] for a, b in zip(held, held[1:]) if a[0] == b[0] and turns[a] is not None}
+    assert len(found) == len(before)
+    for r in found[:60]:
+        ref, hyp = before[r["conv_id"], r["turn"]], turns[r["conv_id"], r["turn"]]
+        if hyp is not None:
+            assert r["cer"] == round(distance(ref, hyp) / len(ref) if ref else float(bool(hyp)), 6)

@@ -95,17 +95,11 @@ def cer(reference: Column, hypothesis: Column) -> Column:
 
 
 def word_distance(reference: Column, hypothesis: Column) -> Column:
-    """Edit distance of word arrays, row by row of the table, from built-in functions."""
-    start = F.sequence(F.lit(0), F.size(hypothesis))
-
-    def row(before: Column, word: Column) -> Column:
-        first = F.array(F.element_at(before, 1) + 1)
-        places = F.when(F.size(hypothesis) > 0, F.sequence(F.lit(1), F.size(hypothesis))).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(places, first, lambda done, j: F.concat(done, F.array(F.least(
-            F.element_at(done, -1) + 1, F.element_at(before, j + 1) + 1, F.element_at(before, j) + F.when(F.element_at(hypothesis, j) == word, 0).otherwise(1)
-        ))))
-
-    return F.element_at(F.aggregate(reference, start, row), -1)
+    """Edit distance of word arrays: each distinct word of the two becomes a character of its own, and the built-in distance counts characters."""
+    # code points beyond the first plane, so that none is half of a pair
+    as_text = lambda words, known: F.decode(F.unhex(F.array_join(F.transform(words, lambda w: F.lpad(F.hex(F.array_position(known, w) + 0x10000), 8, "0")), "")), "UTF-32")
+    once = F.array(F.array_distinct(F.concat(reference, hypothesis)))  # a variable of one value: not worked out for each word
+    return F.element_at(F.transform(once, lambda known: F.levenshtein(as_text(reference, known), as_text(hypothesis, known))), 1)
 
 
 def wer(reference: Column, hypothesis: Column) -> Column:

@@ -30,13 +30,15 @@ def sdr(ref: np.ndarray, est: np.ndarray) -> float:
 
 
 def seg_snr(ref: np.ndarray, est: np.ndarray, frame: int = 512, hop: int = 256, low: float = -10.0, high: float = 35.0) -> float:
+    """Mean of the clipped ratios of the frames that are not silent; a signal shorter than a frame is one frame."""
     r, e = aligned(ref, est)
-    if len(r) < frame:
+    if not len(r):
         return float("nan")
-    cut = lambda x: np.lib.stride_tricks.sliding_window_view(x, frame)[::hop]
-    s, d = (cut(r) ** 2).sum(axis=1), ((cut(r) - cut(e)) ** 2).sum(axis=1)
-    live = s > (r**2).mean() * 1e-4
-    return float(np.clip(10 * np.log10((s[live] + EPS) / (d[live] + EPS)), low, high).mean()) if live.any() else float("nan")
+    cut = lambda x: np.lib.stride_tricks.sliding_window_view(x, min(frame, len(x)))[::hop]
+    s, d = (cut(r) ** 2).sum(axis=1), ((cut(r) - cut(e)) ** 2).sum(axis=1) + EPS
+    live = s >= (r**2).mean() * 1e-4
+    with np.errstate(divide="ignore"):
+        return float(np.clip(10 * np.log10(s[live] / d[live]), low, high).mean()) if live.any() else float("nan")
 
 
 def _bands(sr: int = 10_000, size: int = 512, count: int = 15, lowest: float = 150.0) -> np.ndarray:

@@ -17,9 +17,10 @@ def finite(x: Column) -> Column:
     return F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), x)
 
 
-def against_baseline(rows: DataFrame, keys: Sequence[str], baseline: str = "none") -> DataFrame:
-    """rows with `base` and `delta`; keys that the baseline lacks are dropped."""
-    base = rows.filter(F.col("method") == baseline).groupBy(*keys).agg(F.max_by("score", F.col("score")).alias("base"))
+def against_baseline(rows: DataFrame, keys: Sequence[str], baseline: str = "none", order: Column | None = None) -> DataFrame:
+    """rows with `base` and `delta`; keys that the baseline lacks are dropped. Of baseline rows with equal keys the last one counts, by `order` or else by their place in the input."""
+    held = rows.withColumn("_order", F.monotonically_increasing_id() if order is None else order).filter(F.col("method") == baseline)
+    base = held.groupBy(*keys).agg(F.max_by("score", "_order").alias("base"))
     return rows.join(base, list(keys)).withColumn("delta", F.col("score") - F.col("base"))
 
 
@@ -102,12 +103,20 @@ def filled_buckets(rows: DataFrame, by: str, order: Sequence[Column | str], k: i
     return ranked.filter(F.col("place") <= k).withColumn("place", F.when(F.col("size") < k, F.raise_error(F.concat(F.lit("too few rows in bucket "), F.col(by).cast("string")))).otherwise(F.col("place"))).drop("size")
 
 
-def split_by_group(rows: DataFrame, group: Column, share: int = 10, least: int = 2, seed: int = 42) -> DataFrame:
-    """rows with `split`: max(least, groups / share) groups, chosen by a hash, are 'val' with all their rows, so no group is in both."""
+def numbered(rows: DataFrame, name: str, order: Sequence[str]) -> DataFrame:
+    """rows with their places, from 0, in a total order: ranges sorted one by one, and the sizes of the ranges before; no task has all rows."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33))
+    sizes = laid.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_size")  # a row a range
+    return laid.join(F.broadcast(before), "_part").withColumn(name, F.col("_at") - F.shiftleft("_part", 33) + F.col("_before")).drop("_at", "_part", "_before")
+
+
+def split_by_group(rows: DataFrame, group: Column, share: int = 10, least: int = 2, seed: int = 42, order: Column | None = None) -> DataFrame:
+    """rows with `split`: max(least, groups / share) groups, the first by `order` of `_group` (a hash if there is none), are 'val' with all their rows, so no group is in both."""
     named = rows.withColumn("_group", group)
-    groups = named.select("_group").distinct().withColumn("place", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), "_group"), "_group")))
-    n = groups.count()
-    held = groups.filter(F.col("place") <= max(least, n // share)).select("_group", F.lit("val").alias("split"))
+    groups = named.select("_group").distinct().withColumn("_order", F.xxhash64(F.lit(seed), "_group") if order is None else order)
+    held = groups.orderBy("_order", "_group").limit(max(least, groups.count() // share)).select("_group", F.lit("val").alias("split"))
     return named.join(held, "_group", "left").withColumn("split", F.coalesce("split", F.lit("train"))).drop("_group")
 
 
@@ -123,6 +132,5 @@ def grid(*tables: DataFrame) -> DataFrame:
 
 def round_robin(cells: DataFrame, sources: DataFrame, cell_order: Sequence[str], source_order: Sequence[str], n_sources: int) -> DataFrame:
     """Deals the sources to the cells in turn."""
-    a = cells.withColumn("_k", (F.row_number().over(Window.orderBy(*cell_order)) - 1) % n_sources)
-    b = sources.withColumn("_k", F.row_number().over(Window.orderBy(*source_order)) - 1)
-    return a.join(b, "_k").drop("_k")
+    a = numbered(cells, "_n", cell_order).withColumn("_k", F.col("_n") % n_sources).drop("_n")
+    return a.join(numbered(sources, "_k", source_order), "_k").drop("_k")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -29,17 +29,33 @@ def map_samples(df: DataFrame, change: Callable[[np.ndarray], np.ndarray], sampl
     return df.mapInPandas(run, _fields(df))
 
 
-def enhance_signals(df: DataFrame, method: str = "wiener", samples: str = "samples", gated: bool = False, framing: spectral.Framing = spectral.DEFAULT) -> DataFrame:
-    """df with enhanced signals and, as `frames`, the record of each frame."""
-    enhance.build(method)  # an unknown method is an error now, not in a task
+def enhance_signals(df: DataFrame, method: str | Sequence[str] = "wiener", samples: str = "samples", gated: bool = False, framing: spectral.Framing = spectral.DEFAULT) -> DataFrame:
+    """df with enhanced signals and, as `frames`, the record of each frame. Of several methods each gives a row, with a column `method`; signals are read once for all."""
+    names = [method] if isinstance(method, str) else list(method)
+    for name in names:
+        enhance.build(name)  # an unknown method is an error now, not in a task
+    told = not isinstance(method, str)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pipeline = enhance.Pipeline(method, framing, gated)
+        pipelines = {name: enhance.Pipeline(name, framing, gated) for name in names}
         for p in parts:
-            done = [pipeline.signal(np.asarray(x, float)) for x in p[samples]]
-            yield p.assign(**{samples: [y for y, _ in done], "frames": [r for _, r in done]})
+            for name, pipeline in pipelines.items():
+                done = [pipeline.signal(np.asarray(x, float)) for x in p[samples]]
+                out = p.assign(**{samples: [y for y, _ in done], "frames": [r for _, r in done]})
+                yield out.assign(method=name) if told else out
 
-    return df.mapInPandas(run, f"{_fields(df)}, frames array<struct<{RECORD.replace(' ', ':').replace(',:', ',')}>>")
+    return df.mapInPandas(run, f"{_fields(df)}, frames array<struct<{RECORD.replace(' ', ':').replace(',:', ',')}>>{', method string' if told else ''}")
+
+
+def mix_signals(df: DataFrame, snr_db: float, speech: str = "speech", noise: str = "noise", active_only: bool = True) -> DataFrame:
+    """df with `mixed` and `scaled`, the noise in it."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            done = [synth.mix_at_snr(np.asarray(s, float), np.asarray(n, float), snr_db, active_only) for s, n in zip(p[speech], p[noise], strict=True)]
+            yield p.assign(mixed=[m for m, _ in done], scaled=[n for _, n in done])
+
+    return df.mapInPandas(run, f"{_fields(df)}, mixed array<double>, scaled array<double>")
 
 
 def stft(df: DataFrame, samples: str = "samples", framing: spectral.Framing = spectral.DEFAULT) -> DataFrame:

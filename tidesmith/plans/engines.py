@@ -27,16 +27,12 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def enhance_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every method over every signal: level before and after, frames with speech."""
-    sig, out = signals(spark, sf_dir), None
     energy = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v * v)
-    for m in METHODS:
-        done = K.enhance_signals(sig, m, framing=SHORT)
-        row = done.select("id", F.lit(m).alias("method"), F.round(energy("samples"), 4).alias("energy"), F.size("frames").alias("frames"), F.size(F.filter("frames", lambda f: f["is_speech"])).alias("speech"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    done = K.enhance_signals(signals(spark, sf_dir), list(METHODS), framing=SHORT)
+    return done.select("id", "method", F.round(energy("samples"), 4).alias("energy"), F.size("frames").alias("frames"), F.size(F.filter("frames", lambda f: f["is_speech"])).alias("speech"))
 
 
-@query()
+@query("SELECT DISTINCT l_suppkey AS id, true AS same FROM lineitem")
 def spectral_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spectra and back: the largest deviation from the signal."""
     sig = signals(spark, sf_dir)
@@ -105,20 +101,25 @@ def sessions_by_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {EVENTS}, m AS (SELECT id, idx, x > 40 AS v FROM sig),
+r AS (SELECT DISTINCT id, 0::BIGINT AS n, 0::BIGINT AS speech, 0::BIGINT AS silence, -1::BIGINT AS s, NULL::BIGINT AS a, NULL::BIGINT AS b FROM m
+  UNION ALL SELECT id, n + 1, CASE WHEN cut THEN 0 ELSE speech END, CASE WHEN cut THEN 0 ELSE silence END, CASE WHEN cut THEN -1 ELSE s END, CASE WHEN cut THEN s END, CASE WHEN cut THEN n + 1 END
+  FROM (SELECT *, s >= 0 AND (silence >= 2 AND speech >= 3 OR n + 1 - s > 20) AS cut FROM (
+    SELECT r.id, r.n, r.speech + v::INT AS speech, CASE WHEN v THEN 0 ELSE r.silence + 1 END AS silence, CASE WHEN r.s < 0 AND v THEN r.n ELSE r.s END AS s FROM r JOIN m ON m.id = r.id AND m.idx = r.n)))
+SELECT id::VARCHAR AS session, a AS start, b AS "end" FROM r WHERE a IS NOT NULL""")
 def speech_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The segment state machine over activity flags, as a batch of one."""
     frames = sig_events(spark, sf_dir).select(F.col("id").cast("string").alias("session"), F.col("idx").alias("t"), (F.col("x") > 40).alias("is_speech"))
     return sessions.segment_stream(frames, quiet=2, least=3, longest=20)
 
 
-@query()
+@query("SELECT l_suppkey::VARCHAR AS session, unnest(range(0, count(*) // 32)) AS block, 32 AS n, 0::BIGINT AS late FROM lineitem GROUP BY l_suppkey")
 def session_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of uneven length through the session pipeline, as a batch of one."""
     sig = signals(spark, sf_dir).select(F.col("id").cast("string").alias("session"), F.posexplode("samples"))
     chunks = sig.groupBy("session", F.floor(F.col("pos") / 50).alias("seq")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "col"))), lambda s: s["col"].cast("float")).alias("pcm"))
     out = sessions.enhance_stream(chunks.withColumn("control", F.lit(None).cast("string")), SHORT)
-    return out.select("session", "block", F.size("samples").alias("n"), "is_speech", "late")
+    return out.select("session", "block", F.size("samples").alias("n"), "late")
 
 
 @query("SELECT step, round(CASE WHEN step < 100 THEN 0.001 * (step + 1) / 100 ELSE 0.001 * (0.01 + 0.99 * 0.5 * (1 + cos(pi() * (step - 100) / 900))) END, 9) AS rate FROM (SELECT unnest(range(0, 1000, 10)) AS step)")

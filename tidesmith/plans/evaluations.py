@@ -115,10 +115,8 @@ v AS (SELECT speaker FROM s QUALIFY row_number() OVER (ORDER BY {_hash('speaker'
 SELECT speaker, count(*) AS n, CASE WHEN speaker IN (SELECT speaker FROM v) THEN 'val' ELSE 'train' END AS split FROM d GROUP BY speaker""")
 def speaker_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("s"), F.regexp_extract("source", "src([0-9]+)", 1)).alias("speaker"))
-    s = d.select("speaker").distinct()
-    h = F.substring(F.md5(F.col("speaker").cast("binary")), 1, 8)
-    held = s.orderBy(h, "speaker").limit(max(2, s.count() // 10)).select("speaker", F.lit("val").alias("split"))
-    return d.groupBy("speaker").agg(F.count(F.lit(1)).alias("n")).join(held, "speaker", "left").select("speaker", "n", F.coalesce("split", F.lit("train")).alias("split"))
+    split = E.split_by_group(d, F.col("speaker"), order=F.substring(F.md5(F.col("_group").cast("binary")), 1, 8))
+    return split.groupBy("speaker", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT d.doc_id, d.lang FROM documents d ANTI JOIN labels l ON d.doc_id = l.doc_id")
@@ -152,12 +150,11 @@ def strata_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strata(spark).select(F.col("snr_label").alias("snr"), F.col("noise_kind").alias("kind"), F.col("rir_kind").alias("room"), F.col("rt60_bucket").alias("rt60"), F.format_string("%05d", "cell").alias("cell"))
 
 
-@query("SELECT s_suppkey, n_name, r_name FROM supplier JOIN (SELECT n_nationkey, n_name, r_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS k FROM nation JOIN region ON n_regionkey = r_regionkey) ON (s_suppkey - 1) % 25 = k")
+@query("SELECT s_suppkey, n_name, r_name FROM supplier JOIN (SELECT n_nationkey, n_name, r_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS k FROM nation JOIN region ON n_regionkey = r_regionkey) ON (s_suppkey - 1) % (SELECT count(*) FROM nation) = k")
 def round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers dealt to the nations in turn: an equi-join on a running number's remainder."""
-    n = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey")).withColumn("k", (F.row_number().over(Window.orderBy("n_nationkey")) - 1).cast("bigint"))
-    s = table(spark, sf_dir, "supplier").withColumn("k", (F.col("s_suppkey") - 1) % 25)
-    return s.join(F.broadcast(n), "k").select("s_suppkey", "n_name", "r_name")
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return E.round_robin(table(spark, sf_dir, "supplier"), n, ["s_suppkey"], ["n_nationkey"], n.count()).select("s_suppkey", "n_name", "r_name")
 
 
 @query(f"WITH {EVENTS} SELECT a.id, round(avg(a.x) - avg(b.x), 5) AS delta FROM sig a JOIN sig b ON a.id = b.id AND b.idx = a.idx + 1 GROUP BY 1")

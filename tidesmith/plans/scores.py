@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import kernels as K
 from ..operators import scoring as S
 from .book import query, table
 from .views import EVENTS, LINES, PAIRS, pair_line, sig_events, sig_line
@@ -74,10 +75,10 @@ def stationarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.stationarity(sig_events(spark, sf_dir)).withColumn("range_db", F.round("range_db", 5))
 
 
-@query("SELECT vec_id AS id, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: pow(e[i] - coalesce(p[i], e[i]), 2)))), 5) AS flux FROM (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS e, lag(list_transform(embedding, lambda v: v::DOUBLE)) OVER (ORDER BY vec_id) AS p FROM embeddings WHERE label = 0)")
+@query("SELECT vec_id AS id, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: pow(e[i] - coalesce(p[i], e[i]), 2)))), 5) AS flux FROM (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS e, lag(list_transform(embedding, lambda v: v::DOUBLE)) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings)")
 def spectral_flux(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distance of each frame from the one before; the first has 0."""
-    e = table(spark, sf_dir, "embeddings").filter("label = 0").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
+    """Distance of each frame from the one before of its label; the first has 0."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
     p = e.withColumn("p", F.coalesce(F.lag("e").over(Window.partitionBy("label").orderBy("vec_id")), "e"))
     d = F.aggregate(F.zip_with("e", "p", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
     return p.select(F.col("vec_id").alias("id"), F.round(F.sqrt(d), 5).alias("flux"))
@@ -125,10 +126,11 @@ p AS (SELECT id, var_pop(x) AS ps, var_pop(coalesce(noise, 0)) AS pn, avg(coales
 SELECT q.id, q.idx, round(x + (coalesce(noise, 0) - dc) * sqrt(ps / (pn * pow(10, 0.5))), 5) AS mixed FROM q JOIN p USING (id)""")
 def mix_at_snr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mixes a signal with noise (its own echo here) at 5 dB; the noise loses its mean first."""
-    w, by = Window.partitionBy("id").orderBy("idx"), Window.partitionBy("id")
+    w = Window.partitionBy("id").orderBy("idx")
     q = sig_events(spark, sf_dir).withColumn("noise", F.coalesce(F.lag("x", 3).over(w), F.lit(0.0)))
-    gain = F.sqrt(F.var_pop("x").over(by) / (F.var_pop("noise").over(by) * 10**0.5))
-    return q.select("id", "idx", F.round(F.col("x") + (F.col("noise") - F.avg("noise").over(by)) * gain, 5).alias("mixed"))
+    wide = q.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("idx", "x", "noise"))).alias("s")).select("id", F.col("s.x").alias("speech"), F.col("s.noise").alias("noise"))
+    mixed = K.mix_signals(wide, 5.0, active_only=False).select("id", F.posexplode("mixed"))
+    return mixed.select("id", F.col("pos").cast("bigint").alias("idx"), F.round("col", 5).alias("mixed"))
 
 
 @query(f"WITH {PAIRS}, g AS (SELECT *, least(1, 60000 / max(greatest(abs(ref), abs(est))) OVER (PARTITION BY id)) AS gain FROM pair) SELECT id, idx, round(ref * gain, 4) AS target, round(est * gain, 4) AS input FROM g")

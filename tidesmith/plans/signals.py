@@ -65,9 +65,9 @@ f AS (SELECT t.id, t.t, t.n, list(coalesce(x, 0) * sqrt(0.5 - 0.5 * cos(2 * pi()
 k AS (SELECT id, t, v, unnest(range(0, 17)) AS bin FROM f),
 c AS (SELECT id, t, bin, list_sum(list_transform(v, lambda y, i: y * cos(2 * pi() * bin * (i - 1) / 32))) AS re, list_sum(list_transform(v, lambda y, i: -y * sin(2 * pi() * bin * (i - 1) / 32))) AS im FROM k),
 w AS (SELECT sum(sqrt(0.5 - 0.5 * cos(2 * pi() * j / 32))) / 2 AS ref FROM (SELECT unnest(range(0, 32)) AS j))
-SELECT id, t, bin, round(greatest(20 * log10(sqrt(re * re + im * im) / ref + 1e-12), -110), 3) AS db FROM c, w WHERE id <= 20""")
+SELECT id, t, bin, round(greatest(20 * log10(sqrt(re * re + im * im) / ref + 1e-12), -110), 3) AS db FROM c, w""")
 def spectrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = sig_line(spark, sf_dir).filter("id <= 20").groupBy("id").agg(X.to_array("idx", "x").alias("samples"))
+    wide = sig_line(spark, sf_dir).groupBy("id").agg(X.to_array("idx", "x").alias("samples"))
     return FR.spectrogram(wide, "samples", n_fft=32, hop=16).select("id", "t", "bin", F.round("db", 3).alias("db"))
 
 

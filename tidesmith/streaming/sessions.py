@@ -26,6 +26,10 @@ BLOCKS = "session string, block bigint, samples array<double>, is_speech boolean
 CONFIG = {"method": "none", "gated": False}
 
 
+def _timeout(idle_s: int | None) -> str:
+    return GroupStateTimeout.ProcessingTimeTimeout if idle_s else GroupStateTimeout.NoTimeout
+
+
 class Session:
     """Re-chunking with a rest, and the pipeline behind it."""
 
@@ -65,7 +69,6 @@ class Session:
         self.pipeline.load(pipeline)
         return self
 
-
     def take(self, name: str, chunks: pd.DataFrame) -> pd.DataFrame:
         """Feeds a session's chunks in order of seq; gives the blocks that are whole."""
         rows = []
@@ -81,58 +84,74 @@ class Session:
         return pd.DataFrame(rows, columns=[f.split()[0] for f in BLOCKS.split(", ")])
 
 
-def enhance_stream(chunks: DataFrame, framing: Framing = DEFAULT, config: dict | None = None) -> DataFrame:
-    """Blocks of the sessions in CHUNKS, a stream or a table of whole sessions."""
+def enhance_stream(chunks: DataFrame, framing: Framing = DEFAULT, config: dict | None = None, idle_s: int | None = None) -> DataFrame:
+    """Blocks of the sessions in CHUNKS, a stream or a table of whole sessions. A stream forgets a session that is idle for `idle_s` seconds; a job that never ends should set it."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         own = Session.load(state.get[0], framing) if state.exists else Session(framing, config)
         out = own.take(key[0], pd.concat(list(parts)))
         state.update((own.dump(),))
+        if idle_s:
+            state.setTimeoutDuration(1000 * idle_s)
         yield out
 
     def whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return Session(framing, config).take(key[0], rows)
 
     by = chunks.groupBy("session")
-    return by.applyInPandasWithState(run, BLOCKS, "held binary", "append", GroupStateTimeout.NoTimeout) if chunks.isStreaming else by.applyInPandas(whole, BLOCKS)
+    return by.applyInPandasWithState(run, BLOCKS, "held binary", "append", _timeout(idle_s)) if chunks.isStreaming else by.applyInPandas(whole, BLOCKS)
 
 
 class Segmenter:
-    """Cuts speech into segments: ends after `quiet` silent frames if `least` speech frames were met, or at the longest length; trailing silence stays."""
+    """Cuts frames into segments of speech with the silence around and behind it.
+
+    A segment begins with a frame of speech and holds every frame from there on.
+    It is given out once there are `least` frames of speech and `quiet` silent
+    ones since the last of them, or when it is longer than `longest`. Silence
+    before there is speech enough only counts: the segment goes on.
+    """
 
     def __init__(self, quiet: int = 30, least: int = 38, longest: int = 750) -> None:
         self.quiet, self.least, self.longest = quiet, least, longest
         self.start, self.speech, self.silence, self.t = -1, 0, 0, 0
 
     def step(self, is_speech: bool) -> tuple[int, int] | None:
-        t, self.t = self.t, self.t + 1
-        if self.start < 0 and not is_speech:
-            return None
-        if self.start < 0:
-            self.start, self.speech = t, 0
+        self.t += 1
         self.speech += is_speech
-        self.silence = 0 if is_speech else self.silence + 1
-        if self.silence >= self.quiet or t + 1 - self.start > self.longest:
-            out = (self.start, t + 1) if self.speech >= self.least or t + 1 - self.start > self.longest else None
-            self.start, self.silence = -1, 0
-            return out
-        return None
-
+        self.silence = (self.silence + 1) * (not is_speech)
+        if is_speech and self.start < 0:
+            self.start = self.t - 1
+        if self.start < 0:
+            return None
+        ended = self.silence >= self.quiet and self.speech >= self.least
+        if not ended and self.t - self.start <= self.longest:
+            return None
+        found = self.start, self.t
+        self.start, self.speech, self.silence = -1, 0, 0
+        return found
 
     def take(self, name: str, frames: pd.DataFrame) -> pd.DataFrame:
         cuts = [self.step(bool(c.is_speech)) for c in frames.sort_values("t", kind="stable").itertuples()]
         return pd.DataFrame([(name, *c) for c in cuts if c is not None], columns=["session", "start", "end"])
 
 
-def segment_stream(frames: DataFrame, quiet: int = 30, least: int = 38, longest: int = 750) -> DataFrame:
-    """(session, start, end) from rows (session, t, is_speech), a stream or a table, in order of t within a micro-batch."""
+def segment_stream(frames: DataFrame, quiet: int = 30, least: int = 38, longest: int = 750, idle_s: int | None = None) -> DataFrame:
+    """(session, start, end) from rows (session, t, is_speech), a stream or a table, in order of t within a micro-batch. A stream forgets a session that is idle for `idle_s` seconds, which a job that never ends should set; what it had open is not given out."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         own = Segmenter(quiet, least, longest)
         if state.exists:
             own.start, own.speech, own.silence, own.t = state.get
         out = own.take(key[0], pd.concat(list(parts)))
         state.update((own.start, own.speech, own.silence, own.t))
+        if idle_s:
+            state.setTimeoutDuration(1000 * idle_s)
         yield out
 
     def whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -140,7 +159,7 @@ def segment_stream(frames: DataFrame, quiet: int = 30, least: int = 38, longest:
 
     out, held = "session string, start bigint, end bigint", "start bigint, speech bigint, silence bigint, t bigint"
     by = frames.groupBy("session")
-    return by.applyInPandasWithState(run, out, held, "append", GroupStateTimeout.NoTimeout) if frames.isStreaming else by.applyInPandas(whole, out)
+    return by.applyInPandasWithState(run, out, held, "append", _timeout(idle_s)) if frames.isStreaming else by.applyInPandas(whole, out)
 
 
 def replay(spark, path: str, schema: str = CHUNKS, files_per_batch: int = 1) -> DataFrame:
