@@ -98,14 +98,29 @@ def test_classifier_takes_odd_rows(spark, clashing):
     model = compression.fit(spark.createDataFrame([(f"good text number {i} about many things", 1) for i in range(60)] + [(f"### $$$ {i} %%% &&&", 0) for i in range(60)], "text string, quality int"))
     out = compression.compression_score(clashing, model).collect()
     assert len(out) == 12 and all(0 <= r["score"] <= 1 for r in out)
-    assert {r["score"] for r in out if r["doc_id"] in (1, 2)} == {0.5}
+    assert {r["score"] for r in out if r["doc_id"] in (1, 2)} == {0.0}
     one = compression.fit(spark.createDataFrame([("a", 1)], "text string, quality int"))
-    assert {r["score"] for r in compression.compression_score(clashing, one).collect()} == {1.0}
+    assert {r["score"] for r in compression.compression_score(clashing, one).collect()} == {0.0, 1.0}
     none = compression.fit(spark.createDataFrame([], "text string, quality int"))
-    assert {r["score"] for r in compression.compression_score(clashing, none).collect()} == {0.5}
+    assert {r["score"] for r in compression.compression_score(clashing, none).collect()} == {0.0, 0.5}
     assert compression.compression_score(clashing.limit(0), model).count() == 0
 
 
+def test_measure_equals_brute_force():
+    import zstandard as zs
+
+    model = compression.Model(b"good words here " * 40, b"### $$$ bad " * 40, 0.5)
+    params = zs.ZstdCompressionParameters.from_level(9, write_content_size=0, write_checksum=0, write_dict_id=0)
+    size = lambda d, x: len(zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(d, dict_type=zs.DICT_TYPE_RAWCONTENT), compression_params=params).compress(x))
+    texts = ["good words here and there", "### $$$ bad ### $$$ bad", "é" * 1500, "x", "", None]
+    got, empty = compression.measure(texts, model.compressors())
+    for t, g, e in zip(texts, got, empty):
+        data = (t or "").encode()
+        blocks = [data[i : i + 512] for i in range(0, len(data), 512)]
+        assert e == (not data) and g == (sum(size(model.bad, b) - size(model.good, b) for b in blocks) / len(data) if data else 0)
+    assert got[0] > 0 > got[1]
+
+
 @pytest.mark.parametrize("rows", [4000, 100])
 def test_a_sample_keeps_the_labels_shares(spark, rows):
     rnd = random.Random(6)
@@ -188,6 +203,38 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert clean[0] == "note 0 phone <PHONE> thanks" and clean[1] == "note 1 phone <PHONE> thanks" and clean[100] == rows[60][1] and clean[101] is None
 
 
+def test_counts_by_kind(spark):
+    """The query's counts and digests against its base spans, and these against one text by hand."""
+    from hashlib import sha256
+
+    text = "a@b.cd 10.0.0.1 10.0.0.256, 4111 1111 1111 1111 +1 (555) 555-0100 x@y.zz"
+    assert [k for k, _, _ in pii.base_spans(text)] == [0, 0, 1, 2, 3]
+    for r in pii.op6_pii(spark, "/root/testdata/sf0.001").join(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text"), "doc_id").collect():
+        spans = pii.base_spans(r["text"] or "")
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(x[0] == k for x in spans) for k in range(4)]
+        assert r["base_sha256"] == sha256(",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for t in ("x" * 1_000_000 + " 1", "中" * 1_000_000 + "12345", "0" * 5000 + ".1.1.1", "1 " * 300_000, "a@" * 300_000, "(1)" * 300_000):
+        pii.mentions(t, pii.base_spans(t))
+    assert time.perf_counter() - began < 15
+    assert pii.base_spans("0" * 5000 + ".1.1.1") == [(1, 0, 5006)]
+
+
+def test_spaced_groups_are_candidates():
+    found = [x[3] for x in pii.mentions("call (743) 555-3824 or 555 123 4567 now", [])]
+    assert found == ["7435553824", "5551234567"]
+
+
+def test_redaction_takes_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.cd")], "doc_id bigint, text string").selectExpr("*", "1 AS added", "2 AS k3", "3 AS `a``b`", "4 AS row", "5 AS found", "6 AS k1")
+    assert pii.redact(docs).collect()[0]["text"] == "mail <EMAIL>" and pii.redact(docs).columns == docs.columns
+
+
 def test_pii_takes_odd_rows(clashing):
     assert pii.find_pii(clashing).count() == 12 and pii.find_pii(clashing.limit(0)).count() == 0
     assert pii.redact(clashing).columns == clashing.columns and pii.redact(clashing).count() == 12

@@ -187,7 +187,7 @@ def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", confident
     new = bootstrap(edges).filter(F.col("confidence") >= confident).select("instance", F.col("kind").alias("as"))
     added = each.filter("kind < 0").join(new, "instance").groupBy(F.col("key").alias("k2"), F.col("text_hash").alias("h2")).agg(F.sort_array(F.collect_set(F.struct(F.col("as").cast("int").alias("kind"), "start", "end"))).alias("found"))
     none = F.array().cast(SPANS)
-    return seen.join(added, F.col("key").eqNullSafe(F.col("k2")) & (F.col("text_hash") == F.col("h2")), "left").select("key", "text_hash", "base", F.coalesce("found", none).alias("found"))
+    return seen.join(added, F.col("key").eqNullSafe(F.col("k2")) & (F.col("text_hash") == F.col("h2")), "left").select(F.col("key").alias(key), "text_hash", "base", F.coalesce("found", none).alias("found"))
 
 
 def span_text(spans: Column) -> Column:
@@ -202,7 +202,7 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     from a written table, so that Spark knows its size and leaves the texts in
     place if it is small.
     """
-    added = find_pii(docs, key, text).filter(F.size("found") > 0).select(F.col("key").alias("k2"), F.col("text_hash").alias("h2"), "found").dropDuplicates(["k2", "h2"])
+    added = find_pii(docs, key, text).filter(F.size("found") > 0).select(named(key).alias("k2"), F.col("text_hash").alias("h2"), "found").dropDuplicates(["k2", "h2"])
     rows = docs.select(F.struct(*(named(c) for c in docs.columns)).alias("row"), named(key).alias("k1"), F.xxhash64(named(text)).alias("h1"))
     joined = rows.join(written(added, "pii-found"), F.col("k1").eqNullSafe(F.col("k2")) & (F.col("h1") == F.col("h2")), "left").select("row", "found")
     names = docs.columns
@@ -235,4 +235,4 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     # not lambda s, k=k: a second parameter is the place in the array
     counts = (F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{name}") for kind, name in enumerate(KINDS))
-    return found.select(F.col("key").alias("doc_id"), *counts, F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.concat("base", "found")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.concat("base", "found")).alias("spans"))
