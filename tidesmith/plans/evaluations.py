@@ -150,9 +150,9 @@ def strata_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strata(spark).select(F.col("snr_label").alias("snr"), F.col("noise_kind").alias("kind"), F.col("rir_kind").alias("room"), F.col("rt60_bucket").alias("rt60"), F.format_string("%05d", "cell").alias("cell"))
 
 
-@query("SELECT s_suppkey, n_name, r_name FROM supplier JOIN (SELECT n_nationkey, n_name, r_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS k FROM nation JOIN region ON n_regionkey = r_regionkey) ON (s_suppkey - 1) % (SELECT count(*) FROM nation) = k")
+@query("SELECT s_suppkey, n_name, r_name FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS j FROM supplier) JOIN (SELECT n_nationkey, n_name, r_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS k FROM nation JOIN region ON n_regionkey = r_regionkey) ON j % (SELECT count(*) FROM nation) = k")
 def round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers dealt to the nations in turn: an equi-join on a running number's remainder."""
+    """Suppliers dealt to the nations in turn: an equi-join on a running number's remainder. Keys begin at 0, so a key less one would lose the first."""
     n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return E.round_robin(table(spark, sf_dir, "supplier"), n, ["s_suppkey"], ["n_nationkey"], n.count()).select("s_suppkey", "n_name", "r_name")
 
