@@ -63,10 +63,13 @@ def stft(df: DataFrame, samples: str = "samples", framing: spectral.Framing = sp
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            for _, row in p.iterrows():
-                s = spectral.stft(np.asarray(row[samples], float), framing)
-                rest = row.drop(samples)
-                yield pd.DataFrame([{**rest, "t": t, "re": z.real, "im": z.imag} for t, z in enumerate(s)], columns=[*rest.index, "t", "re", "im"])
+            # pieces of whole signals with about a million samples, so that spectra in memory are bounded
+            piece = np.cumsum([len(x) for x in p[samples]]) >> 20
+            for _, q in p.groupby(piece, sort=False):
+                spectra = [spectral.stft(np.asarray(x, float), framing) for x in q[samples]]
+                lengths = [len(s) for s in spectra]
+                rows = q.drop(columns=samples).iloc[np.repeat(np.arange(len(q)), lengths)]
+                yield rows.assign(t=np.concatenate([np.arange(n) for n in lengths]), re=[z for s in spectra for z in s.real], im=[z for s in spectra for z in s.imag])
 
     return df.mapInPandas(run, f"{_fields(df, samples)}, t bigint, re array<double>, im array<double>")
 

@@ -21,9 +21,19 @@ def min_tracker(sig: DataFrame, length: int) -> DataFrame:
     return blocks.withColumn("so_far", F.min("x").over(here)).join(ends, ["id", "block"], "left").select("id", "idx", F.least("so_far", "before").alias("low"))
 
 
-def fold(samples: Column, start: Column, step) -> Column:
-    """All states of a recursion over an array: state = step(state, value); the first state is step(start, first value)."""
-    return F.aggregate(samples, F.array(start), lambda a, v: F.concat(a, F.array(step(F.element_at(a, -1), v))), lambda a: F.slice(a, F.lit(2), F.size(a)))
+def fold(samples: Column, start: Column, step, chunk: int = 256) -> Column:
+    """All states of a recursion over an array: state = step(state, value); the first state is step(start, first value).
+
+    States are gathered chunk by chunk: one growing array would be copied with each value.
+    """
+
+    def states_of(first: Column, part: Column) -> Column:
+        return F.aggregate(part, F.array(first), lambda a, v: F.concat(a, F.array(step(F.element_at(a, -1), v))), lambda a: F.slice(a, F.lit(2), F.size(a)))
+
+    starts = F.sequence(F.lit(1), F.greatest(F.size(samples), F.lit(1)), F.lit(chunk))
+    parts = F.transform(starts, lambda at: F.slice(samples, at, F.lit(chunk)))
+    done = F.aggregate(parts, F.array(F.array(start)), lambda a, part: F.concat(a, F.array(states_of(F.element_at(F.element_at(a, -1), -1), part))), lambda a: F.slice(a, F.lit(2), F.size(a)))
+    return F.flatten(done)
 
 
 def gate_coefficients(frame_s: float = 0.016, attack_s: float = 0.005, release_s: float = 0.2) -> tuple[float, float]:
