@@ -181,17 +181,57 @@ def test_magic_in_payloads_is_rejected(spark, tmp_path):
     assert out[1]["payload"] == rows[0][2] and out[2]["refers_to"] == 6 and out[3]["refers_to"] == 4 and out[3]["record_type"] == "revisit" and out[3]["payload_bytes"] == 3 and out[7]["record_type"] == "response"
 
 
+def brute_records(data):
+    """(offset, block) of the records of an archive, one after another."""
+    out, at = [], 0
+    while data.startswith(warc.MAGIC, at) and (h := warc.header(data[at + len(warc.MAGIC) :])):
+        start = at + len(warc.MAGIC)
+        out.append((at, data[start + h[0] : start + h[1]]))
+        at = start + h[1] + 4
+    return out
+
+
+@pytest.mark.parametrize("ranges", [200_000, 0])
+def test_records_over_many_byte_ranges(spark, tmp_path, ranges):
+    """Ranges of 3,000 bytes, records and magic words over their ends, chains of many ranges, a file cut short and one that loses its chain."""
+    rnd = random.Random(4)
+    evil = [warc.record_of(k, "http://x", b"y" * k, None).decode() for k in (5, 300)]
+    rows = [(i, f"u{i}", "".join(rnd.choice(["z" * 200, *evil, warc.MAGIC.decode(), "\n\n"]) for _ in range(rnd.choice([0, 1, 3, 12])))) for i in range(16)]
+    warc.write_warc(spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1), str(tmp_path / "w"))
+    files = {f.name: f.read_bytes() for f in (tmp_path / "w").glob("part-*") if f.stat().st_size}
+    (tmp_path / "w" / "short.warc").write_bytes((whole := b"".join(files.values()))[: len(whole) * 2 // 3])
+    (tmp_path / "w" / "lost.warc").write_bytes(whole[:3000] + b"?" + whole[3000:])
+    (tmp_path / "w" / "none.warc").write_bytes(b"?" + whole)
+    files |= {n: (tmp_path / "w" / n).read_bytes() for n in ("short.warc", "lost.warc", "none.warc")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 3000)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        read = warc.read_warc(spark, str(tmp_path / "w"), ranges).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    found = sorted((r["file"].rsplit("/", 1)[1], r["offset"], r["payload"]) for r in read if r["record_type"] == "response")
+    wanted = sorted((n, at, block.partition(b"\r\n\r\n")[2].decode("utf-8", "replace")) for n, data in files.items() for at, block in brute_records(data) if b"WARC-Type: response" in data[at : at + 40])
+    assert found == wanted and len(found) > 20 and not any(n == "none.warc" for n, *_ in found)
+    assert len(read) == sum(len(brute_records(data)) for data in files.values())
+
+
 def test_pointer_jumping_follows_the_chain_only():
-    offsets, ends = np.array([0, 5, 10, 12, 30]), np.array([10, 12, 30, 30, 44])
-    assert warc.reachable(offsets, ends).tolist() == [True, False, True, False, True]
-    assert warc.reachable(np.array([3]), np.array([9])).tolist() == [False] and warc.reachable(np.empty(0, int), np.empty(0, int)).tolist() == []
+    at, successors = np.array([0, 5, 10, 12, 30]), np.array([10, 12, 30, 31, 44])
+    assert warc.exits(at, successors, 40).tolist() == [44, -1, 44, -1, 44]
+    assert warc.exits(np.array([3]), np.array([9]), 20).tolist() == [-1] and warc.exits(np.empty(0, int), np.empty(0, int), 9).tolist() == []
 
 
 def test_magic_without_end_takes_linear_time():
     import time
 
+    import pyarrow as pa
+
     began = time.perf_counter()
-    assert len(warc.candidates(warc.MAGIC * 100_000 + b"Content-Length: 5\r\n")[0]) == 0
+    values = [b""] * 100_000 + [b"Content-Length: 5\r\n"]
+    batch = pa.RecordBatch.from_arrays([pa.array(["f"] * len(values)), pa.array([0] * len(values), pa.int64()), pa.array(values, pa.binary())], names=["file", "block", "value"])
+    (told,) = warc.candidates(iter([batch]))
+    assert told.column("at").to_pylist() == [-1]
     assert time.perf_counter() - began < 5
 
 

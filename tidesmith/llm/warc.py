@@ -5,11 +5,15 @@ response record, the others revisit records that refer to it. A partition's
 records, one after another, are a file; Spark's text sink writes them, so any
 store that Spark knows will do.
 
-Reading: a task takes a file and emits a candidate for every place that begins
-with the record magic and has a whole header: its offset and its successor's,
-which the declared length gives. Pointer jumping from the start of the file,
-doubling the step each round, marks the candidates that the chain of records
-reaches. The others are magic words inside payloads and are rejected.
+Reading: Spark splits archives into byte ranges at the record magic. A task
+emits, for every piece that begins with a whole header, a candidate: its offset
+and its successor's, which the declared length gives, drawn together to the
+first offset that the chain from it reaches beyond the range. Pointer jumping
+from the starts of files over the candidates of all ranges, doubling the step
+each round, finds where the chain of records enters each range. From there a
+second pass keeps the candidates that the chain reaches; the others are magic
+words inside payloads and are rejected, and their pieces belong to the record
+around them, over the ends of ranges too. A chain that meets no candidate ends.
 
 A null payload counts as empty; equal empty payloads are deduplicated like any
 other. Payloads are written whole; files hold so few records that none exceeds
@@ -29,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import named, shared_dir, table, written
@@ -87,62 +91,171 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
     planned.select("id", "url", "payload", "refers").mapInArrow(run, "value string").write.option("lineSep", "\n").option("maxRecordsPerFile", rows_per_file).text(path)
 
 
-def candidates(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(offset, where its block begins, successor) of everything that looks like a record."""
-    found = []
-    at = data.find(MAGIC)
-    while at >= 0:
-        after = data.find(MAGIC, at + 1)
-        # a header ends before the next magic, so each byte is looked at once
-        end = data.find(b"\r\n\r\n", at, after if after >= 0 else len(data))
-        if end >= 0 and (m := LENGTH.search(data, at, end + 2)) and len(m[1]) < 16:
-            found.append((at, end + 4, end + 4 + int(m[1]) + 4))
-        at = after
-    x = np.array(found, np.int64).reshape(-1, 3)
-    return x[:, 0], x[:, 1], x[:, 2]
-
-
-def reachable(offsets: np.ndarray, successors: np.ndarray) -> np.ndarray:
-    """Which candidates the chain from offset 0 reaches, by pointer jumping."""
-    n = len(offsets)
-    at = np.searchsorted(offsets, successors)
-    hop = np.where((at < n) & (offsets[np.minimum(at, max(n - 1, 0))] == successors), at, n) if n else at
-    hop = np.append(hop, n)  # n: the end of the chain
-    reached = np.zeros(n + 1, bool)
-    if n and offsets[0] == 0:
-        reached[0] = True
-    while True:
-        before = reached.sum()
-        reached[hop[reached]] = True
-        hop = hop[hop]
-        if reached.sum() == before:
-            return reached[:n]
-
-
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all files under `path`: file, offset, record_type, id, url, digest, payload_bytes, refers_to, payload (null for revisits), intact (the payload has the digest)."""
-    schema = "file string, offset bigint, record_type string, id bigint, url string, digest string, payload_bytes bigint, refers_to bigint, payload string, intact boolean"
+def pieces(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, value) of the archives, cut behind each magic: `block` is where the byte range begins that holds the piece. A task reads the pieces of a range in order."""
+    cut = spark.read.option("lineSep", MAGIC.decode()).text(path)
+    return cut.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for file, data in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
-                data = data.as_py()
-                offsets, blocks, ends = candidates(data)
-                rows = []
-                for k in np.flatnonzero(reachable(offsets, ends)):
-                    head = {name: value.rstrip() for name, _, value in (x.partition(": ") for x in data[offsets[k] + len(MAGIC) : blocks[k] - 4].decode("utf-8", "replace").split("\r\n"))}
-                    block = data[blocks[k] : ends[k] - 4]
-                    split = block.find(b"\r\n\r\n")
-                    body, kind = block[split + 4 :], head.get("WARC-Type", "")
-                    n = LENGTH.search(block, 0, split + 2)
-                    page = lambda name: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?[0-9]+)>", head.get(name, ""))) else None  # noqa: B023, E731
-                    digest = head.get("WARC-Payload-Digest", "").removeprefix("sha1:")
-                    rows.append((file, int(offsets[k]), kind, page("WARC-Record-ID"), head.get("WARC-Target-URI"), digest, int(n[1]) if n else len(body), page("WARC-Refers-To"), None if kind == "revisit" else body.decode("utf-8", "replace"), None if kind == "revisit" else _sha1(body) == digest))
-                if rows:
-                    kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in schema.split(", ")])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
+
+def header(piece: bytes) -> tuple[int, int] | None:
+    """Of a piece that begins with a whole header: where its block begins and where it ends."""
+    end = piece.find(b"\r\n\r\n")
+    m = LENGTH.search(b"\r\n" + piece[: end + 2]) if end >= 0 else None
+    return (end + 4, end + 4 + int(m[1])) if m and len(m[1]) < 16 else None
+
+
+def exits(at: np.ndarray, successors: np.ndarray, total: int) -> np.ndarray:
+    """Where the chain from each candidate of a range of `total` bytes leaves it, by pointer jumping; -1 where it ends within."""
+    n = len(at)
+    if not n:
+        return successors
+    k = np.minimum(np.searchsorted(at, successors), n - 1)
+    hop = np.where(at[k] == successors, k, np.arange(n))
+    while not np.array_equal(further := hop[hop], hop):
+        hop = further
+    return np.where(successors[hop] >= total, successors[hop], -1)
+
+
+def by_range(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[bool, tuple]]:
+    """(whether a range begins, row) of each piece."""
+    held = None
+    for b in batches:
+        for row in zip(*(b.column(c).to_pylist() for c in columns), strict=True):
+            yield row[:2] != held, row
+            held = row[:2]
+
+
+def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, block, at, to) of each candidate, offsets counted from the first piece of the range and behind the magic; at = -1: the bytes of the range."""
+
+    def told(key: tuple, found: list, total: int) -> pa.RecordBatch:
+        x = np.array(found, np.int64).reshape(-1, 2)
+        at, to = np.append(x[:, 0], -1), np.append(exits(x[:, 0], x[:, 1], total), total)
+        return pa.RecordBatch.from_arrays([pa.array([key[k]] * len(at), t) for k, t in enumerate((pa.string(), pa.int64()))] + [pa.array(at), pa.array(to)], names=["file", "block", "at", "to"])
+
+    key, found, total = None, [], 0
+    for begins, (file, block, value) in by_range(batches, ("file", "block", "value")):
+        if begins:
+            if key:
+                yield told(key, found, total)
+            key, found, total = (file, block), [], 0
+        # nothing precedes a file's first piece
+        if (total or block) and (h := header(value)):
+            found.append((total, total + h[1] + 4 + len(MAGIC)))
+        total += len(value) + len(MAGIC)
+    if key:
+        yield told(key, found, total)
+
+
+def entries(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, base, entry, crossed): where each range's first piece is in its file, where, from there, the chain of records enters it (null where it does not), and whether a record of the file may go on from one range to another."""
+    links = written(pieces(spark, path).mapInArrow(candidates, "file string, block bigint, at bigint, to bigint"), "warc-links")
+    before = F.sum("to").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = written(links.filter("at < 0").select("file", "block", F.coalesce(before, F.lit(0)).alias("base"), F.sum("to").over(Window.partitionBy("file")).alias("bytes")), "warc-ranges")
+    nodes = links.filter("at >= 0").join(ranges, ["file", "block"]).select("file", "block", "at", (F.col("base") + F.col("at")).alias("p"), F.when((F.col("to") >= 0) & (F.col("base") + F.col("to") < F.col("bytes")), F.col("base") + F.col("to")).alias("q"))
+    reached = nodes.filter(F.col("p") == len(MAGIC)).select("file", "p")
+    # of files of one range no pointer leaves it, and no round is needed
+    step = nodes.filter("q IS NOT NULL").select("file", "p", "q")
+    count = 0
+    while not step.isEmpty():
+        step, reached = written(step, "warc-step"), written(reached, "warc-reached")
+        if (now := reached.count()) == count:
+            break
+        count = now
+        reached = reached.union(reached.join(step, ["file", "p"]).select("file", F.col("q").alias("p"))).distinct()
+        step = step.join(step.select("file", F.col("p").alias("q"), F.col("q").alias("r")), ["file", "q"]).select("file", "p", F.col("r").alias("q"))
+    entered = nodes.join(reached, ["file", "p"]).groupBy("file", "block").agg(F.min("at").alias("entry"))
+    crossed = F.max((F.col("base") > 0) & (F.coalesce("entry", F.lit(1)) > 0)).over(Window.partitionBy("file"))
+    return written(ranges.select("file", "block", "base").join(entered, ["file", "block"], "left").withColumn("crossed", crossed), "warc-entries")
+
+
+RECORD = "file string, offset bigint, record_type string, id bigint, url string, digest string, payload_bytes bigint, refers_to bigint, payload string, intact boolean"
+
+
+def parsed(data: bytes) -> tuple:
+    """The fields of a record from its bytes behind the magic."""
+    start, end = header(data)
+    head = {name: value.rstrip() for name, _, value in (x.partition(": ") for x in data[: start - 4].decode("utf-8", "replace").split("\r\n"))}
+    block = data[start:end]
+    split = block.find(b"\r\n\r\n")
+    body, kind = block[split + 4 :], head.get("WARC-Type", "")
+    n = LENGTH.search(block, 0, split + 2)
+    page = lambda name: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?[0-9]+)>", head.get(name, ""))) else None
+    digest = head.get("WARC-Payload-Digest", "").removeprefix("sha1:")
+    revisit = kind == "revisit"
+    return kind, page("WARC-Record-ID"), head.get("WARC-Target-URI"), digest, int(n[1]) if n else len(body), page("WARC-Refers-To"), None if revisit else body.decode("utf-8", "replace"), None if revisit else _sha1(body) == digest
+
+
+def read_warc(spark: SparkSession, path: str, broadcast_ranges: int = 200_000) -> DataFrame:
+    """The records of all files under `path`: file, offset, record_type, id, url, digest, payload_bytes, refers_to, payload (null for revisits), intact (the payload has the digest).
+
+    What is known of up to `broadcast_ranges` byte ranges is broadcast; of more it is joined, and the pieces are put in order again.
+    """
+    known, cut = entries(spark, path), pieces(spark, path)
+    if known.count() <= broadcast_ranges:
+        joined = cut.join(F.broadcast(known), ["file", "block"])
+    else:
+        joined = cut.withColumn("nr", F.monotonically_increasing_id()).join(known.hint("merge"), ["file", "block"]).sortWithinPartitions("file", "block", "nr")
+    cut = joined.select("file", "block", "value", "base", "entry", "crossed")
+    found = cut.mapInArrow(assembled, f"{RECORD}, part bigint, bytes binary")
+    whole = found.filter("part IS NULL").drop("part", "bytes")
+    if known.filter("crossed").isEmpty():
+        return whole
+    # the parts of records that go over the end of a range; those without an offset belong to the last record before them
+    parts = cut.filter("crossed").mapInArrow(assembled, f"{RECORD}, part bigint, bytes binary").filter("part IS NOT NULL")
+    owner = F.last("offset", ignorenulls=True).over(Window.partitionBy("file").orderBy("part"))
+    over = parts.withColumn("offset", owner).filter("offset IS NOT NULL").groupBy("file", "offset").agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "bytes"))), lambda x: x["bytes"]).alias("parts"))
+    return whole.unionByName(over.mapInArrow(rejoined, RECORD))
+
+
+NAMES = [f.split()[0] for f in RECORD.split(", ")]
+TYPES = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
+
+
+def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records from the pieces of ranges. What a range may not hold whole comes as rows with `part`, its place in the file, and `bytes`; without an offset if its record began in an earlier range."""
+    rows: list[tuple] = []
+    file = base = chain = None
+    crossed, opened, wanted, at, held = False, -1, 0, 0, []
+
+    def close() -> None:
+        """Ends the record at hand (opened: its place in the range), or what precedes the first (-1)."""
+        data = MAGIC.join(held)
+        if opened >= 0 and (len(data) >= wanted or not crossed):
+            rows.append((file, base + opened - len(MAGIC), *parsed(data), None, None))
+        elif held and crossed:
+            rows.append((file, base + opened - len(MAGIC) if opened >= 0 else None, *[None] * 8, base + max(opened, 0), data))
+        held.clear()
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (*TYPES, pa.int64(), pa.binary()), strict=True)], names=[*NAMES, "part", "bytes"])
+
+    size = 0
+    for begins, (name, _, value, where, entry, over) in by_range(batches, ("file", "block", "value", "base", "entry", "crossed")):
+        if begins:
+            close()
+            file, base, chain, crossed, opened, at = name, where, entry, over, -1, 0
+        if at == chain and (h := header(value)):
+            close()
+            opened, wanted, chain = at, h[1], at + h[1] + 4 + len(MAGIC)
+        if at < opened + wanted if opened >= 0 else crossed:
+            held.append(value)
+        at += len(value) + len(MAGIC)
+        size += len(value)
+        if size > 4 << 20 and rows:
+            yield batch()
+            rows, size = [], 0
+    close()
+    if rows:
+        yield batch()
+
+
+def rejoined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records from their parts."""
+    for b in batches:
+        done = [(f, o, *parsed(MAGIC.join(x))) for f, o, x in zip(*(b.column(c).to_pylist() for c in ("file", "offset", "parts")), strict=True)]
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), TYPES, strict=True)], names=NAMES)
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
