@@ -15,7 +15,7 @@ COLUMNS = {
     "op1": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", "op2": "doc_id n_tokens ids_sha256 decoded_sha256", "op3": "doc_id held_out score predicted",
     "op4": "page_id payload_bytes payload_digest record_type refers_to", "op5": "doc_id held_out lang_pred score", "op6": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
     "op7": "doc_id n_shingles component_id", "op8": "doc_id piece start length ids_crc32 sequence_id offset", "op9": "page_id url text n_chars", "op10": "query_id rank vec_id score",
-    "op12": "page_id host path rule verdict", "op13": "item_id rank doc_id score",
+    "op11": "lang rank phrase a l r n score", "op12": "page_id host path rule verdict", "op13": "item_id rank doc_id score",
 }
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, compression, html_text, language_id, lexical, ngram_join, packing, pii, quality_rules, topk, url_rules, warc
+from . import bpe, collocations, compression, html_text, language_id, lexical, ngram_join, packing, pii, quality_rules, topk, url_rules, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": packing.op8_packing,
         "op9_html_text": html_text.op9_html_text,
         "op10_topk_search": topk.op10_topk_search,
+        "op11_collocations": collocations.op11_collocations,
         "op12_url_rules": url_rules.op12_url_rules,
         "op13_lexical_search": lexical.op13_lexical_search,
         "pipeline": corpus_pipeline.run,
@@ -34,6 +35,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_quality_rules": quality_rules.OP1_SQL,
         "op4_warc": warc.OP4_SQL,
         "op10_topk_search": topk.OP10_SQL,
+        "op11_collocations": collocations.OP11_SQL,
         "op12_url_rules": url_rules.OP12_SQL,
         "op13_lexical_search": lexical.OP13_SQL,
     }
