@@ -173,7 +173,7 @@ def test_magic_in_payloads_is_rejected(spark, tmp_path):
     evil = warc.record_of(99, "http://x", b"inner", None).decode()
     rows = [(1, "u", f"a {evil} b {evil}"), (2, None, None), (3, "", "abc"), (4, "z\r\nContent-Length: 9", "abc"), (5, "q", "é\r\n"), (6, "", ""), (7, "w", evil), (7, "w", evil), (8, "http://x/WARC/1.0", "x"), (None, "n", "x"), (None, "n", "alone"), (9, "big", "z" * 300_000)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "1 AS id", "2 AS digest", "3 AS last", "4 AS n")
-    warc.write_warc(pages, str(tmp_path / "w"), most_rows=3)
+    warc.write_warc(pages, str(tmp_path / "w"), rows_per_file=3)
     read = warc.read_warc(spark, str(tmp_path / "w")).collect()
     out = {r["id"]: r for r in read if r["id"] is not None}
     assert len(read) == len(rows) and {(r["record_type"], r["refers_to"]) for r in read if r["id"] is None} == {("revisit", 8), ("response", None)}
@@ -216,6 +216,31 @@ def test_records_over_many_byte_ranges(spark, tmp_path, ranges):
     assert len(read) == sum(len(brute_records(data)) for data in files.values())
 
 
+@pytest.mark.parametrize("size", [None, 200])
+def test_payloads_that_end_in_the_magic(spark, tmp_path, size):
+    """Any part of the magic at a payload's end, with the blank lines behind it, stays in the payload, whatever the ranges."""
+    magic = warc.MAGIC.decode()
+    rows = [(k, "u", f"hello {k} " + magic[:k]) for k in range(len(magic) + 1)] + [(20 + k, "u", f"{k}" + magic * k + "WARC/1.0") for k in range(4)] + [(30, "u", "x" * 700 + "WARC/1.0"), (31, "u", "WARC/1.0")]
+    warc.write_warc(spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(2), str(tmp_path / "w"), rows_per_file=5)
+    if size:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        read = warc.read_warc(spark, str(tmp_path / "w")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted((r["id"], r["payload"], r["payload_bytes"], r["intact"]) for r in read) == [(i, t, len(t), True) for i, _, t in rows]
+
+
+def test_a_payload_other_than_its_header_says_is_not_intact(spark, tmp_path):
+    record = warc.record_of(1, "u", b"payload", None)
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "a.warc").write_bytes(record + record.replace(b"\r\n\r\npayload", b"\r\n\r\npayl0ad"))
+    a, b = sorted(warc.read_warc(spark, str(tmp_path / "w")).collect(), key=lambda r: r["offset"])
+    assert a["intact"] and not b["intact"] and b["payload"] == "payl0ad" and b["digest"] != a["digest"] and b["payload_bytes"] == 7
+
+
 def test_pointer_jumping_follows_the_chain_only():
     at, successors = np.array([0, 5, 10, 12, 30]), np.array([10, 12, 30, 31, 44])
     assert warc.exits(at, successors, 40).tolist() == [44, -1, 44, -1, 44]

@@ -16,9 +16,11 @@ words inside payloads and are rejected, and their pieces belong to the record
 around them, over the ends of ranges too. A chain that meets no candidate ends.
 
 A null payload counts as empty; equal empty payloads are deduplicated like any
-other. Payloads are written whole; files hold so few records that none exceeds
-`file_bytes`, unless one record does. Rows that repeat an id, ties among them,
-are written each. A row with a null id is a record that reads back with a null
+other. Payloads are written whole, `rows_per_file` records to a file at most;
+files are read in parts, so their size needs no bound. A magic, or the
+beginning of one, at the end of a payload stays there. Size and digest of a
+response are those of the bytes read, and `intact` says whether its header has
+the same. Rows that repeat an id, ties among them, are written each. A row with a null id is a record that reads back with a null
 id; it revisits an equal payload with an id, and is a response without one. An
 empty table gives no records. Extra columns play no part.
 """
@@ -70,15 +72,12 @@ def record_of(page: int | None, url: str, payload: bytes, refers: int | None) ->
     return MAGIC + "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0, file_bytes: int = 256 << 20, most_rows: int = 2000) -> None:
+def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0, rows_per_file: int = 2000) -> None:
     """Writes a record for each page. Payloads of fewer than `least_bytes` bytes are never revisits."""
     body = F.coalesce(named(payload), F.lit(""))
     one = pages.select(named(key).alias("id"), F.coalesce(named(url), F.lit("")).alias("url"), body.alias("payload"), F.sha1(body.cast("binary")).alias("digest"), F.octet_length(body).alias("n"))
     # the one row of a digest that is a response: only digests of at least two rows matter, and those travel without payloads
-    groups = written(one.groupBy("digest", "n").agg(F.max("id").alias("last"), F.count(F.lit(1)).alias("rows")).filter((F.col("rows") > 1) | (F.col("n") > file_bytes // most_rows)), "warc-groups")
-    longest = groups.agg(F.max("n")).first()[0] or 0
-    rows_per_file = max(1, min(most_rows, file_bytes // max(longest, 1)))
-    last = groups.filter((F.col("rows") > 1) & (F.col("n") >= least_bytes)).select("digest", "last")
+    last = one.groupBy("digest", "n").agg(F.max("id").alias("last"), F.count(F.lit(1)).alias("rows")).filter((F.col("rows") > 1) & (F.col("n") >= least_bytes)).select("digest", "last")
     # written first: Spark then knows its size, and leaves the payloads in place if it is small
     planned = one.join(written(last, "warc-last"), "digest", "left").withColumn("refers", F.when(~F.col("last").eqNullSafe(F.col("id")), F.col("last")))
 
@@ -181,9 +180,12 @@ def parsed(data: bytes) -> tuple:
     body, kind = block[split + 4 :], head.get("WARC-Type", "")
     n = LENGTH.search(block, 0, split + 2)
     page = lambda name: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?[0-9]+)>", head.get(name, ""))) else None
-    digest = head.get("WARC-Payload-Digest", "").removeprefix("sha1:")
-    revisit = kind == "revisit"
-    return kind, page("WARC-Record-ID"), head.get("WARC-Target-URI"), digest, int(n[1]) if n else len(body), page("WARC-Refers-To"), None if revisit else body.decode("utf-8", "replace"), None if revisit else _sha1(body) == digest
+    digest, size = head.get("WARC-Payload-Digest", "").removeprefix("sha1:"), int(n[1]) if n else len(body)
+    names = page("WARC-Record-ID"), head.get("WARC-Target-URI")
+    if kind == "revisit":  # its payload is elsewhere
+        return kind, *names, digest, size, page("WARC-Refers-To"), None, None
+    read = _sha1(body)
+    return kind, *names, read, len(body), page("WARC-Refers-To"), body.decode("utf-8", "replace"), (read, len(body)) == (digest, size)
 
 
 def read_warc(spark: SparkSession, path: str, broadcast_ranges: int = 200_000) -> DataFrame:
@@ -238,7 +240,8 @@ def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if at == chain and (h := header(value)):
             close()
             opened, wanted, chain = at, h[1], at + h[1] + 4 + len(MAGIC)
-        if at < opened + wanted if opened >= 0 else crossed:
+        # a piece whose magic begins within the record belongs to it, be it for the magic alone
+        if at - len(MAGIC) < opened + wanted if opened >= 0 else crossed:
             held.append(value)
         at += len(value) + len(MAGIC)
         size += len(value)
