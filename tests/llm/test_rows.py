@@ -106,6 +106,30 @@ def test_classifier_takes_odd_rows(spark, clashing):
     assert compression.compression_score(clashing.limit(0), model).count() == 0
 
 
+def test_one_long_labelled_text_leaves_the_dictionaries_whole(spark):
+    """Wherever a text longer than a dictionary comes in the draw, the others still fill it."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    base = docs.join(labels, "doc_id").select("text", "quality")
+    plain = compression.fit(base)
+    for k in range(3):  # another text, another place in the draw
+        long = f"### {k} $$$ " * 300_000
+        model = compression.fit(base.unionByName(spark.createDataFrame([(long, 0)], "text string, quality int")))
+        added = len(model.bad) - len(plain.bad)
+        assert model.good == plain.good and model.spread and added in (0, 2_000_000 // 16 + 1, 2_000_000 // 16 // 4096 * 4096 + 1, 30 * (125_000 // 30) + 1)
+        assert model.slope > plain.slope / 2
+    small = compression.fit(base, dictionary=20_000)
+    assert 15_000 < len(small.good) <= 20_000 + base.count() and small.slope > 0
+
+
+def test_strips_are_spread_over_a_text():
+    data = bytes(range(256)) * 400
+    assert compression.strips(data, len(data)) == data
+    cut = compression.strips(data, 20_000)
+    assert len(cut) == 20_000 and cut[:5000] == data[:5000] and cut[15_000:20_000] == data[int(3 * len(data) / 4) : int(3 * len(data) / 4) + 5000]
+    assert len(compression.strips(b"x" * 100, 7)) == 7
+
+
 def test_measure_equals_brute_force():
     import zstandard as zs
 

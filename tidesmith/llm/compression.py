@@ -30,14 +30,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from pyspark.sql import Window
 from pyspark.sql import types as T
 
 from .common import crc_mod, named, rows_by_batch, slim, table, written
 
 #: Bytes of a text that are compressed at once: short blocks lean on the dictionary.
 BLOCK = 512
+#: Of its dictionary a text may take one part in so many; a longer one gives pieces of STRIP bytes, spread over it evenly.
+PARTS, STRIP = 16, 4096
 
 
 @dataclass
@@ -83,6 +83,15 @@ def measure(texts: list[str | None], compressors) -> tuple[np.ndarray, np.ndarra
     return out, empty
 
 
+def strips(data: bytes, most: int) -> bytes:
+    """At most `most` bytes of a text: all of it, or pieces from its beginning to its end."""
+    if len(data) <= most:
+        return data
+    n = max(1, most // STRIP)
+    size, step = most // n, len(data) / n
+    return b"".join(data[int(k * step) : int(k * step) + size] for k in range(n))
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(steps):
@@ -99,7 +108,8 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "quality", rows: i
     """A model from a sample of labelled rows: at most about `rows` of each label, drawn by a hash of the text.
 
     Three quarters of the drawn texts, by another hash, may become dictionary:
-    whole texts in the order of their draw, as many as `dictionary` bytes hold.
+    in the order of their draw each that still fits into `dictionary` bytes. A
+    text of more than a sixteenth of that gives even pieces of so much in all.
     One label may have more bytes than the other; the curve allows for it. It is
     fitted on the last quarter. `whole` has the rows of each label that `labelled` was
     drawn from, if it is itself a sample; the curve is fitted to their shares.
@@ -115,14 +125,24 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "quality", rows: i
         return model
     rates = {y: min(1.0, rows / n) for y, n in counts.items()}
     drawn = known.filter(F.col("draw") < F.when(F.col("y") == 1, rates[1]).otherwise(rates[0]))
-    # the running bytes of at most `rows` drawn rows of a label; texts stay where they are until it is known which fit
-    upto = F.sum("bytes").over(Window.partitionBy("y").orderBy("draw", "text").rowsBetween(Window.unboundedPreceding, 0))
-    running = written(drawn.filter("part > 0").select("y", "text", "draw", "bytes").withColumn("upto", upto).filter(F.col("upto") <= dictionary), "dictionary")
-    sizes = {r["y"]: r["n"] for r in running.groupBy("y").agg(F.max("upto").alias("n")).collect()}
-    if len(sizes) < 2:
+    # at most about `rows` rows of a label, without their texts, say which fit
+    most = max(1, dictionary // PARTS)
+    mark, left, chosen = F.xxhash64("text", F.lit(43)), {0: dictionary, 1: dictionary}, []
+    for r in sorted(drawn.filter("part > 0").select("y", "draw", mark.alias("mark"), F.least("bytes", F.lit(most)).alias("bytes")).collect(), key=lambda r: (r["draw"], r["mark"])):
+        if r["bytes"] <= left[r["y"]]:
+            left[r["y"]] -= r["bytes"]
+            chosen.append((r["mark"],))
+    if dictionary in left.values():
         return model
-    texts = running.select("y", "draw", "text").collect()
-    parts = {y: b"\n".join(r["text"].encode("utf-8", "surrogatepass") for r in sorted(texts, key=lambda r: (-r["draw"], r["text"])) if r["y"] == y) for y in (0, 1)}
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = [strips((t or "").encode("utf-8", "surrogatepass"), most) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("y"), b.column("draw"), pa.array(data, pa.binary())], names=["y", "draw", "data"])
+
+    fitting = drawn.filter("part > 0").withColumn("mark", mark).join(F.broadcast(known.sparkSession.createDataFrame(chosen, "mark bigint").distinct()), "mark", "left_semi")
+    texts = fitting.select("y", "draw", "text").mapInArrow(slim(cut), "y int, draw double, data binary").collect()
+    parts = {y: b"\n".join(bytes(r["data"]) for r in sorted(texts, key=lambda r: (-r["draw"], r["data"])) if r["y"] == y) for y in (0, 1)}
     model.good, model.bad = parts[1], parts[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
