@@ -60,6 +60,24 @@ def test_pipeline_on_an_empty_table(spark):
         assert stage(spark, empty, SF).count() == 0
 
 
+def test_pipeline_keeps_columns_of_any_name(spark):
+    """Extra columns that bear the names of results, or odd ones; repeated ids, a text of 1 MB, nulls."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    long = docs.filter("doc_id = 1").withColumn("text", F.expr("repeat(text || ' ', cast(1000000 / length(text) AS int))")).withColumn("doc_id", F.lit(10**6).cast("bigint"))
+    docs = docs.unionByName(docs.filter("doc_id < 20")).unionByName(long).unionByName(docs.filter("doc_id < 3").withColumn("text", F.lit(None).cast("string")))
+    extra = {"score": 777, "predicted": 778, "lang_pred": 779, "component_id": 780, "n_shingles": 781, "a.b": 782, "we`ird": 783, "others": 784}
+    for c, v in extra.items():
+        docs = docs.withColumn(c, F.lit(v))
+    docs = docs.withColumn("m", F.array(F.struct(F.lit(1).alias("k"))))
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == columns
+    rows = docs.collect()
+    assert rows and all(r[c] == v for r in rows for c, v in extra.items()) and all(r["m"][0]["k"] == 1 for r in rows)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).select("doc_id").distinct().count() == len({r["doc_id"] for r in rows})
+
+
 def test_run_equals_its_stages(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0

@@ -73,6 +73,33 @@ def test_codec_equals_the_library():
         assert own.decode(ids) == library.decode(want, skip_special_tokens=False)
 
 
+def test_ids_of_all_documents_equal_the_library(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.default_tokenizer())
+    out = {r["doc_id"]: r for r in bpe.op2_bpe(spark, SF).collect()}
+    for doc, text in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect():
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        assert out[doc]["n_tokens"] == len(ids) and out[doc]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert out[doc]["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_long_words_are_not_remembered():
+    own = bpe.BpeCodec()
+    for k in range(50):
+        own.encode_bytes(("x1" * 5000 + str(k) + " ") * 2 + "é" * 9000)
+    assert sum(map(len, own.words)) + sum(len(v) for v in own.words.values()) < 100_000 and sum(map(len, own.pieces)) < 100_000
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "one two", 5)], "doc_id bigint, text string, `a.b` int").withColumn("we`ird", F.lit(6))
+    names, prototypes = language_id.fit_profiles(df.withColumn("lang", F.lit("en")))
+    for out in (bpe.bpe_decode(bpe.bpe_encode(df)), quality_rules.quality_rules(df), language_id.language_id(df, names, prototypes)):
+        row = out.first()
+        assert (row["a.b"], row["we`ird"], row["text"]) == (5, 6, "one two")
+    assert bpe.bpe_digests(df.withColumnRenamed("doc_id", "d.x"), "d.x").first()["d.x"] == 1
+
+
 def test_encode_and_decode_columns(clashing):
     out = bpe.bpe_decode(bpe.bpe_encode(clashing)).collect()
     by = {r["doc_id"]: r for r in out}

@@ -345,6 +345,25 @@ def test_html_of_the_table_equals_brute_force(spark):
     assert {r["page_id"]: r["text"] for r in html_text.op9_html_text(spark, SF).collect()} == want
 
 
+@pytest.mark.parametrize("page", ["<a " * 100_000 + '"', "<a " * 100_000 + "'x", "<script></script" + "</script" * 50_000, '<a b="' * 50_001, "<a '\"" * 30_000, "<!--" * 50_000, "<p " * 100_000])
+def test_unclosed_tags_and_quotes_take_linear_time(page):
+    import time
+
+    began = time.perf_counter()
+    html_text.blocks(page)
+    assert time.perf_counter() - began < 2
+
+
+def test_a_quote_without_a_partner_opens_nothing():
+    assert [t for t, _, _ in html_text.blocks('<p>a <b class="x>y</p><p>z</p>')] == ["a y", "z"]
+    assert [t for t, _, _ in html_text.blocks("a<x y='>'>b<i")] == ["ab"]
+
+
+def test_words_in_class_names_drop_no_paragraph_of_an_article():
+    page = "<article><p class='share-price'>Share price rose</p><p class='related-work'>r</p><p id='notice'>n</p><section class='comments-policy'>c</section><div class='x comments'>gone</div><p><math>m</math><label>l</label></p></article><div class='cookie-notice'>gone</div>"
+    assert [t for t, _, dropped in html_text.blocks(page) if not dropped] == ["Share price rose", "r", "n", "c", "ml"]
+
+
 def test_odd_markup_takes_linear_time():
     import time
 

@@ -6,10 +6,14 @@ names has changed meanwhile, else merged, and the new neighbours' ranks are
 pushed. Decoding joins the vocabulary strings of the ids.
 
 Words between white space are independent of each other, so a worker remembers
-the ids of the words it has seen, in a bounded memory.
+the ids of the words of up to 64 characters that it has seen, in a bounded
+memory; longer ones are encoded each time.
 
 Null and empty texts encode to no ids and decode to the empty text. Long texts
-are encoded whole. Repeated rows get equal ids.
+are encoded whole; batches are cut so that a worker holds few of them. Repeated
+rows get equal ids. There are no ties: of equal ranks the leftmost pair merges
+first. An empty table gives an empty one. Extra columns, of any name, are
+untouched, but for result names, which are replaced.
 """
 
 from __future__ import annotations
@@ -24,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
-from .common import table
+from .common import by_arrow, named, rows_by_batch, table
 
 #: Fixed values of this tokenizer's file: the pieces that its pre-tokenizer splits a word into.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -49,13 +54,17 @@ def byte_characters() -> list[str]:
 
 
 class Remembered(dict):
-    """What `make` gives for a key, for the keys met lately: of two generations the older goes when the younger is full."""
+    """What `make` gives for a key, for the keys of up to LONGEST characters met lately: of two generations the older goes when the younger is full."""
+
+    LONGEST = 64
 
     def __init__(self, make, most: int):
         super().__init__()
         self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key: str) -> bytes:
+        if len(key) > self.LONGEST:
+            return self.make(key)
         if (found := self.old.get(key)) is None:
             found = self.make(key)
         if len(self) >= self.most:
@@ -180,11 +189,11 @@ def bpe_encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for b in batches:
+        for b in rows_by_batch(batches, column=text):
             found = [np.frombuffer(own.encode_bytes(t), "<u4").astype(np.int64) for t in b.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in stay), pa.array(found, pa.list_(pa.int64()))], names=[*stay, ids])
 
-    return df.select(*dict.fromkeys([*stay, text])).mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*stay).schema), f"`{ids}` array<bigint>"]))
+    return by_arrow(df.select(*map(named, dict.fromkeys([*stay, text]))), run, [*(df.schema[c] for c in stay), T.StructField(ids, T.ArrayType(T.LongType()))])
 
 
 def bpe_decode(df: DataFrame, ids: str = "ids", text: str = "decoded", path: str | None = None) -> DataFrame:
@@ -197,18 +206,17 @@ def bpe_decode(df: DataFrame, ids: str = "ids", text: str = "decoded", path: str
             found = [own.decode(np.asarray(x or [], np.int64)) for x in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in stay), pa.array(found, pa.string())], names=[*stay, text])
 
-    return df.select(*dict.fromkeys([*stay, ids])).mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*stay).schema), f"`{text}` string"]))
+    return by_arrow(df.select(*map(named, dict.fromkeys([*stay, ids]))), run, [*(df.schema[c] for c in stay), T.StructField(text, T.StringType())])
 
 
 def bpe_digests(df: DataFrame, key: str, text: str = "text", path: str | None = None) -> DataFrame:
     """key, n_tokens, ids_sha256 and decoded_sha256: encoding and decoding in one pass, so no ids cross between workers."""
     from hashlib import sha256
 
-    kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for b in batches:
+        for b in rows_by_batch(batches, column=text):
             n, encoded, decoded = [], [], []
             for t in b.column(text):
                 data = own.encode_bytes(t.as_py())
@@ -217,7 +225,8 @@ def bpe_digests(df: DataFrame, key: str, text: str = "text", path: str | None =
                 decoded.append(sha256(own.decode(np.frombuffer(data, "<u4")).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(key), pa.array(n, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    digests = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    return by_arrow(df.select(named(key), named(text)), run, [df.schema[key], *digests])
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +60,19 @@ def rows_by_batch(batches: Iterable[pa.RecordBatch], most_bytes: int = 1 << 20,
                 start = i
 
 
+def by_arrow(df: DataFrame, run, results: list[T.StructField]) -> DataFrame:
+    """mapInArrow for columns of any name, such as a.b or one with a backtick, which mapInArrow itself does not take."""
+    names = df.columns
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in run(pa.RecordBatch.from_arrays(x.columns, names=names) for x in batches):
+            yield pa.RecordBatch.from_arrays(b.columns, names=places)
+
+    places = [f"c{i}" for i in range(len(results))]
+    kinds = T.StructType([T.StructField(p, f.dataType) for p, f in zip(places, results, strict=True)])
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(slim(whole), kinds).toDF(*(f.name for f in results))
+
+
 def slim(run):
     """A batch function that hands free memory back to the system when its task ends: workers live on and would keep it."""
 

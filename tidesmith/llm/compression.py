@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, named, rows_by_batch, slim, table, written
+from .common import by_arrow, crc_mod, named, rows_by_batch, slim, table, written
 
 #: Bytes of a text that are compressed at once: short blocks lean on the dictionary.
 BLOCK = 512
@@ -173,7 +173,7 @@ def compression_score(docs: DataFrame, model: Model, text: str = "text", thresho
             s = model.score(*measure(b.column(text).to_pylist(), compressors))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in stay), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=[*stay, "score", "predicted"])
 
-    return docs.mapInArrow(slim(run), T.StructType([*(docs.schema[c] for c in stay), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return by_arrow(docs, run, [*(docs.schema[c] for c in stay), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
 
 def held_out() -> Column:

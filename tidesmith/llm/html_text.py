@@ -54,22 +54,37 @@ COPY = 0.85
 #: Characters of HTML for one suffix array.
 CHARS = 2_400_000
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)", re.S)
+TAG_MARKS = re.compile("[>\"']")
 ATTRIBUTES = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 SPACES = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas select option button xmp noembed noframes".split())
-DROPPED = frozenset("head nav header footer aside form menu dialog figure-nav label fieldset audio video map".split())
+RAW = frozenset("script style noscript template textarea title iframe svg select option button xmp noembed noframes".split())
+DROPPED = frozenset("head nav header footer aside form menu fieldset audio video map".split())
+#: What holds running text: within an article its class and id decide nothing.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption summary span em strong b i a code q mark small sub sup".split())
 BLOCKS = frozenset("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 MAIN = frozenset(("article", "main"))
 AWAY = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|share|sharing|social|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|footer|masthead|comments?|comment-list|disqus|related|recommend\w*|widget|toolbar|skip-link|login|signup)(?:$|[\s_-])", re.I)
 AWAY_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog alert toolbar".split())
 
 
-def _away(attributes: str) -> bool:
+def tag_end(page: str, at: int, last: dict[str, int]) -> int:
+    """Where a tag ends whose name ends at `at`: at the first > outside quotes, or with the page. A quote that is the last of its kind opens nothing (`last` has where those are), so no scan is in vain."""
+    while m := TAG_MARKS.search(page, at):
+        at, mark = m.end(), m[0]
+        if mark == ">":
+            return at
+        if m.start() < last[mark]:
+            at = page.index(mark, at) + 1
+    return len(page)
+
+
+def _away(attributes: str, whole: bool) -> bool:
+    """Whether attributes say that an element is none of the page's text. `whole`: a class or an id must be such a word, not only have one as a part."""
     for name, value in ATTRIBUTES.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id") and AWAY.search(value) or name == "role" and value.lower() in AWAY_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+        if name in ("class", "id") and (any(AWAY.fullmatch(x) for x in value.split()) if whole else AWAY.search(value)) or name == "role" and value.lower() in AWAY_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) or name == "itemprop" and value.lower() == "comment":
             return True
@@ -99,6 +114,7 @@ def blocks(page: str, markup: bool = True) -> list[tuple[str, bool, bool]]:
         return name
 
     n = len(page)
+    last = {q: page.rfind(q) for q in "\"'"}
     while at < n:
         m = MARKUP.search(page, at)
         if m is None:
@@ -111,6 +127,8 @@ def blocks(page: str, markup: bool = True) -> list[tuple[str, bool, bool]]:
         if name is None:
             continue
         name = name.lower()
+        at = tag_end(page, at, last)
+        attributes = page[m.end() : at].removesuffix(">")
         if m[1]:  # an end tag
             if name in BLOCKS or name in DROPPED:
                 close()
@@ -119,9 +137,9 @@ def blocks(page: str, markup: bool = True) -> list[tuple[str, bool, bool]]:
                     pass
             continue
         if name in RAW:
-            if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else n
+            if not attributes.rstrip().endswith("/"):
+                end = re.compile(rf"</{name}\b", re.I).search(page, at)
+                at = page.find(">", end.end()) + 1 or n if end else n
             parts.append(" ")
             continue
         if name == "br":
@@ -132,9 +150,9 @@ def blocks(page: str, markup: bool = True) -> list[tuple[str, bool, bool]]:
             continue
         if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:  # an end tag left out
             pop()
-        d = name in DROPPED and not (name == "header" and inside > 0) or bool(m[3]) and _away(m[3])
+        d = name in DROPPED and not (name == "header" and inside > 0) or bool(attributes) and not (inside > 0 and name in TEXTUAL) and _away(attributes, inside > 0)
         a = name in MAIN and not d
-        if name not in MAIN and m[3] and 'role="main"' in m[3].lower():
+        if name not in MAIN and 'role="main"' in attributes.lower():
             a = True
         stack.append((name, a, d))
         open_tags[name] += 1

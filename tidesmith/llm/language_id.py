@@ -24,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import crc_mod, rows_by_batch, slim, table
+from .common import by_arrow, crc_mod, named, rows_by_batch, slim, table
 
 GRAM = 3
 
@@ -106,12 +107,13 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def fit_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 1000, dimensions: int = 1024) -> tuple[list[str], np.ndarray]:
     """Languages in order and their prototypes, from about `per_language` rows of each, chosen by a hash of the text."""
-    counts = {r[lang]: r["n"] for r in labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).groupBy(lang).agg(F.count(F.lit(1)).alias("n")).collect()}
+    known = labelled.select(named(lang).alias("lang"), named(text).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return [], np.zeros((0, dimensions))
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))])
-    draw = F.pmod(F.xxhash64(text, F.lit(3)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).filter(draw < share[F.col(lang)]).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    draw = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    rows = known.filter(draw < share[F.col("lang")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, total = Letters(dimensions), {}
@@ -147,8 +149,7 @@ def language_id(docs: DataFrame, names: list[str], prototypes: np.ndarray, text:
                 score = np.where(size > 0, np.clip(cosine[np.arange(len(best)), best], 0, 1), 0).astype(np.float64)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in stay), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*stay, "lang_pred", "score"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*stay).schema), "lang_pred string", "score double"])
-    return docs.mapInArrow(slim(run), schema)
+    return by_arrow(docs, run, [*(docs.schema[c] for c in stay), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
 def held_out() -> Column:

@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import rows_by_batch, table
+from .common import by_arrow, named, rows_by_batch, table
 from .wordscan import SPACE, Scan
 
 SYMBOL = np.zeros(256, bool)
@@ -129,18 +130,18 @@ def cascade(texts: pa.Array, rules: Sequence[Rule], report: Sequence[str] = (),
     return known, ~rejected, met
 
 
-def order_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 512, text: str = "text") -> list[tuple[Rule, float, float]]:
-    """Rules by falling rejection per cost, with share rejected and seconds a text, measured on about `sample_rows` rows of the whole table."""
+def order_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 512, text: str = "text", report: Sequence[str] = ()) -> list[tuple[Rule, float, float]]:
+    """Rules by falling rejection per cost, with share rejected and seconds a text, measured on about `sample_rows` rows of the whole table. Features in `report` are there for all texts, and cost a rule nothing."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally: dict[str, list[float]] = {}
-        for b in rows_by_batch(batches, column=text):
-            cascade(b.column(text), rules, tally=tally)
+        for b in rows_by_batch(batches):
+            cascade(b.column("text"), rules, report, tally)
         names = list(tally)
         yield pa.RecordBatch.from_pydict({"rule": names, "met": [float(tally[r][0]) for r in names], "out": [float(tally[r][1]) for r in names], "s": [tally[r][2] for r in names]})
 
     share = min(1.0, sample_rows / max(1, docs.count()))
-    found = docs.select(text).sample(share, seed=7).mapInArrow(measure, "rule string, met double, out double, s double")
+    found = docs.select(named(text).alias("text")).sample(share, seed=7).mapInArrow(measure, "rule string, met double, out double, s double")
     by = {r["rule"]: r for r in found.groupBy("rule").agg(F.sum("met").alias("met"), F.sum("out").alias("out"), F.sum("s").alias("s")).collect()}
     rate = {r.name: ((by[r.name]["out"] / max(by[r.name]["met"], 1), by[r.name]["s"] / max(by[r.name]["met"], 1)) if r.name in by else (0.0, 1.0)) for r in rules}
     return sorted(((r, *rate[r.name]) for r in rules), key=lambda x: -x[1] / max(x[2], 1e-9))
@@ -148,7 +149,7 @@ def order_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int
 
 def quality_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, report: Sequence[str] = (), sample_rows: int = 512, text: str = "text") -> DataFrame:
     """docs with the reported features, `kept`, and `rules_met` (rules run on the text before its verdict)."""
-    ordered = [r for r, _, _ in order_rules(docs, rules, sample_rows, text)]
+    ordered = [r for r, _, _ in order_rules(docs, rules, sample_rows, text, report)]
     names = [*report, "kept", "rules_met"]
     stay = [c for c in docs.columns if c not in names]
 
@@ -157,8 +158,8 @@ def quality_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, report: Sequen
             known, kept, met = cascade(b.column(text), ordered, report)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in stay), *(pa.array(known[f].astype(np.int64)) for f in report), pa.array(kept), pa.array(met)], names=[*stay, *names])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*stay).schema), *(f"{f} bigint" for f in report), "kept boolean", "rules_met bigint"])
-    return docs.select(*stay).mapInArrow(run, schema)
+    results = [*(T.StructField(f, T.LongType()) for f in report), T.StructField("kept", T.BooleanType()), T.StructField("rules_met", T.LongType())]
+    return by_arrow(docs.select(*map(named, stay)), run, [*(docs.schema[c] for c in stay), *results])
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
