@@ -155,6 +155,23 @@ def test_plans_hold_every_piece_and_little_else(seed):
     assert sum(t for t, _ in uses) <= 1.03 * sum(n * c for n, c in histogram.items()) / 100 + 2
 
 
+@pytest.mark.parametrize("kind", ["lognormal", "hundredfold", "wide", "thirds", "few"])
+def test_no_plan_is_worse_than_best_fit(kind):
+    r = np.random.default_rng(7)
+    lengths = {"wide": r.integers(1000, 3501, 50_000), "thirds": np.clip(r.normal(1365, 60, 60_000).astype(int), 1, 4096), "few": r.integers(1, 4000, 300)}.get(kind, np.clip(r.lognormal(6, 1.2, 200_000).astype(int), 1, 4096))
+    histogram = Counter((lengths).tolist())
+    if kind == "hundredfold":
+        histogram = Counter({n: 100 * c for n, c in histogram.items()})
+    uses = packing.plan(dict(histogram), 4096)
+    held = Counter()
+    for times, filling in uses:
+        assert sum(n * c for n, c in filling) <= 4096
+        for n, c in filling:
+            held[n] += times * c
+    number = lambda found: sum(t for t, _ in found)
+    assert held == histogram and number(uses) <= number(packing._last(packing._Stock(dict(histogram)), 4096))
+
+
 def test_plan_of_nothing():
     assert packing.plan({}, 100) == []
 

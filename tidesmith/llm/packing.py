@@ -28,23 +28,23 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bpe import codec
-from .common import slim, table, written
+from .common import by_arrow, named, rows_by_batch, table, written
 
 Use = tuple[int, tuple[tuple[int, int], ...]]  # how many sequences, and the lengths in each with their numbers
 
 
 def pieces(docs: DataFrame, key: str, text: str, size: int, end_id: int, path: str | None = None) -> DataFrame:
     """Rows (key, piece, start, length, ids_crc32, part, nth): nth counts the pieces of that length in the task `part`."""
-    kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen, end = codec(path, library_merges=True), Counter(), end_id.to_bytes(4, "little")
         part = TaskContext.get().partitionId()
-        for b in batches:
+        for b in rows_by_batch(batches, column="text"):
             out: list[list] = [[], [], [], [], [], []]
-            for i, t in enumerate(b.column(text)):
+            for i, t in enumerate(b.column("text")):
                 data = memoryview(own.encode_bytes(t.as_py()) + end)
                 for k, at in enumerate(range(0, len(data), 4 * size)):
                     ids = data[at : at + 4 * size]
@@ -55,7 +55,8 @@ def pieces(docs: DataFrame, key: str, text: str, size: int, end_id: int, path: s
             rows = [pa.array(x, pa.int64()) for x in out]
             yield pa.RecordBatch.from_arrays([b.column(key).take(rows[0]), rows[1].cast(pa.int32()), *rows[2:5], pa.array(np.full(len(rows[0]), part, np.int32)), rows[5]], names=[key, "piece", "start", "length", "ids_crc32", "part", "nth"])
 
-    return docs.select(key, text).mapInArrow(slim(run), f"`{key}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, part int, nth bigint")
+    results = [T.StructField(c, T.IntegerType() if c in ("piece", "part") else T.LongType()) for c in ("piece", "start", "length", "ids_crc32", "part", "nth")]
+    return by_arrow(docs.select(named(key), named(text).alias("text")), run, [docs.schema[key], *results])
 
 
 def _best_filling(size: int, lengths: np.ndarray, most: np.ndarray, prices: np.ndarray) -> tuple[tuple[int, int], ...]:
@@ -92,7 +93,8 @@ def plan(histogram: dict[int, int], size: int, classes: int = 96, rounds: int =
     much of it; best fit alone places the few last pieces. `told` gets the
     tokens that best fit places at the end ("rest"), and of the others, before
     any of them are packed anew, those that the columns' classes hold
-    ("columns") and those put into their room ("room").
+    ("columns") and those put into their room ("room"). Memory and time are
+    those of the histogram's bins, `size` at most.
     """
     stock = _Stock({n: c for n, c in histogram.items() if c > 0})
     uses: list[Use] = []
@@ -116,26 +118,29 @@ def plan(histogram: dict[int, int], size: int, classes: int = 96, rounds: int =
                 told["room"] += use[0] * (sum(n * c for n, c in filling.items()) - own)
         if before - stock.tokens() < before / 20:
             break
-    # the last pieces; while they need more sequences than all lengths sum to, those with the most room left, an eighth at most, are packed anew with them
+    # the last pieces go by best fit. While that needs more sequences than all lengths sum to, more and more of those with the most room
+    # left are packed anew with them, in the end all: so a plan never needs more sequences than best fit alone
     whole = [u for u in uses if u[1] == ((size, 1),)]
     loose = sorted((u for u in uses if u[1] != ((size, 1),)), key=lambda u: sum(n * c for n, c in u[1]))
     demand = -(-sum(n * c for n, c in histogram.items()) // size)
-    number, start = sum(t for t, _ in uses), 0
-    step = max(1, number // 64)
+    step, found = max(1, sum(t for t, _ in uses) // 128), None
     while True:
-        told["rest"] = stock.tokens()
         last = _last(_Stock(dict(stock.left)), size)
-        if number + sum(t for t, _ in last) <= demand or start >= 8 * step or not loose:
-            return whole + loose + last
+        number = sum(t for t, _ in whole + loose + last)
+        if found is None or number < found[0]:
+            found = number, whole + loose + last, stock.tokens()
+        if number <= demand or not loose:
+            told["rest"] = found[2]
+            return found[1]
         back = 0
         while loose and back < step:
             times, filling = loose.pop(0)
             give = min(times, step - back)
             stock.give((give, filling))
-            back, number = back + give, number - give
+            back += give
             if times > give:
                 loose.insert(0, (times - give, filling))
-        start += step
+        step *= 2
 
 
 def _last(stock: _Stock, size: int) -> list[Use]:
@@ -278,8 +283,8 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4
             yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
     names = [key, "piece", "start", "length", "ids_crc32"]
-    ranked = cut.join(before, ["part", "length"]).select(*names, (F.col("before") + F.col("nth")).alias("rank"))
-    return ranked.mapInArrow(slim(run), f"`{key}` {docs.schema[key].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    ranked = cut.join(before, ["part", "length"]).select(*map(named, names), (F.col("before") + F.col("nth")).alias("rank"))
+    return by_arrow(ranked, run, [*(cut.schema[c] for c in names), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
