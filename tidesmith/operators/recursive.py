@@ -53,43 +53,6 @@ def gate_step(frame_s: float = 0.016, floor_db: float = -20.0):
     return step
 
 
-def level_step(keep: float = 0.92, least_db: float = -80.0):
-    """Level meter: an exponential mean of levels that leaves out silent blocks."""
-
-    def step(level: Column, now: Column) -> Column:
-        return F.when(now <= least_db, level).when(level.isNull(), now).otherwise(keep * level + (1 - keep) * now)
-
-    return step
-
-
-def hysteresis_step(onset: int = 2, hang: int = 12):
-    """Onset and hangover: a struct (onset, hang, active) and whether the frame is a candidate."""
-
-    def step(s: Column, candidate: Column) -> Column:
-        run = F.when(candidate, s["onset"] + 1).otherwise(F.lit(0))
-        on = candidate & (run >= onset)
-        held = F.when(on, F.lit(hang)).when(~candidate & (s["hang"] > 0), s["hang"] - 1).otherwise(s["hang"])
-        active = F.when(on, F.lit(True)).when(~candidate & (s["hang"] <= 0), F.lit(False)).otherwise(s["active"])
-        return F.struct(run.alias("onset"), held.alias("hang"), active.alias("active"))
-
-    return step
-
-
-HYSTERESIS_START = "named_struct('onset', 0, 'hang', 0, 'active', false)"
-
-
-def noise_step(alpha_p: float = 0.2, alpha_d: float = 0.95, delta: float = 5.0):
-    """Noise floor of one bin by presence-controlled averaging: a struct (p, noise) and a struct (power, smooth, floor)."""
-
-    def step(s: Column, v: Column) -> Column:
-        present = F.when(v["smooth"] / F.greatest(v["floor"], F.lit(1e-12)) > delta, F.lit(1.0)).otherwise(F.lit(0.0))
-        p = alpha_p * s["p"] + (1 - alpha_p) * present
-        a = alpha_d + (1 - alpha_d) * p
-        return F.struct(p.alias("p"), (a * s["noise"] + (1 - a) * v["power"]).alias("noise"))
-
-    return step
-
-
 def wiener_step(dd: float = 0.98, least: float = 10**-2.5, low: float = 10 ** (-18 / 20)):
     """Decision-directed Wiener gain of one bin: a struct (gain, gamma, first) and a struct (power, noise)."""
 

@@ -10,6 +10,7 @@ from ..kernels.enhance import METHODS
 from ..kernels.spectral import Framing
 from ..operators import benchmark as B
 from ..operators import kernels as K
+from ..operators import scans
 from ..sources import records
 from ..streaming import sessions
 from .book import query, table
@@ -108,9 +109,9 @@ r AS (SELECT DISTINCT id, 0::BIGINT AS n, 0::BIGINT AS speech, 0::BIGINT AS sile
     SELECT r.id, r.n, r.speech + v::INT AS speech, CASE WHEN v THEN 0 ELSE r.silence + 1 END AS silence, CASE WHEN r.s < 0 AND v THEN r.n ELSE r.s END AS s FROM r JOIN m ON m.id = r.id AND m.idx = r.n)))
 SELECT id::VARCHAR AS session, a AS start, b AS "end" FROM r WHERE a IS NOT NULL""")
 def speech_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The segment state machine over activity flags, as a batch of one."""
-    frames = sig_events(spark, sf_dir).select(F.col("id").cast("string").alias("session"), F.col("idx").alias("t"), (F.col("x") > 40).alias("is_speech"))
-    return sessions.segment_stream(frames, quiet=2, least=3, longest=20)
+    """The segment state machine over activity flags, over blocks."""
+    frames = sig_events(spark, sf_dir).select(F.col("id").cast("string").alias("id"), "idx", (F.col("x") > 40).alias("speech"))
+    return scans.segments(frames, quiet=2, least=3, longest=20).withColumnRenamed("id", "session")
 
 
 @query("SELECT l_suppkey::VARCHAR AS session, unnest(range(0, count(*) // 32)) AS block, 32 AS n, 0::BIGINT AS late FROM lineitem GROUP BY l_suppkey")

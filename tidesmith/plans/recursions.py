@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..operators import recursive as R
+from ..operators import scans
 from .book import query
 from .views import EVENTS, sig_events
 
@@ -37,15 +38,14 @@ r AS (SELECT id, list_transform(range(1, len(v) + 1), lambda k: list_reduce(list
   lambda g, t: CASE WHEN t > g THEN {ATTACK!r} * g + (1 - {ATTACK!r}) * t ELSE {RELEASE!r} * g + (1 - {RELEASE!r}) * t END, 1.0::DOUBLE)) AS s FROM wide)
 SELECT id, idx, round(s, 8) AS gate FROM ({_unnest('SELECT id, s FROM r')})""")
 def gate_smoother(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.states(sig_events(spark, sf_dir), F.col("x") > 50, F.lit(1.0), R.gate_step()).select("id", "idx", F.round("state", 8).alias("gate"))
+    return scans.gate(sig_events(spark, sf_dir), F.col("x") > 50).withColumn("gate", F.round("gate", 8))
 
 
 @query(f"""WITH {EVENTS}, l AS (SELECT id, idx, 20 * log10(greatest(x, 1e-12) / 100) AS x FROM sig), k AS (SELECT id, list(x ORDER BY idx) FILTER (x > -20) AS v FROM l GROUP BY id)
 SELECT id, round(list_reduce(v, lambda a, x: 0.92 * a + 0.08 * x), 6) AS level_db FROM k WHERE v IS NOT NULL""")
 def level_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    level = X.db(F.col("x")) - 40
-    states = R.states(sig_events(spark, sf_dir), level, F.lit(None).cast("double"), R.level_step(least_db=-20.0))
-    return states.groupBy("id").agg(F.round(F.max_by("state", "idx"), 6).alias("level_db")).filter("level_db IS NOT NULL")
+    states = scans.level(sig_events(spark, sf_dir), X.db(F.col("x")) - 40, least_db=-20.0)
+    return states.groupBy("id").agg(F.round(F.max_by("level", "idx"), 6).alias("level_db")).filter("level_db IS NOT NULL")
 
 
 @query(f"""WITH RECURSIVE {EVENTS}, r AS (
@@ -57,8 +57,7 @@ def level_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM r JOIN sig s ON s.id = r.id AND s.idx = r.idx + 1)
 SELECT id, idx, hang, active FROM r""")
 def speech_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = R.states(sig_events(spark, sf_dir), F.col("x") > 60, F.expr(R.HYSTERESIS_START), R.hysteresis_step())
-    return out.select("id", "idx", F.col("state.hang").alias("hang"), F.col("state.active").alias("active"))
+    return scans.hysteresis(sig_events(spark, sf_dir), F.col("x") > 60)
 
 
 _SMOOTH = "sm AS (SELECT id, idx, x AS power, avg(x) OVER (PARTITION BY id ORDER BY idx ROWS 3 PRECEDING) AS smooth, min(x) OVER (PARTITION BY id ORDER BY idx ROWS 20 PRECEDING) AS low FROM sig)"
@@ -78,14 +77,8 @@ def _smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT id, idx, round(p, 6) AS p, round(10 * log10(noise), 6) AS noise_db FROM r""")
 def noise_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Presence-controlled noise averaging; the first frame sets the floor."""
-    v = F.struct("power", "smooth", "floor", (F.col("idx") == 0).alias("first"))
-    step = R.noise_step()
-
-    def begun(s, v):
-        return F.when(v["first"], F.struct(F.lit(0.0).alias("p"), v["power"].alias("noise"))).otherwise(step(s, v))
-
-    out = R.states(_smooth(spark, sf_dir), v, F.expr("named_struct('p', 0D, 'noise', 0D)"), begun)
-    return out.select("id", "idx", F.round("state.p", 6).alias("p"), F.round(10 * F.log10("state.noise"), 6).alias("noise_db"))
+    out = scans.noise(_smooth(spark, sf_dir))
+    return out.select("id", "idx", F.round("p", 6).alias("p"), F.round(10 * F.log10("noise"), 6).alias("noise_db"))
 
 
 @query(f"""WITH RECURSIVE {EVENTS}, {_SMOOTH}, g AS (SELECT id, idx, power / (smooth + 1e-12) AS gamma FROM sm),
