@@ -71,6 +71,9 @@ def test_codec_equals_the_library():
         ids = np.frombuffer(own.encode_bytes(t), "<u4")
         assert ids.tolist() == want == np.frombuffer(fast.encode_bytes(t), "<u4").tolist(), t
         assert own.decode(ids) == library.decode(want, skip_special_tokens=False)
+    for rows in (texts, [*texts[5:], None], [None, ""], [], ["plain words only, here."] * 3):
+        ids, begin = fast.encode_batch(pa.array(rows, pa.string()))
+        assert len(begin) == len(rows) + 1 and [ids[a:z].tobytes() for a, z in zip(begin[:-1], begin[1:])] == [own.encode_bytes(t) for t in rows]
 
 
 def test_ids_of_all_documents_equal_the_library(spark):

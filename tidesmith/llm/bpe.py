@@ -31,12 +31,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from .common import by_arrow, named, rows_by_batch, table
+from .wordscan import LOWER, Scan
 
 #: Fixed values of this tokenizer's file: the pieces that its pre-tokenizer splits a word into.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Texts of these characters need no Unicode normalisation, and lower-case one by one.
 PLAIN = re.compile("[!-~\xa1-\xac\xae-\xff]*")
 WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
+#: White space beyond ASCII, and what str.split() takes for it, in UTF-8.
+SPACED = rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2(?:\x80[\x80-\x8a\xa8\xa9\xaf]|\x81\x9f)|\xe3\x80\x80"
+MARKS, ALNUM = (np.array([chr(b) in kind for b in range(256)]) for kind in (".,;:!?", "0123456789abcdefghijklmnopqrstuvwxyz"))
 CONTROL = re.compile("[\x1c-\x1f]")  # str.split() takes these for white space
 
 
@@ -96,6 +100,7 @@ class BpeCodec:
         self.rank_of = {p: r for r, p in enumerate(self.pair_of)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_at = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self.odd = re.compile(b"|".join([SPACED, *(re.escape(c.encode()) for c in self.special)]))
         by_id = {i: s for s, i in (self.vocab | self.special).items()}
         self.strings = [by_id.get(i, "") for i in range(max(by_id) + 1)]
         self.bytes_as = byte_characters()
@@ -165,6 +170,37 @@ class BpeCodec:
             return b"".join([*out, self._encode(text[start:])])
         return self._encode(text)
 
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and where each text's begin. Words that are equal are looked up once; texts with white space beyond ASCII or special tokens go one by one."""
+        scan = Scan(texts)
+        starts, ends = scan.words
+        data = LOWER[scan.data]
+        # a mark behind a letter or digit is a piece of its own: most words differ by it alone
+        if len(ends):
+            before, second = data[np.maximum(ends - 2, 0)], data[np.maximum(ends - 3, 0)]
+            marked = MARKS[data[ends - 1]] & (ends - starts > 1) & (ALNUM[before] | (second == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7) & (ends - starts > 2))
+            tails, where = ends[marked] - 1, np.flatnonzero(marked)
+            starts, ends = np.insert(starts, where + 1, tails), np.insert(ends, where, tails)
+        of, at = scan._text_of(starts), np.concatenate(([0], np.cumsum(ends - starts, dtype=np.int64)))
+        own = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(data[~scan.space])])
+        odd = np.unique(scan._text_of(np.array([m.start() for m in self.odd.finditer(scan.data)], np.int64)))
+        if len(odd):
+            plain = ~np.isin(of, odd)
+            own, of = own.filter(pa.array(plain)), of[plain]
+        own = own.dictionary_encode()
+        known = [self.pieces[w] if w.isascii() and w.isalpha() else self.words[w] for w in own.dictionary.to_pylist()]
+        size, word = np.array([len(x) // 4 for x in known], np.int64), own.indices.to_numpy()
+        flat, first = np.frombuffer(b"".join(known), "<u4"), np.cumsum(size) - size
+        each = size[word]
+        ids = flat[np.repeat(first[word] - (np.cumsum(each) - each), each) + np.arange(each.sum())]
+        begin = np.concatenate(([0], np.cumsum(np.bincount(of, each, scan.n).astype(np.int64))))
+        if not len(odd):
+            return ids, begin
+        parts = [ids[begin[i] : begin[i + 1]] for i in range(scan.n)]
+        for i in odd.tolist():
+            parts[i] = np.frombuffer(self.encode_bytes(texts[i].as_py()), "<u4")
+        return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+
     def _encode(self, text: str) -> bytes:
         words = text.split() if not CONTROL.search(text) else [w for w in WHITE.split(text) if w]
         return b"".join(map(self.words.__getitem__, words))

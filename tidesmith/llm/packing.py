@@ -33,6 +33,9 @@ from pyspark.sql import types as T
 from .bpe import codec
 from .common import by_arrow, named, rows_by_batch, table, written
 
+#: Bytes of text that are encoded at once.
+BATCH_BYTES = 4 << 20
+
 Use = tuple[int, tuple[tuple[int, int], ...]]  # how many sequences, and the lengths in each with their numbers
 
 
@@ -42,14 +45,15 @@ def pieces(docs: DataFrame, key: str, text: str, size: int, end_id: int, path: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen, end = codec(path, library_merges=True), Counter(), end_id.to_bytes(4, "little")
         part = TaskContext.get().partitionId()
-        for b in rows_by_batch(batches, column="text"):
+        for b in rows_by_batch(batches, BATCH_BYTES):
             out: list[list] = [[], [], [], [], [], []]
-            for i, t in enumerate(b.column("text")):
-                data = memoryview(own.encode_bytes(t.as_py()) + end)
+            ids, begin = own.encode_batch(b.column("text"))
+            for i, (a, z) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)):
+                data = memoryview(ids[a:z].tobytes() + end)
                 for k, at in enumerate(range(0, len(data), 4 * size)):
-                    ids = data[at : at + 4 * size]
-                    n = len(ids) // 4
-                    for column, x in zip(out, (i, k, at // 4, n, zlib.crc32(ids), seen[n]), strict=True):
+                    piece = data[at : at + 4 * size]
+                    n = len(piece) // 4
+                    for column, x in zip(out, (i, k, at // 4, n, zlib.crc32(piece), seen[n]), strict=True):
                         column.append(x)
                     seen[n] += 1
             rows = [pa.array(x, pa.int64()) for x in out]
