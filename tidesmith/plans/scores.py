@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import kernels as K
+from ..operators import quantiles as Q
 from ..operators import scoring as S
 from .book import query, table
 from .views import EVENTS, LINES, PAIRS, pair_line, sig_events, sig_line
@@ -43,6 +44,14 @@ def measured_snr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.measured_snr(pair_line(spark, sf_dir)).select("id", F.round("snr", 4).alias("snr"))
 
 
+@query("""SELECT count(*) AS n_frames, round(sum(value), 2) AS total_ms, round(quantile_cont(value, 0.5), 5) AS p50, round(quantile_cont(value, 0.95), 5) AS p95, round(quantile_cont(value, 0.99), 5) AS p99,
+round(max(value), 5) AS max_ms, event_type FROM events GROUP BY event_type""")
+def latency_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Few groups that hold all rows: no task sorts more than 2,000 values."""
+    out = S.latency(table(spark, sf_dir, "events"), F.col("value"), "event_type", 95.0, 0.016, limit=2000)
+    return out.select("event_type", "n_frames", F.round("total_ms", 2).alias("total_ms"), *(F.round(c, 5).alias(c) for c in ("p50", "p95", "p99", "max_ms")))
+
+
 _EDC = """p AS (SELECT *, max(abs(x)) OVER (PARTITION BY id) AS top FROM sig), s AS (SELECT *, min(idx) FILTER (abs(x) = top) OVER (PARTITION BY id) AS start FROM p),
 b AS (SELECT id, idx - start AS idx, sum(x * x) OVER (PARTITION BY id ORDER BY idx DESC) AS rest FROM s WHERE idx >= start),
 edc AS (SELECT id, idx, 10 * log10(greatest(rest / max(rest) OVER (PARTITION BY id), 1e-20)) AS edc_db FROM b)"""
@@ -107,18 +116,19 @@ def first_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {EVENTS} SELECT id, idx, round(sum(x) OVER w5 / 5, 5) AS mean5, round(quantile_cont(x, 0.5) OVER w63, 5) AS median63, round(x - lag(x) OVER (PARTITION BY id ORDER BY idx), 5) AS diff, max(x) OVER (PARTITION BY id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before FROM sig WINDOW w5 AS (PARTITION BY id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), w63 AS (PARTITION BY id ORDER BY idx ROWS BETWEEN 31 PRECEDING AND 31 FOLLOWING)")
 def moving_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("id").orderBy("idx")
-    x = F.col("x")
-    return sig_events(spark, sf_dir).select(
-        "id", "idx", F.round(F.sum(x).over(w.rowsBetween(-2, 2)) / 5, 5).alias("mean5"), F.round(F.percentile(x, 0.5).over(w.rowsBetween(-31, 31)), 5).alias("median63"),
-        F.round(x - F.lag(x).over(w), 5).alias("diff"), F.max(x).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("best_before"),
+    x, sig = F.col("x"), sig_events(spark, sf_dir)
+    medians = Q.sliding(sig, x, (0.5,), 31, 31).select("id", "idx", F.round(F.col("q")[0], 5).alias("median63"))
+    rest = sig.select(
+        "id", "idx", F.round(F.sum(x).over(w.rowsBetween(-2, 2)) / 5, 5).alias("mean5"), F.round(x - F.lag(x).over(w), 5).alias("diff"),
+        F.max(x).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("best_before"),
     )
+    return rest.join(medians, ["id", "idx"])
 
 
 @query(f"WITH {EVENTS} SELECT id, idx, round(quantile_cont(x, 0.5) OVER w, 5) AS p50, round(quantile_cont(x, 0.95) OVER w, 5) AS p95, round(quantile_cont(x, 0.99) OVER w, 5) AS p99 FROM sig WINDOW w AS (PARTITION BY id ORDER BY idx ROWS 399 PRECEDING)")
 def rolling_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("id").orderBy("idx").rowsBetween(-399, 0)
-    p = F.percentile("x", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).over(w)
-    return sig_events(spark, sf_dir).withColumn("p", p).select("id", "idx", *(F.round(F.col("p")[k], 5).alias(n) for k, n in enumerate(("p50", "p95", "p99"))))
+    out = Q.sliding(sig_events(spark, sf_dir), F.col("x"), (0.5, 0.95, 0.99), 399)
+    return out.select("id", "idx", *(F.round(F.col("q")[k], 5).alias(n) for k, n in enumerate(("p50", "p95", "p99"))))
 
 
 @query(f"""WITH {EVENTS}, n AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM sig), q AS (SELECT *, lag(x, 3) OVER (PARTITION BY id ORDER BY idx) AS noise FROM n),
