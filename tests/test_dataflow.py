@@ -166,8 +166,8 @@ def test_segmenter():
 
 
 def test_last_baseline_counts(spark):
-    rows = spark.createDataFrame([("a", "none", 5.0), ("a", "none", 2.0), ("a", "m", 3.0)], "id string, method string, score double").coalesce(1)
-    assert [r["delta"] for r in evaluation.against_baseline(rows, ["id"]).filter("method = 'm'").collect()] == [1.0]
+    rows = spark.createDataFrame([("a", "none", 2.0, 7), ("a", "none", 5.0, 3), ("a", "m", 3.0, 1), ("b", "m", 3.0, 1)], "id string, method string, score double, line int").repartition(3)
+    assert [r["delta"] for r in evaluation.against_baseline(rows, ["id"], F.col("line")).filter("method = 'm'").collect()] == [1.0]
 
 
 def test_places_in_order(spark):

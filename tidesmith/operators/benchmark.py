@@ -44,11 +44,23 @@ def valid_source(samples: Column, least: int = 16_000) -> Column:
 def valid_noise(samples: Column, least: int = 8_000) -> Column:
     """Long enough, finite, with energy besides its mean."""
     n = F.size(samples)
-    mean = F.aggregate(samples, F.lit(0.0), lambda a, v: a + v) / n
-    power = F.aggregate(samples, F.lit(0.0), lambda a, v: a + v * v) / n
+    mean = F.aggregate(samples, F.lit(0.0), lambda a, v: a + v) / F.greatest(n, F.lit(1))
+    power = F.aggregate(samples, F.lit(0.0), lambda a, v: a + v * v) / F.greatest(n, F.lit(1))
     return (n >= least) & _finite(samples) & (power - mean * mean > 1e-12)
 
 
+def usable_noise(noises: DataFrame, sr: int = 16_000, seconds: float = 10.0, least_frames: int = 32, n_fft: int = 512, hop: int = 256) -> DataFrame:
+    """noises (id, samples, ..) that can be told stationary or not: the first `seconds` without their mean, finite, with energy, and of `least_frames` frames; n_frames says how many."""
+    from ..functions.expressions import num_frames
+
+    cut = noises.withColumn("samples", F.slice("samples", 1, int(seconds * sr))).filter(F.size("samples") > 0)
+    cut = cut.filter(valid_noise(F.col("samples"), 1))
+    mean = F.aggregate("samples", F.lit(0.0), lambda a, v: a + v) / F.greatest(F.size("samples"), F.lit(1))
+    # the mean is repeated, since a lambda would work it out again for each sample
+    centred = F.zip_with("samples", F.array_repeat(mean, F.size("samples")), lambda v, m: v - m)
+    return cut.withColumn("samples", centred).withColumn("n_frames", num_frames(F.size("samples"), n_fft, hop)).filter(F.col("n_frames") >= least_frames)
+
+
 def envelope(records: DataFrame, dataset_id: str, purpose: str, strata_names: Sequence[str], reference_is_clean: bool, cer_per_cell: int | None = None) -> dict:
     """What an index says of itself besides its records; strata must be columns of the records."""
     from .evaluation import check_strata

@@ -17,16 +17,16 @@ def finite(x: Column) -> Column:
     return F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), x)
 
 
-def against_baseline(rows: DataFrame, keys: Sequence[str], baseline: str = "none", order: Column | None = None) -> DataFrame:
-    """rows with `base` and `delta`; keys that the baseline lacks are dropped. Of baseline rows with equal keys the last one counts, by `order` or else by their place in the input."""
-    held = rows.withColumn("_order", F.monotonically_increasing_id() if order is None else order).filter(F.col("method") == baseline)
+def against_baseline(rows: DataFrame, keys: Sequence[str], order: Column, baseline: str = "none") -> DataFrame:
+    """rows with `base` and `delta`; keys that the baseline lacks are dropped. Of baseline rows with equal keys the last by `order` counts: rows of a table have no order of their own."""
+    held = rows.withColumn("_order", order).filter(F.col("method") == baseline)
     base = held.groupBy(*keys).agg(F.max_by("score", "_order").alias("base"))
     return rows.join(base, list(keys)).withColumn("delta", F.col("score") - F.col("base"))
 
 
-def summary(rows: DataFrame, baseline: str = "none") -> DataFrame:
-    """(method, n, mean, delta): means over finite scores, and the mean paired difference, which the baseline itself has not."""
-    paired = against_baseline(rows, ["id", "stratum"], baseline)
+def summary(rows: DataFrame, baseline: str = "none", order: Column | None = None) -> DataFrame:
+    """(method, n, mean, delta): means over finite scores, and the mean paired difference, which the baseline itself has not. Of repeated baseline rows the last by `order` counts, without one the best."""
+    paired = against_baseline(rows, ["id", "stratum"], F.col("score") if order is None else order, baseline)
     means = rows.groupBy("method").agg(F.count(finite(F.col("score"))).alias("n"), F.avg(finite(F.col("score"))).alias("mean"))
     deltas = paired.filter(F.col("method") != baseline).groupBy("method").agg(F.avg(finite(F.col("delta"))).alias("delta"))
     return means.join(deltas, "method", "left")
@@ -96,6 +96,31 @@ def bucket(value: Column, edges: Sequence[float], labels: Sequence[object]) -> C
     return out
 
 
+def interval_join(values: DataFrame, value: str, intervals: DataFrame, low: str = "low", high: str = "high") -> DataFrame:
+    """Each row of values with every interval [low, high) of a table that holds its value, the intervals' columns beside its own.
+
+    An interval lies in one or two bins as wide as the power of two above its
+    length; a value looks into its bin of every width that the intervals have, a
+    few. So the join is one on equal keys for intervals of any lengths and any
+    number. A null edge is open; empty intervals and null and NaN values meet
+    nothing. Names must differ.
+    """
+    v, least, most = F.col(value).cast("double"), F.lit(float("-inf")), F.lit(float("inf"))
+    ends = values.filter(~F.isnan(v)).agg(F.min(v), F.max(v)).first()
+    bounded = intervals.withColumns({"_low": F.coalesce(F.col(low).cast("double"), least), "_high": F.coalesce(F.col(high).cast("double"), most)}).filter("_low < _high AND NOT isnan(_high)")
+    if ends[0] is None:
+        bounded = bounded.limit(0)
+    # what lies beyond all values needs no bin
+    a, z = F.greatest(F.col("_low"), F.lit(ends[0])), F.least(F.col("_high"), F.lit(ends[1]))
+    bounded = bounded.withColumns({"_a": a, "_z": z}).filter("_a <= _z")
+    bounded = bounded.withColumn("_width", F.pow(F.lit(2.0), F.greatest(F.ceil(F.log2(F.greatest(F.col("_z") - F.col("_a"), F.lit(1e-300)))), F.lit(-900))))
+    widths = F.lit([r[0] for r in bounded.select("_width").distinct().collect()]).cast("array<double>")  # at most 2,000, one for each power
+    binned = bounded.withColumn("_bin", F.explode(F.array_distinct(F.array(F.floor(F.col("_a") / F.col("_width")), F.floor(F.col("_z") / F.col("_width")))).cast("array<double>"))).drop("_a", "_z")
+    asked = values.filter(~F.isnan(v)).withColumn("_width", F.explode(widths)).withColumn("_bin", F.floor(v / F.col("_width")).cast("double"))
+    met = asked.join(binned, ["_width", "_bin"]).filter((v >= F.col("_low")) & (v < F.col("_high")))
+    return met.drop("_width", "_bin", "_low", "_high")
+
+
 def filled_buckets(rows: DataFrame, by: str, order: Sequence[Column | str], k: int) -> DataFrame:
     """k rows of each bucket; raises when it runs if a bucket has fewer."""
     w = Window.partitionBy(by)

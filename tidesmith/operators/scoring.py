@@ -25,26 +25,29 @@ def sdr(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("id").agg((10 * F.log10((F.sum(F.col("ref") * F.col("ref")) + EPS) / (F.sum(d * d) + EPS))).alias("sdr"))
 
 
-def frames_of(rows: DataFrame, frame: int, hop: int) -> DataFrame:
-    """Repeats each row (id, idx, ..) for every full frame it lies in, as column t; needs the signal's length n."""
-    last = F.floor((F.col("n") - frame) / hop)
+def frames_of(rows: DataFrame, frame: int, hop: int, short: bool = False) -> DataFrame:
+    """Repeats each row (id, idx, ..) for every full frame it lies in, as column t; needs the signal's length n. `short`: a signal shorter than a frame is one frame."""
+    last = F.greatest(F.floor((F.col("n") - frame) / hop), F.lit(0))
     first = F.greatest(F.ceil((F.col("idx") - frame + 1) / hop), F.lit(0))
     until = F.least(F.floor(F.col("idx") / hop), last)
-    return rows.filter(F.col("n") >= frame).withColumn("t", F.explode(F.when(first <= until, F.sequence(first.cast("bigint"), until.cast("bigint"))).otherwise(F.array().cast("array<bigint>"))))
+    return (rows if short else rows.filter(F.col("n") >= frame)).withColumn("t", F.explode(F.when(first <= until, F.sequence(first.cast("bigint"), until.cast("bigint"))).otherwise(F.array().cast("array<bigint>"))))
 
 
 def seg_snr(pairs: DataFrame, frame: int = 512, hop: int = 256, low: float = -10.0, high: float = 35.0) -> DataFrame:
     """(id, seg_snr): mean over non-silent frames of the clipped frame SNR; null without such frames.
 
-    A frame is silent if its summed energy does not exceed 1e-4 of the signal's
-    mean energy: sum against mean, as the published results have it.
+    A frame is silent if its summed energy is below 1e-4 of the signal's mean
+    energy: sum against mean, as the published results have it. So no frame of a
+    silent reference is, and each counts as `low`. A signal shorter than a frame
+    is one frame.
     """
-    w = Window.partitionBy("id")
-    each = pairs.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("gate", F.avg(F.col("ref") * F.col("ref")).over(w) * 1e-4)
-    d = F.col("ref") - F.col("est")
-    framed = frames_of(each, frame, hop).groupBy("id", "t").agg(F.sum(F.col("ref") * F.col("ref")).alias("s"), F.sum(d * d).alias("e"), F.first("gate").alias("gate"))
-    snr = F.least(F.greatest(10 * F.log10((F.col("s") + EPS) / (F.col("e") + EPS)), F.lit(low)), F.lit(high))
-    return framed.groupBy("id").agg(F.avg(F.when(F.col("s") > F.col("gate"), snr)).alias("seg_snr"))
+    r, d = F.col("ref"), F.col("ref") - F.col("est")
+    own = pairs.groupBy(F.col("id").alias("_id")).agg(F.count(F.lit(1)).alias("n"), (F.avg(r * r) * 1e-4).alias("gate"))
+    each = pairs.join(own, F.col("id").eqNullSafe(F.col("_id"))).drop("_id")
+    framed = frames_of(each, frame, hop, short=True).groupBy("id", "t").agg(F.sum(r * r).alias("s"), F.sum(d * d).alias("e"), F.first("gate").alias("gate"))
+    ratio = F.when(F.col("s") > 0, 10 * F.log10(F.col("s") / (F.col("e") + EPS))).otherwise(F.lit(low))
+    snr = F.least(F.greatest(ratio, F.lit(low)), F.lit(high))
+    return framed.groupBy("id").agg(F.avg(F.when(F.col("s") >= F.col("gate"), snr)).alias("seg_snr"))
 
 
 def active_frames(sig: DataFrame, frame: int = 512, hop: int = 256, rel_db: float = -35.0) -> DataFrame:

@@ -17,7 +17,7 @@ def _hash(text: str) -> str:
 
 @query(f"WITH {EVAL}, b AS (SELECT id, stratum, max(score) AS base FROM ev WHERE method = 'none' GROUP BY 1, 2) SELECT id, stratum, method, round(score, 3) AS score, round(score - base, 3) AS delta FROM ev JOIN b USING (id, stratum)")
 def baseline_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.against_baseline(eval_rows(spark, sf_dir), ["id", "stratum"]).select("id", "stratum", "method", F.round("score", 3).alias("score"), F.round("delta", 3).alias("delta"))
+    return E.against_baseline(eval_rows(spark, sf_dir), ["id", "stratum"], F.col("score")).select("id", "stratum", "method", F.round("score", 3).alias("score"), F.round("delta", 3).alias("delta"))
 
 
 @query(f"""WITH {EVAL}, b AS (SELECT id, stratum, max(score) AS base FROM ev WHERE method = 'none' GROUP BY 1, 2),
@@ -40,7 +40,7 @@ def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bootstrap_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = E.against_baseline(eval_rows(spark, sf_dir), ["id", "stratum"]).filter("method <> 'none'").withColumn("key", F.concat_ws("|", F.lpad(F.col("id").cast("string"), 12, "0"), "stratum"))
+    rows = E.against_baseline(eval_rows(spark, sf_dir), ["id", "stratum"], F.col("score")).filter("method <> 'none'").withColumn("key", F.concat_ws("|", F.lpad(F.col("id").cast("string"), 12, "0"), "stratum"))
     return E.bootstrap(rows, "method", "delta", "key", resamples=4000, seed=E.DELTA_SEED)
 
 
@@ -56,17 +56,17 @@ def stratum_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agg.select(F.coalesce("method", F.lit("all")).alias("method"), F.coalesce("stratum", F.lit("all")).alias("stratum"), "n", "mean")
 
 
-@query(f"WITH {EVAL} SELECT method, round(avg(score) FILTER (stratum = '1-URGENT'), 3) AS urgent, round(avg(score) FILTER (stratum = '2-HIGH'), 3) AS high, round(avg(score) FILTER (stratum = '5-LOW'), 3) AS low FROM ev GROUP BY 1")
+@query(f"WITH {EVAL} SELECT method, round(avg(score) FILTER (stratum = '1-URGENT'), 3) AS urgent, round(avg(score) FILTER (stratum = '2-HIGH'), 3) AS high, round(avg(score) FILTER (stratum = '3-MEDIUM'), 3) AS medium, round(avg(score) FILTER (stratum = '4-NOT SPECIFIED'), 3) AS unspecified, round(avg(score) FILTER (stratum = '5-LOW'), 3) AS low FROM ev GROUP BY 1")
 def stratum_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = eval_rows(spark, sf_dir).groupBy("method").pivot("stratum", ["1-URGENT", "2-HIGH", "5-LOW"]).agg(F.round(F.avg("score"), 3))
-    return wide.toDF("method", "urgent", "high", "low")
+    wide = eval_rows(spark, sf_dir).groupBy("method").pivot("stratum", ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]).agg(F.round(F.avg("score"), 3))
+    return wide.toDF("method", "urgent", "high", "medium", "unspecified", "low")
 
 
 @query(f"""WITH {EVAL}, b AS (SELECT id, stratum, max(score) AS base FROM ev WHERE method = 'none' GROUP BY 1, 2), d AS (SELECT method, score - base AS d FROM ev JOIN b USING (id, stratum) WHERE method <> 'none')
 SELECT method, count(*) FILTER (d > 0) AS better, count(*) AS n, CASE WHEN avg(d) - 2 * stddev_samp(d) / sqrt(count(*)) > 0 THEN 'better' WHEN avg(d) + 2 * stddev_samp(d) / sqrt(count(*)) < 0 THEN 'worse' ELSE 'open' END AS mark FROM d GROUP BY 1""")
 def improvement_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, half = F.avg("delta"), 2 * F.stddev_samp("delta") / F.sqrt(F.count(F.lit(1)))
-    rows = E.against_baseline(eval_rows(spark, sf_dir), ["id", "stratum"]).filter("method <> 'none'")
+    rows = E.against_baseline(eval_rows(spark, sf_dir), ["id", "stratum"], F.col("score")).filter("method <> 'none'")
     return rows.groupBy("method").agg(F.count_if(F.col("delta") > 0).alias("better"), F.count(F.lit(1)).alias("n"), F.when(d - half > 0, "better").when(d + half < 0, "worse").otherwise("open").alias("mark"))
 
 
@@ -202,3 +202,27 @@ def source_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     e = F.col("embedding").cast("array<double>")
     return table(spark, sf_dir, "embeddings").filter(valid_source(e, 64) & valid_noise(e, 64)).select(F.col("vec_id").alias("id"))
+
+
+@query("""SELECT c_custkey, count(*) AS n, min(p_partkey) AS first_part FROM customer JOIN part ON c_acctbal >= p_retailprice AND c_acctbal < p_retailprice + CASE WHEN p_partkey % 50 = 0 THEN 1000 ELSE p_size END GROUP BY c_custkey""")
+def interval_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balances within a part's price span: an interval join over a table of edges of very different lengths."""
+    long = F.when(F.col("p_partkey") % 50 == 0, F.lit(1000)).otherwise(F.col("p_size"))
+    spans = table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("low"), (F.col("p_retailprice") + long).alias("high"))
+    met = E.interval_join(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", spans)
+    return met.groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first_part"))
+
+
+@query("""WITH c AS (SELECT vec_id AS id, list_transform(embedding[1:48], lambda v: v::DOUBLE) AS e FROM embeddings), m AS (SELECT id, e, list_avg(e) AS mean FROM c)
+SELECT id, ((7 + len(e)) // 8 + 1)::BIGINT AS n_frames, round(list_sum(list_transform(e, lambda v: (v - mean) * (v - mean))), 5) AS energy FROM m WHERE list_avg(list_transform(e, lambda v: v * v)) - mean * mean > 0.01""")
+def noise_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as noises: the first 0.003 s at 16 kHz; those of weak energy are halved into silence first."""
+    from ..operators.benchmark import usable_noise
+
+    e = F.col("embedding").cast("array<double>")
+    first = F.slice(e, 1, 48)
+    mean = F.aggregate(first, F.lit(0.0), lambda a, v: a + v) / 48
+    weak = F.aggregate(first, F.lit(0.0), lambda a, v: a + v * v) / 48 - mean * mean <= 0.01
+    noises = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.when(weak, F.transform(e, lambda v: v * 0.0 + 1)).otherwise(e).alias("samples"))
+    out = usable_noise(noises, 16_000, 0.003, 7, 16, 8)
+    return out.select("id", "n_frames", F.round(F.aggregate("samples", F.lit(0.0), lambda a, v: a + v * v), 5).alias("energy"))

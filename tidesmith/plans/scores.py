@@ -24,14 +24,26 @@ def sdr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.sdr(pair_line(spark, sf_dir)).select("id", F.round("sdr", 4).alias("sdr"))
 
 
-@query(f"""WITH {PAIRS}, n AS (SELECT id, count(*) AS n, avg(ref * ref) * 1e-4 AS gate FROM pair GROUP BY id),
-t AS (SELECT id, gate, unnest(range(0, (n - 64) // 32 + 1)) AS t FROM n WHERE n >= 64),
-f AS (SELECT t.id, t.t, gate, sum(ref * ref) AS s, sum((ref - est) * (ref - est)) AS e FROM t JOIN pair p ON p.id = t.id AND p.idx >= t.t * 32 AND p.idx < t.t * 32 + 64 GROUP BY ALL)
-SELECT id, round(avg(least(greatest(10 * log10((s + 1e-10) / (e + 1e-10)), -10), 35)) FILTER (s > gate), 4) AS seg_snr FROM f GROUP BY id""")
+def _seg_snr_sql(pairs: str, frame: int, hop: int) -> str:
+    return f"""WITH {pairs}, n AS (SELECT id, count(*) AS n, avg(ref * ref) * 1e-4 AS gate FROM pair GROUP BY id),
+t AS (SELECT id, gate, unnest(range(0, greatest((n - {frame}) // {hop} + 1, 1))) AS t FROM n),
+f AS (SELECT t.id, t.t, gate, sum(ref * ref) AS s, sum((ref - est) * (ref - est)) AS e FROM t JOIN pair p ON p.id = t.id AND p.idx >= t.t * {hop} AND p.idx < t.t * {hop} + {frame} GROUP BY ALL)
+SELECT id, round(avg(CASE WHEN s > 0 THEN least(greatest(10 * log10(CASE WHEN s > 0 THEN s ELSE 1 END / (e + 1e-10)), -10), 35) ELSE -10 END) FILTER (s >= gate), 4) AS seg_snr FROM f GROUP BY id"""
+
+
+@query(_seg_snr_sql(PAIRS, 64, 32))
 def seg_snr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.seg_snr(pair_line(spark, sf_dir), 64, 32).select("id", F.round("seg_snr", 4).alias("seg_snr"))
 
 
+@query(_seg_snr_sql("pair AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS idx, l_discount AS ref, l_tax AS est FROM lineitem)", 4, 2))
+def seg_snr_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Discounts against taxes of an order's lines: signals of 1 to 7 samples, shorter than a frame and silent ones among them."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    pairs = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), (F.row_number().over(w) - 1).cast("bigint").alias("idx"), F.col("l_discount").alias("ref"), F.col("l_tax").alias("est"))
+    return S.seg_snr(pairs, 4, 2).select("id", F.round("seg_snr", 4).alias("seg_snr"))
+
+
 @query(f"""WITH {EVENTS}, n AS (SELECT id, count(*) AS n FROM sig GROUP BY id), t AS (SELECT id, unnest(range(0, (n - 8) // 4 + 1)) AS t FROM n WHERE n >= 8),
 e AS (SELECT t.id, t.t, sum(x * x) AS e FROM t JOIN sig s ON s.id = t.id AND s.idx >= t.t * 4 AND s.idx < t.t * 4 + 8 GROUP BY ALL)
 SELECT id, t FROM e QUALIFY e >= max(e) OVER (PARTITION BY id) * pow(10, -0.35)""")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from ..operators import convolution
 from ..operators import frames as FR
 from .book import query, table
 from .views import EVENTS, FRAMES, LINES, frames_emb, sig_events, sig_line
@@ -139,3 +140,13 @@ def fir_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FR.fir(sig_line(spark, sf_dir), [0.6, 0.25, 0.1, 0.05]).select("id", "idx", F.round("y", 4).alias("y"))
 
 
+@query(f"""WITH {LINES} SELECT t.id, t.idx, round(sum(s.x * exp((s.idx - t.idx) / 900.0) * CASE WHEN (t.idx - s.idx) % 3 = 0 THEN 1 ELSE -0.25 END) / 10000, 2) AS y
+FROM sig t JOIN sig s ON s.id = t.id AND s.idx <= t.idx AND t.idx - s.idx < 8000 GROUP BY t.id, t.idx""")
+def long_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices convolved with a response of 8,000 taps, block by block."""
+    sig = sig_line(spark, sf_dir).select("id", "idx", "x")
+    k = F.col("idx")
+    taps = spark.range(8000).select(F.col("id").alias("idx")).withColumn("h", F.exp(-k / 900.0) * F.when(k % 3 == 0, 1.0).otherwise(-0.25))
+    # the response of every id: blocks of it are joined, never the whole
+    ids = sig.select("id").distinct().withColumn("idx", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(7999).cast("bigint"))))
+    return convolution.convolve(sig, ids.join(F.broadcast(taps), "idx").select("id", "idx", "h"), 256).select("id", "idx", F.round(F.col("y") / 10_000, 2).alias("y"))

@@ -22,10 +22,16 @@ ABSENT = {"pesq": "its package is not installed", "dnsmos_sig": "there is no sco
 
 
 def read_index(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
-    """(envelope, records) of an index file; the envelope's capability flags decide which operators a plan has."""
-    whole = spark.read.option("multiLine", "true").json(path)
-    head = whole.drop("records").first().asDict(recursive=True)
-    records = whole.select(F.explode("records").alias("r")).select("r.*")
+    """(envelope, records) of an index: one JSON document, or a folder that write_index made. The envelope's capability flags decide which operators a plan has."""
+    try:
+        head = spark.read.option("multiLine", "true").json(f"{path}/head").first().asDict(recursive=True)
+        records = spark.read.json(f"{path}/records")
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        whole = spark.read.option("multiLine", "true").json(path)
+        head = whole.drop("records").first().asDict(recursive=True)
+        records = whole.select(F.explode("records").alias("r")).select("r.*")
     missing = [s for s in head.get("strata") or [] if s not in records.columns]
     if missing:
         raise ValueError(f"the index declares strata that its records lack: {missing}")
@@ -33,11 +39,11 @@ def read_index(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
 
 
 def write_index(records: DataFrame, head: dict, path: str) -> None:
-    """One JSON document with the envelope and the records in id order. An index describes a test set, which one document can hold."""
-    rows = records.agg(F.array_sort(F.collect_list(F.struct("id", F.to_json(F.struct(*records.columns), {"ignoreNullFields": "true"}).alias("json")))).alias("r"))
-    body = F.array_join(F.transform("r", lambda x: x["json"]), ",\n")
-    start = json.dumps(head, ensure_ascii=False)[:-1]
-    rows.select(F.concat(F.lit(start + ', "records": [\n'), body, F.lit("\n]}")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """A folder with the envelope in head and a line for each record in records, parts and lines in id order: every task writes its own range, so an index may have any size."""
+    spark = records.sparkSession
+    lines = records.orderBy("id").select(F.to_json(F.struct(*records.columns), {"ignoreNullFields": "true"}).alias("value"))
+    lines.write.mode("overwrite").text(f"{path}/records")
+    spark.createDataFrame([(json.dumps(head, ensure_ascii=False),)], "value string").write.mode("overwrite").text(f"{path}/head")
 
 
 def write_results(rows: DataFrame, path: str) -> None:
