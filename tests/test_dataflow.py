@@ -18,17 +18,6 @@ def test_summary_pairs_with_the_baseline(spark):
     assert abs(out["specsub"]["mean"] - 0.4) < 1e-12 and abs(out["specsub"]["delta"] + 0.1) < 1e-12 and out["none"]["delta"] is None
 
 
-def test_bootstrap_is_numpys_in_row_order(spark):
-    x = np.random.default_rng(0).normal(size=30)
-    df = spark.createDataFrame([("m", i, float(v)) for i, v in enumerate(x)] + [("one", 0, 2.5)], "g string, i int, v double")
-    out = {r["g"]: r for r in evaluation.bootstrap(df, "g", "v", "i").collect()}
-    means = x[np.random.default_rng(evaluation.SEED).integers(0, 30, size=(2000, 30))].mean(axis=1)
-    assert (out["m"]["low"], out["m"]["high"]) == tuple(np.quantile(means, (0.025, 0.975)))
-    assert (out["one"]["low"], out["one"]["high"]) == (2.5, 2.5)
-    hashed = evaluation.bootstrap_hashed(df.filter("g = 'm'"), "g", "v", "i").first()
-    assert abs(hashed["low"] - out["m"]["low"]) < 0.15
-
-
 def test_strata_must_be_declared(spark):
     df = spark.range(3)
     for bad in ([], ["id", "id"], "id", ["absent"]):

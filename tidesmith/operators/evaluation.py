@@ -6,11 +6,10 @@ from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SEED, DELTA_SEED = 20260818, 20260819
+DELTA_SEED = 20260819
 
 
 def finite(x: Column) -> Column:
@@ -32,33 +31,6 @@ def summary(rows: DataFrame, baseline: str = "none", order: Column | None = None
     return means.join(deltas, "method", "left")
 
 
-def _interval(values: np.ndarray, resamples: int, seed: int) -> tuple[int, float | None, float | None, float | None]:
-    values = values[np.isfinite(values)]
-    n = len(values)
-    if not n:
-        return 0, None, None, None
-    if n == 1:
-        return 1, *[float(values[0])] * 3
-    rng, means = np.random.default_rng(seed), np.empty(resamples)
-    step = max(1, 20_000_000 // n)  # blocks of resamples draw the same numbers as one draw of all
-    for a in range(0, resamples, step):
-        z = min(resamples, a + step)
-        means[a:z] = values[rng.integers(0, n, size=(z - a, n))].mean(axis=1)
-    low, high = np.quantile(means, (0.025, 0.975))
-    return n, float(values.mean()), float(low), float(high)
-
-
-def bootstrap(rows: DataFrame, by: str, value: str, order: str, resamples: int = 2000, seed: int = SEED) -> DataFrame:
-    """(by, n, mean, low, high): 95 % interval of the mean by resampling in a fixed order. A group is one task's work: it is meant for scores of test sets."""
-    kind = rows.schema[by].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        return pd.DataFrame([[pdf[by].iloc[0], *_interval(pdf[value].to_numpy(float), resamples, seed)]], columns=[by, "n", "mean", "low", "high"])
-
-    return rows.select(by, value, order).groupBy(by).applyInPandas(run, f"`{by}` {kind}, n bigint, mean double, low double, high double")
-
-
 def bootstrap_hashed(rows: DataFrame, by: str, value: str, order: str, resamples: int = 200, seed: int = 1) -> DataFrame:
     """The same interval from built-in functions: Poisson weights by a hash of row and resample, so groups of any size spread over tasks and rows are summed before they are shuffled."""
     u = F.pmod(F.xxhash64(F.col(order), F.col("b"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)

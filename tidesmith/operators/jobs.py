@@ -14,7 +14,8 @@ from ..kernels import enhance, metrics, spectral, synth
 from ..sources import records
 from ..sources.audio import wav_base64
 from . import kernels as K
-from .evaluation import bootstrap, check_strata, finite
+from .evaluation import check_strata, finite
+from .resampling import bootstrap
 
 LONGEST_S = 20.0
 
