@@ -355,3 +355,15 @@ def _sides(met: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT row, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i : i + 3], ' '))) END) AS s FROM w),
+n AS (SELECT row, count(*) AS n FROM s GROUP BY row),
+p AS (SELECT a.row AS a, b.row AS b, count(*) AS shared FROM s a JOIN s b USING (s) WHERE a.row < b.row GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.row = a JOIN n y ON y.row = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT row, row AS at FROM w UNION SELECT r.row, e.b FROM r JOIN e ON e.a = r.at)
+SELECT w.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(d.doc_id) AS component_id FROM w LEFT JOIN n USING (row) JOIN r USING (row) JOIN w d ON d.row = r.at GROUP BY w.row, w.doc_id
+"""

@@ -34,6 +34,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality_rules.OP1_SQL,
         "op4_warc": warc.OP4_SQL,
+        "op7_ngram_join": ngram_join.OP7_SQL,
         "op10_topk_search": topk.OP10_SQL,
         "op11_collocations": collocations.OP11_SQL,
         "op12_url_rules": url_rules.OP12_SQL,
