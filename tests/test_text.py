@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,8 +12,33 @@ from tidesmith.functions import text as T
     [("二零二六", "2026"), ("一九九零", "1990"), ("零", "0"), ("二零二六年四月", "2026年4月"), ("十二", "12"), ("一百零一", "101"), ("三千零五", "3005"), ("两万零一", "20001"),
      ("一亿两千万", "120000000"), ("三个五", "3个5"), ("两个人", "2个人"), ("一百二", "102"), ("一万亿", "100000000"), ("万一", "10001"), ("", "")],
 )
-def test_numerals(given, want):
-    assert T.numerals(given) == want
+def test_numerals(spark, given, want):
+    assert spark.range(1).select(T.arabic_numerals(F.lit(given))).first()[0] == want
+
+
+def section(text):
+    text = re.sub("[万亿]", "", text)
+    total = sum((T.DIGITS.get(d) or 1) * T.UNITS[u] for d, u in re.findall(f"([{''.join(T.DIGITS)}]?)([十百千])", text))
+    return total + T.DIGITS.get(text[-1:], 0)
+
+
+def numerals(text):
+    def value(run):
+        if not set(run) & set("十百千万亿"):
+            return "".join(str(T.DIGITS[c]) for c in run)
+        parts = re.fullmatch("(?:(.*?)亿)?(?:(.*?)万)?(.*)", run).groups()
+        return str(sum(scale * (section(p) if p else 1) for p, scale in zip(parts, (10**8, 10**4)) if p is not None) + section(parts[2]))
+
+    return re.sub(T.RUN + "+", lambda m: value(m[0]), text)
+
+
+def test_ten_thousand_runs_equal_a_reading_by_patterns(spark):
+    r = random.Random(5)
+    kinds = ["".join(T.DIGITS), "".join(T.DIGITS) + "十百千", "".join(T.DIGITS) + "十百千万亿", "十百千万亿", "一二三四五六七八九十百千万亿零x \n年é9"]
+    texts = ["".join(r.choices(r.choice(kinds), k=r.randrange(1, 14))) for _ in range(10_000)] + ["", None, "万" * 300, "零" * 400, "九千" * 200 + "亿"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    for k, text in df.select("k", T.arabic_numerals(F.col("t"))).collect():
+        assert text == (None if texts[k] is None else numerals(texts[k])), texts[k]
 
 
 def test_normalisation(spark):
