@@ -34,7 +34,7 @@ from .bpe import codec
 from .common import by_arrow, named, rows_by_batch, table, written
 
 #: Bytes of text that are encoded at once.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 Use = tuple[int, tuple[tuple[int, int], ...]]  # how many sequences, and the lengths in each with their numbers
 
