@@ -124,9 +124,9 @@ def test_one_signal_is_many_tasks_work(spark):
         at[i] = g
     picked = {x["idx"]: x["gate"] for x in out.filter("idx % 9973 = 0 OR idx = 399999").collect()}
     assert len(picked) > 40 and all(abs(at[i] - v) < 1e-9 for i, v in picked.items())
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         tasks = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
     finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.adaptive.enabled")
     assert len(tasks) == 4 and max(x["count"] for x in tasks) < n / 2
