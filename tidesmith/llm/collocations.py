@@ -65,7 +65,7 @@ def _text_hashes(words: pa.Array) -> np.ndarray:
 
 def _packed(ids: np.ndarray) -> list[np.ndarray]:
     """Sort keys of the suffixes, two words in each, the first words last."""
-    return [ids[k] << 32 | (ids[k + 1] if k + 1 < len(ids) else 0) for k in range(0, len(ids), 2)][::-1]
+    return [ids[k].astype(np.int64) << 32 | (ids[k + 1] if k + 1 < len(ids) else 0) for k in range(0, len(ids), 2)][::-1]
 
 
 def suffixes(b: pa.RecordBatch, max_n: int, buckets: int, hot: pa.Array) -> Iterator[tuple[int, str, pa.Array, np.ndarray, np.ndarray]]:
@@ -73,11 +73,11 @@ def suffixes(b: pa.RecordBatch, max_n: int, buckets: int, hot: pa.Array) -> Iter
     of, piece, words = word_runs(b.column("text"))
     if not len(of):
         return
-    at = words.indices.to_numpy().astype(np.int64)
+    at = words.indices.to_numpy()
     lang = b.column("lang").dictionary_encode()
-    of_lang = lang.indices.to_numpy(zero_copy_only=False).astype(np.int64)[of]
+    of_lang = lang.indices.to_numpy(zero_copy_only=False)[of]
     # a place in the row of words, 0 behind the end of the piece
-    ids = np.zeros((max_n, len(at)), np.int64)
+    ids = np.zeros((max_n, len(at)), np.int32)
     ids[0] = at + 1
     inside = np.ones(len(at), bool)
     for k in range(1, max_n):
@@ -156,7 +156,7 @@ def _count_bucket(lang: str, blobs: list[tuple[pa.Array, np.ndarray, np.ndarray]
     every = pa.chunked_array([w for w, _, _ in blobs]).combine_chunks().dictionary_encode()
     words = every.dictionary
     order = pc.sort_indices(words.cast(pa.binary())).to_numpy()
-    place = np.empty(len(order) + 1, np.int64)
+    place = np.empty(len(order) + 1, np.int32)
     place[order + 1] = np.arange(1, len(order) + 1)
     place[0] = 0
     words = words.take(pa.array(order))
@@ -168,7 +168,7 @@ def _count_bucket(lang: str, blobs: list[tuple[pa.Array, np.ndarray, np.ndarray]
     max_n = len(ids)
     split = np.append(False, pc.is_in(words, value_set=hot).to_numpy(zero_copy_only=False))
     # a pair of too few occurrences has no prefix to count
-    pair = ids[0] << 32 | ids[1]
+    pair = ids[0].astype(np.int64) << 32 | ids[1]
     _, which = np.unique(pair, return_inverse=True)
     keep = (np.bincount(which, weights=counts) >= least)[which] | split[ids[0]] & split[ids[1]]
     ids, counts = ids[:, keep], counts[keep]
@@ -211,7 +211,7 @@ def phrase_counts(docs: DataFrame, counts: DataFrame, max_n: int = 4, least: int
                     now, blobs = k, []
                 words = b.column("words")[i].values.cast(pa.large_string())
                 n = np.frombuffer(b.column("counts")[i].as_py(), "<u4").astype(np.int64)
-                ids = np.frombuffer(b.column("ids")[i].as_py(), "<u2" if len(words) < 1 << 16 else "<u4").astype(np.int64).reshape(max_n, len(n))
+                ids = np.frombuffer(b.column("ids")[i].as_py(), "<u2" if len(words) < 1 << 16 else "<u4").astype(np.int32).reshape(max_n, len(n))
                 blobs.append((words, ids, n))
         if blobs:
             yield _count_bucket(now[1], blobs, least, hot)
