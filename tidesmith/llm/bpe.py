@@ -38,6 +38,7 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 #: Texts of these characters need no Unicode normalisation, and lower-case one by one.
 PLAIN = re.compile("[!-~\xa1-\xac\xae-\xff]*")
 WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: White space beyond ASCII, and what str.split() takes for it, in UTF-8.
 SPACED = rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2(?:\x80[\x80-\x8a\xa8\xa9\xaf]|\x81\x9f)|\xe3\x80\x80"
 MARKS, ALNUM = (np.array([chr(b) in kind for b in range(256)]) for kind in (".,;:!?", "0123456789abcdefghijklmnopqrstuvwxyz"))
@@ -101,6 +102,8 @@ class BpeCodec:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_at = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.odd = re.compile(b"|".join([SPACED, *(re.escape(c.encode()) for c in self.special)]))
+        self.odd_first = np.isin(np.arange(256), [*range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3, *(c.encode()[0] for c in self.special)])
+        self.visible = dict(enumerate(byte_characters()))
         by_id = {i: s for s, i in (self.vocab | self.special).items()}
         self.strings = [by_id.get(i, "") for i in range(max(by_id) + 1)]
         self.bytes_as = byte_characters()
@@ -109,6 +112,8 @@ class BpeCodec:
         self.words, self.pieces = Remembered(self._word, remembered[0]), Remembered(self._piece, remembered[1])
 
     def _word(self, word: str) -> bytes:
+        if LETTERS.fullmatch(word):  # one piece
+            return self.pieces[word.lower().encode().decode("latin-1").translate(self.visible)]
         body, tail = (word[:-1], word[-1]) if word[-1] in ".,;:!?" else (word, "")
         if body.isascii() and body.isalpha():  # a word and its punctuation: two pieces
             return self.pieces[body.lower()] + self.pieces[tail] if tail else self.pieces[body.lower()]
@@ -183,12 +188,15 @@ class BpeCodec:
             starts, ends = np.insert(starts, where + 1, tails), np.insert(ends, where, tails)
         of, at = scan._text_of(starts), np.concatenate(([0], np.cumsum(ends - starts, dtype=np.int64)))
         own = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(data[~scan.space])])
-        odd = np.unique(scan._text_of(np.array([m.start() for m in self.odd.finditer(scan.data)], np.int64)))
+        # only bytes that may begin such white space or a special token are looked at
+        may = np.flatnonzero(self.odd_first[scan.data])
+        found = [m.start() for m in self.odd.finditer(scan.data)] if len(may) > len(data) // 20 else [k for k in may.tolist() if self.odd.match(scan.data, k)]
+        odd = np.unique(scan._text_of(np.array(found, np.int64)))
         if len(odd):
             plain = ~np.isin(of, odd)
             own, of = own.filter(pa.array(plain)), of[plain]
         own = own.dictionary_encode()
-        known = [self.pieces[w] if w.isascii() and w.isalpha() else self.words[w] for w in own.dictionary.to_pylist()]
+        known = [self.pieces[w] if w.isascii() and w.isalpha() else self.words[w] for w in own.dictionary.to_numpy(zero_copy_only=False).tolist()]
         size, word = np.array([len(x) // 4 for x in known], np.int64), own.indices.to_numpy()
         flat, first = np.frombuffer(b"".join(known), "<u4"), np.cumsum(size) - size
         each = size[word]
