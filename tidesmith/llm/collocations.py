@@ -34,7 +34,7 @@ from .common import named, rows_by_batch, slim, table, written
 from .wordscan import LOWER, Scan, mix
 
 #: Bytes of text whose suffixes are added up at once; words of a bucket; a hot word has 1 / SPLIT of all words.
-BATCH_BYTES, BUCKET_WORDS, SPLIT = 8 << 20, 1_500_000, 1024
+BATCH_BYTES, BUCKET_WORDS, SPLIT = 8 << 20, 1_000_000, 1024
 ENDS = np.array([b in b".,;:!?\n\v\f\r" for b in range(256)])
 GAP = ENDS.copy()
 GAP[[9, 32]] = True
@@ -110,7 +110,7 @@ def suffixes(b: pa.RecordBatch, max_n: int, buckets: int, hot: pa.Array) -> Iter
         held = own[own > 0]
         if len(held) == len(own):  # no suffix ends early: places count from 1 all the same
             local = local + 1
-        yield int(bucket[a]) // len(names), names[int(bucket[a]) % len(names)], words.dictionary.take(pa.array(held - 1)), local.reshape(max_n, z - a), counts[a:z]
+        yield int(bucket[a]) // len(names), names[int(bucket[a]) % len(names)], words.dictionary.take(pa.array(held - 1)), local.reshape(max_n, z - a).astype("<u2" if len(held) < 1 << 16 else "<u4"), counts[a:z]
 
 
 def prefix_counts(ids: np.ndarray, counts: np.ndarray, least: int, split: np.ndarray) -> tuple[list[int], list[int], list[int]]:
@@ -193,10 +193,9 @@ def phrase_counts(docs: DataFrame, counts: DataFrame, max_n: int = 4, least: int
             found = list(suffixes(b, max_n, buckets, hot))
             for k in range(0, len(found), 64):
                 bucket, lang, words, ids, n = zip(*found[k : k + 64], strict=True)
-                narrow = [x.astype("<u2" if len(w) < 1 << 16 else "<u4") for x, w in zip(ids, words, strict=True)]
                 cuts = np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket, pa.int64()), pa.array(lang, pa.string()), pa.ListArray.from_arrays(pa.array(cuts), pa.concat_arrays(words).cast(pa.string())), pa.array([x.tobytes() for x in narrow], pa.binary()), pa.array([x.astype("<u4").tobytes() for x in n], pa.binary())],
+                    [pa.array(bucket, pa.int64()), pa.array(lang, pa.string()), pa.ListArray.from_arrays(pa.array(cuts), pa.concat_arrays(words).cast(pa.string())), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([x.astype("<u4").tobytes() for x in n], pa.binary())],
                     names=["bucket", "lang", "words", "ids", "counts"],
                 )
 
