@@ -51,6 +51,17 @@ def test_long_responses_equal_direct_sums(spark, block):
         assert [i for i, _ in out[k]] == list(range(len(x[k]))) and np.allclose([y for _, y in out[k]], np.convolve(x[k], h[k])[: len(x[k])])
 
 
+def test_one_response_for_all_signals(spark):
+    r = np.random.default_rng(10)
+    x, h = {"a": r.normal(size=1), None: r.normal(size=70), "c": r.normal(size=9)}, r.normal(size=500)
+    sig = spark.createDataFrame([(k, i, float(v)) for k, vs in x.items() for i, v in enumerate(vs)], "id string, idx bigint, x double").repartition(3)
+    taps = spark.createDataFrame([(i, float(v)) for i, v in enumerate(h)], "idx bigint, h double")
+    out = {}
+    for row in convolution.convolve(sig, taps, 16).orderBy("idx").collect():
+        out.setdefault(row["id"], []).append(row["y"])
+    assert set(out) == set(x) and all(np.allclose(out[k], np.convolve(x[k], h)[: len(x[k])]) for k in x)
+
+
 def test_convolution_of_odd_rows(spark):
     x = spark.createDataFrame([("a", 0, 1.0), ("a", 0, 1.0), ("a", 5, None), ("a", 9, 3.0)], "id string, idx bigint, x double").withColumn("k", F.lit(1)).withColumn("block", F.lit(2))
     h = spark.createDataFrame([("a", 0, 1.0), ("a", 2, 10.0)], "id string, idx bigint, h double")

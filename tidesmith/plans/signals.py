@@ -147,6 +147,4 @@ def long_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     sig = sig_line(spark, sf_dir).select("id", "idx", "x")
     k = F.col("idx")
     taps = spark.range(8000).select(F.col("id").alias("idx")).withColumn("h", F.exp(-k / 900.0) * F.when(k % 3 == 0, 1.0).otherwise(-0.25))
-    # the response of every id: blocks of it are joined, never the whole
-    ids = sig.select("id").distinct().withColumn("idx", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(7999).cast("bigint"))))
-    return convolution.convolve(sig, ids.join(F.broadcast(taps), "idx").select("id", "idx", "h"), 256).select("id", "idx", F.round(F.col("y") / 10_000, 2).alias("y"))
+    return convolution.convolve(sig, taps, 256).select("id", "idx", F.round(F.col("y") / 10_000, 2).alias("y"))
