@@ -20,6 +20,28 @@ def test_intervals_of_any_length(spark):
     assert got == want and len(got) > 3000
 
 
+@pytest.mark.parametrize("top", [0, 3, 12])
+def test_interval_summary_equals_the_join(spark, top):
+    r = np.random.default_rng(8)
+    values = [(i, float(x)) for i, x in enumerate(np.concatenate([r.normal(0, 100, 300), [0.0, -0.0, 5.0, -5.0, 1e9]]))] + [(900, None), (901, float("nan")), (1, 5.0), (1, 5.0)]
+    spans = [(float(a), float(a + 10.0 ** r.uniform(-6, 4))) for a in r.normal(0, 100, 200)] + [(0.0, 5.0), (5.0, 5.0), (9.0, 1.0), (None, -50.0), (80.0, None), (None, None), (0.0, 5.0), (-5.0, 0.0), (float("nan"), 1.0), (1e9, 2e9)]
+    v = spark.createDataFrame(values, "k int, x double").repartition(3)
+    s = spark.createDataFrame([(j, *e) for j, e in enumerate(spans)], "j int, low double, high double").repartition(2)
+    want = evaluation.interval_join(v.distinct(), "x", s).groupBy("k", "x").agg(F.count("j").alias("n"), F.min("j").alias("least"))
+    key = lambda d: sorted((x["k"], x["x"], x["n"], x["least"]) for x in d.collect())
+    assert key(evaluation.interval_summary(v.distinct(), "x", s, "j", top=top)) == key(want)
+    assert evaluation.interval_summary(v, "x", s, "j").filter("k = 1 AND x = 5").count() == 2
+    assert evaluation.interval_summary(v.limit(0), "x", s, "j").count() == 0 and evaluation.interval_summary(v, "x", s.limit(0), "j").count() == 0
+
+
+def test_interval_summary_makes_no_pairs(spark):
+    """Ten thousand million pairs."""
+    v = spark.range(100_000).select(F.col("id").alias("k"), (F.col("id") % 1000 * 1.0).alias("x"))
+    s = spark.range(100_000).select(F.col("id").alias("j"), F.lit(0.0).alias("low"), (F.col("id") + 1000.0).alias("high"))
+    out = evaluation.interval_summary(v, "x", s, "j").agg(F.sum("n"), F.max("least"), F.count("k")).first()
+    assert tuple(out) == (10**10, 0, 10**5)
+
+
 def test_a_hundred_thousand_intervals_are_no_nested_loop(spark):
     s = spark.range(100_000).select(F.col("id").alias("j"), (F.col("id") * 1.5).alias("low"), (F.col("id") * 1.5 + 1 + F.col("id") % 7).alias("high"))
     v = spark.range(50_000).select(F.col("id").alias("k"), (F.col("id") * 3.1).alias("x"))

@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import settled
+
 DELTA_SEED = 20260819
 
 
@@ -93,6 +95,53 @@ def interval_join(values: DataFrame, value: str, intervals: DataFrame, low: str
     return met.drop("_width", "_bin", "_low", "_high")
 
 
+def _ranks(points: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
+    """(at, r) of all distinct points and edges (at), r being how many distinct points lie below, and the number of points: ranges are counted one by one and the ranges' counts before added."""
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = points.select("at", F.lit(1).alias("p")).unionAll(edges.select("at", F.lit(0))).groupBy("at").agg(F.max("p").alias("p"))
+    laid = settled(both.repartitionByRange(parts, "at").withColumn("part", F.spark_partition_id()))
+    sizes = laid.groupBy("part").agg(F.sum("p").alias("n"))
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a range
+    here = F.coalesce(F.sum("p").over(Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return laid.withColumn("here", here).join(F.broadcast(before), "part").select("at", (F.col("here") + F.col("before")).alias("r")), sizes.agg(F.sum("n")).first()[0] or 0
+
+
+def interval_summary(values: DataFrame, value: str, intervals: DataFrame, least: str, low: str = "low", high: str = "high", top: int = 12) -> DataFrame:
+    """The rows of values that lie in an interval [low, high), with `n`, how many do hold them, and `least`, the smallest of that column of those.
+
+    What interval_join would give, summed up, but no pair is ever made. An
+    interval is a range of ranks of the distinct values and so the union of at
+    most two nodes of each level of the binary tree over them; nodes add up
+    their intervals, and a value asks the one node of each level that is above
+    it. The work grows as (values + intervals) * log(distinct values). The
+    `top` levels, whose nodes all values ask, are broadcast. Edges are as in
+    interval_join.
+    """
+    v = F.col(value).cast("double")
+    held = values.withColumn("_at", v).filter("_at IS NOT NULL AND NOT isnan(_at)")
+    spans = intervals.select(
+        F.coalesce(F.col(low).cast("double"), F.lit(float("-inf"))).alias("_low"), F.coalesce(F.col(high).cast("double"), F.lit(float("inf"))).alias("_high"), F.col(least).alias("_least")
+    ).filter("_low < _high AND NOT isnan(_high)")
+    spans = spans.groupBy("_low", "_high").agg(F.count(F.lit(1)).alias("_n"), F.min("_least").alias("_least"))
+    ranks, points = _ranks(held.select(F.col("_at").alias("at")), spans.select(F.explode(F.array("_low", "_high")).alias("at")))
+    levels = max(points, 1).bit_length()
+    a, z = (ranks.select(F.col("at").alias(c), F.col("r").alias(n)) for c, n in (("_low", "_a"), ("_high", "_z")))
+    ranges = spans.join(a, "_low").join(z, "_high").filter("_a < _z").groupBy("_a", "_z").agg(F.sum("_n").alias("_n"), F.min("_least").alias("_least"))
+    each = ranges.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    each = each.withColumns({"_from": F.expr("shiftright(_a + shiftleft(1L, k) - 1, k)"), "_to": F.expr("shiftright(_z, k)")}).filter("_from < _to")
+    node = F.array_compact(F.array(F.when(F.col("_from") % 2 == 1, F.col("_from")), F.when(F.col("_to") % 2 == 1, F.col("_to") - 1)))
+    nodes = settled(each.select("k", F.explode(node).alias("node"), "_n", "_least").groupBy("k", "node").agg(F.sum("_n").alias("_n"), F.min("_least").alias("_least")))
+    cut = levels - top
+    asked = held.select("_at").distinct().join(ranks.withColumnRenamed("at", "_at"), "_at")
+    met = []
+    for some, above in ((F.broadcast(nodes.filter(F.col("k") >= cut)), range(max(cut, 0), levels + 1)), (nodes.filter(F.col("k") < cut), range(max(cut, 0)))):
+        if above:
+            lines = asked.withColumn("k", F.explode(F.array(*map(F.lit, above)))).withColumn("node", F.expr("shiftright(r, k)"))
+            met.append(lines.join(some, ["k", "node"]).groupBy("_at").agg(F.sum("_n").alias("n"), F.min("_least").alias("least")))
+    found = reduce(DataFrame.unionAll, met).groupBy("_at").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
+    return held.join(found, "_at").drop("_at")
+
+
 def filled_buckets(rows: DataFrame, by: str, order: Sequence[Column | str], k: int) -> DataFrame:
     """k rows of each bucket; raises when it runs if a bucket has fewer."""
     w = Window.partitionBy(by)
