@@ -63,6 +63,18 @@ def test_noise_floor_equals_a_loop(spark, block):
         assert np.allclose(got[k], want)
 
 
+def test_noise_of_nothing_is_minus_infinity(spark, tmp_path):
+    """A first value of 0 makes a floor of 0, whose level the SQL has as -infinity; the same for the ratio of a constant reference."""
+    from tidesmith.operators import scoring
+    from tidesmith.plans import recursions
+
+    spark.sql("SELECT id AS event_id, timestamp_seconds(id) AS ts, 1L AS user_id, IF(id < 2, 0D, 8D) AS value FROM range(4)").write.parquet(str(tmp_path / "events.parquet"))
+    rows = recursions.noise_floor(spark, str(tmp_path)).orderBy("idx").collect()
+    assert [r["noise_db"] for r in rows[:2]] == [-np.inf, -np.inf] and abs(rows[3]["noise_db"]) < np.inf
+    pairs = spark.createDataFrame([("a", 1.0, 2.0), ("a", 1.0, 3.0)], "id string, ref double, est double")
+    assert scoring.measured_snr(pairs).first()["snr"] == -np.inf
+
+
 @pytest.mark.parametrize("block, onset, hang", [(4, 2, 12), (9, 3, 2), (4096, 2, 12), (7, 1, 0)])
 def test_hysteresis_equals_a_loop(spark, block, onset, hang):
     sig, held = signals(spark, SIZES, 3)

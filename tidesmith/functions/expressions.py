@@ -16,6 +16,11 @@ def rms(x: Column) -> Column:
     return F.coalesce(F.sqrt(F.avg(x * x)), F.lit(0.0))
 
 
+def log10(x: Column) -> Column:
+    """log10 with -infinity for 0, of which Spark's own has null."""
+    return F.when(x == 0, F.lit(float("-inf"))).otherwise(F.log10(x))
+
+
 def db(x: Column, floor: float = 1e-12) -> Column:
     return 20 * F.log10(F.greatest(x, F.lit(floor)))
 

@@ -78,7 +78,7 @@ SELECT id, idx, round(p, 6) AS p, round(10 * log10(noise), 6) AS noise_db FROM r
 def noise_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Presence-controlled noise averaging; the first frame sets the floor."""
     out = scans.noise(_smooth(spark, sf_dir))
-    return out.select("id", "idx", F.round("p", 6).alias("p"), F.round(10 * F.log10("noise"), 6).alias("noise_db"))
+    return out.select("id", "idx", F.round("p", 6).alias("p"), F.round(10 * X.log10(F.col("noise")), 6).alias("noise_db"))
 
 
 @query(f"""WITH RECURSIVE {EVENTS}, {_SMOOTH}, g AS (SELECT id, idx, power / (smooth + 1e-12) AS gamma FROM sm),
