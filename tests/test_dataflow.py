@@ -186,3 +186,20 @@ def test_session_blocks_has_every_signal(spark):
     sizes = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_suppkey").count().collect()
     out = engines.session_blocks(spark, sf).groupBy("session").agg(F.sum("n").alias("n")).collect()
     assert {r["session"]: r["n"] for r in out} == {str(r["l_suppkey"]): r["count"] // 32 * 32 for r in sizes} and len(out) == 100
+
+
+def test_lines_that_the_order_leaves_open_stand_as_in_the_files(spark, tmp_path):
+    """Of two files the larger is read first, so ties came in its order."""
+    from tidesmith.plans import scores
+
+    line = lambda k, d, t: (k, 1, 7, d, t)
+    cells = "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_discount double, l_tax double"
+    rows = [line(1, 0.01, 0.02), line(1, 0.05, 0.01), line(1, 0.1, 0.09), line(1, 0.02, 0.08), line(1, 0.07, 0.01), line(1, 0.03, 0.02)]
+    folder = tmp_path / "lineitem.parquet"
+    folder.mkdir()
+    for name, part in (("a", rows[:3]), ("b", rows[3:] + [line(k, 0.01 * (k % 9), 0.03) for k in range(2, 5000)])):
+        spark.createDataFrame(part, cells).coalesce(1).toPandas().to_parquet(folder / f"{name}.parquet")
+    r, e = np.array([x[3] for x in rows]), np.array([x[4] for x in rows])
+    frames = [(float((r[a : a + 4] ** 2).sum()), float(((r - e)[a : a + 4] ** 2).sum())) for a in (0, 2)]
+    want = np.mean([np.clip(10 * np.log10(s / (d + 1e-10)), -10, 35) for s, d in frames])
+    assert scores.seg_snr_short(spark, str(tmp_path)).filter("id = 1").first()["seg_snr"] == round(float(want), 4)
