@@ -54,3 +54,11 @@ def test_a_large_group_is_many_tasks_work(spark):
     x = np.arange(n) * 7919 % 1000 / 10.0
     means = x[np.random.default_rng(resampling.SEED).integers(0, n, size=(20, n))].mean(axis=1)
     assert (out["low"], out["high"]) == pytest.approx(tuple(np.quantile(means, (0.025, 0.975))), rel=1e-10)
+
+
+def test_a_task_holds_a_slice_of_a_large_groups_draws():
+    """A chunk of a group of ten million values has 160 million draws."""
+    first = next(resampling.slices(7, 10_000_000, 3, 160_000_000))
+    assert 0 < len(first) <= resampling.SLICE
+    cut = np.concatenate(list(resampling.slices(7, 1000, 3, 5000, 64)))
+    assert np.array_equal(cut, resampling.accepted(7, 1000, 3, 5000)) and [len(x) for x in resampling.slices(7, 1, 0, 10, 4)] == [4, 4, 2]

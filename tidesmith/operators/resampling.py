@@ -7,7 +7,8 @@ whether the bounded draw accepts it and which index it gives. How many each
 chunk accepts, summed up, says which resample and place a draw belongs to. So
 the numbers are those of the one stream for any number of tasks, and no group
 is one task's work: its values are looked up by rank in blocks, and tasks give
-partial sums of resamples.
+partial sums of resamples. A task holds one block of values, which reaches it in
+small pieces, and a slice of draws at a time, however large groups are.
 """
 
 from __future__ import annotations
@@ -26,16 +27,26 @@ from .quantiles import settled
 SEED = 20260818
 #: Least draws of a chunk, and values of a block.
 DRAWS, BLOCK = 1 << 18, 1 << 20
+#: Draws held at once, values of a piece of a block, and most tasks that share a block's chunks.
+SLICE, PIECE, PARTS = 1 << 18, 256, 16
 
 
-def accepted(seed: int, n: int, chunk: int, draws: int) -> np.ndarray:
-    """The indices below n, of numpy's stream of bounded draws, that the raw numbers of one chunk give. A raw number has two halves, the low one first; draws is even."""
-    if n == 1:
-        return np.zeros(draws, np.int64)
+def slices(seed: int, n: int, chunk: int, draws: int, most: int = SLICE) -> Iterator[np.ndarray]:
+    """The indices below n, of numpy's stream of bounded draws, that the raw numbers of one chunk give, of at most `most` raw numbers' halves at a time. A raw number has two halves, the low one first; draws and most are even."""
     generator = np.random.PCG64(seed)
     generator.advance(chunk * draws // 2)
-    product = generator.random_raw(draws // 2).astype("<u8").view("<u4").astype(np.uint64) * np.uint64(n)
-    return (product >> np.uint64(32))[(product & np.uint64(0xFFFFFFFF)) >= np.uint64((1 << 32) % n)].astype(np.int64)
+    for a in range(0, draws, most):
+        size = min(most, draws - a)
+        if n == 1:
+            yield np.zeros(size, np.int64)
+            continue
+        product = generator.random_raw(size // 2).astype("<u8").view("<u4").astype(np.uint64) * np.uint64(n)
+        yield (product >> np.uint64(32))[(product & np.uint64(0xFFFFFFFF)) >= np.uint64((1 << 32) % n)].astype(np.int64)
+
+
+def accepted(seed: int, n: int, chunk: int, draws: int) -> np.ndarray:
+    """All the indices of a chunk."""
+    return np.concatenate([np.empty(0, np.int64), *slices(seed, n, chunk, draws)])
 
 
 def ranked(rows: DataFrame, order: str) -> DataFrame:
@@ -57,37 +68,55 @@ def bootstrap(rows: DataFrame, by: str, value: str, order: str, resamples: int =
     held = rows.select(F.struct(F.col(by)).alias("who"), F.col(order).alias("_order"), finite(x).alias("x"))
     sizes = settled(held.groupBy("who").agg(F.count("x").alias("n"), F.avg("x").alias("mean")))
     places = ranked(held.filter("x IS NOT NULL"), "_order")
-    values = places.groupBy("who", F.floor(F.col("rank") / block).cast("bigint").alias("b")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "x"))), lambda v: v["x"]).alias("v"))
-    # a block of values goes to every chunk, so chunks of a large group are large too; a few more than all draws, for those that are not accepted
+    b = F.floor(F.col("rank") / block).cast("bigint")
+    values = places.groupBy("who", b.alias("b"), F.floor((F.col("rank") - b * block) / PIECE).cast("bigint").alias("place")).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "x"))), lambda v: v["x"]).alias("v"))
+    # a block of values goes over every chunk, so chunks of a large group are large too; a few more than all draws, for those that are not accepted
     size = F.greatest(F.lit(draws - draws % 2), 16 * (F.col("n") + F.col("n") % 2)).cast("bigint")
-    number = F.ceil(resamples * F.col("n") * (1 + 4 * F.col("n") / float(1 << 32)) / F.col("size")) + 1
+    number = F.ceil(resamples * F.col("n") * (1 + 4 * F.col("n") / float(1 << 32)) / size) + 1
     chunks = sizes.filter("n > 0").withColumn("size", size).select("who", "n", "size", F.explode(F.sequence(F.lit(0).cast("bigint"), number.cast("bigint") - 1)).alias("chunk"))
     who = T.StructField("who", T.StructType([rows.schema[by]]))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, since small rows of much work would be put together
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [len(accepted(seed, n, c, d)) for n, c, d in zip(*(b.column(x).to_pylist() for x in ("n", "chunk", "size")), strict=True)]
+            found = [sum(map(len, slices(seed, n, c, d))) for n, c, d in zip(*(b.column(x).to_pylist() for x in ("n", "chunk", "size")), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.int64())], names=[*b.schema.names, "found"])
 
     longs = [T.StructField(c, T.LongType()) for c in ("n", "size", "chunk", "found")]
-    dealt = chunks.repartition("who", "chunk").mapInArrow(counted, T.StructType([who, *longs]))
+    dealt = chunks.repartition(tasks, "who", "chunk").mapInArrow(counted, T.StructType([who, *longs]))
     before = F.coalesce(F.sum("found").over(Window.partitionBy("who").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     dealt = settled(dealt.withColumn("before", before))
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, (n, c, d, begin, at) in enumerate(zip(*(b.column(x).to_pylist() for x in ("n", "chunk", "size", "before", "b")), strict=True)):
-                index = accepted(seed, n, c, d)[: max(resamples * n - begin, 0)]
-                v = b.column("v")[i].values.to_numpy()
-                resample = (begin + np.arange(len(index))) // n
-                mine = (index >= at * block) & (index < at * block + len(v))
-                if not mine.any():
+        """A block's pieces come before its chunks."""
+        v = np.empty(block)
+        for rows in batches:
+            for i, (place, n, c, d, begin, at) in enumerate(zip(*(rows.column(x).to_pylist() for x in ("place", "n", "chunk", "size", "before", "b")), strict=True)):
+                if place >= 0:
+                    piece = rows.column("v")[i].values.to_numpy()
+                    v[place * PIECE : place * PIECE + len(piece)] = piece
                     continue
-                first = int(resample[0])
-                total = np.bincount(resample[mine] - first, v[index[mine] - at * block])
-                yield pa.RecordBatch.from_arrays([b.column("who").take(pa.array([i] * len(total))), pa.array(np.arange(first, first + len(total))), pa.array(total)], names=["who", "resample", "total"])
-
-    sums = dealt.join(values, "who").repartition("who", "chunk", "b").mapInArrow(summed, T.StructType([who, T.StructField("resample", T.LongType()), T.StructField("total", T.DoubleType())]))
+                first, low, length = begin // n, at * block, min(block, n - at * block)
+                total, met = np.zeros(0), False
+                for index in slices(seed, n, c, d):
+                    index = index[: max(resamples * n - begin, 0)]
+                    if not len(index):
+                        continue
+                    mine = np.flatnonzero((index >= low) & (index < low + length))
+                    more = np.bincount((begin + mine) // n - first, v[index[mine] - low], minlength=len(total))
+                    more[: len(total)] += total
+                    total, met, begin = more, met or len(mine) > 0, begin + len(index)
+                if met:
+                    yield pa.RecordBatch.from_arrays([rows.column("who").take(pa.array([i] * len(total))), pa.array(np.arange(first, first + len(total))), pa.array(total)], names=["who", "resample", "total"])
+
+    # the tasks that share the chunks of a group each take every block's pieces once
+    parts = F.least(F.lit(PARTS).cast("bigint"), number.cast("bigint"))
+    none = F.lit(None).cast("bigint")
+    pieces = values.join(sizes.select("who", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part")), "who").select("who", "b", "part", "place", "v", *(none.alias(c) for c in ("n", "chunk", "size", "before")))
+    lasts = F.floor((F.col("n") - 1) / block).cast("bigint")
+    asked = dealt.withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), lasts))).select("who", "b", (F.col("chunk") % parts).alias("part"), F.lit(-1).cast("bigint").alias("place"), F.lit(None).cast("array<double>").alias("v"), "n", "chunk", "size", "before")
+    laid = pieces.unionAll(asked).repartition(tasks, "who", "b", "part").sortWithinPartitions("who", "b", "part", F.col("place") < 0, "place", "chunk")
+    sums = laid.mapInArrow(summed, T.StructType([who, T.StructField("resample", T.LongType()), T.StructField("total", T.DoubleType())]))
     means = sums.groupBy("who", "resample").agg(F.sum("total").alias("total")).join(sizes, "who").select("who", (F.col("total") / F.col("n")).alias("m"))
     ends = means.groupBy("who").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     return sizes.join(ends, "who", "left").select(f"who.{by}", "n", "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
