@@ -35,9 +35,14 @@ def to_mono(frames: Column) -> Column:
     return F.transform(frames, lambda f: F.aggregate(f, F.lit(0.0), lambda a, v: a + v) / F.size(f))
 
 
+def once(value: Column, use) -> Column:
+    """use(value), value being worked out once and not for each element of the lambdas in use."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def peak_normalize(samples: Column, target: float = PEAK) -> Column:
     peak = F.array_max(F.transform(samples, F.abs))
-    return F.when(peak > 0, F.transform(samples, lambda v: v * (target / peak))).otherwise(samples)
+    return once(peak, lambda p: F.when(p > 0, F.transform(samples, lambda v: v * (target / p))).otherwise(samples))
 
 
 def num_frames(n: Column, n_fft: int = 512, hop: int = 256) -> Column:
@@ -97,4 +102,4 @@ def dft(frame: Column, size: int) -> Column:
 
 def to_array(order: str, x: str) -> Column:
     """Aggregate: the x of a group as an array, in order."""
-    return F.transform(F.array_sort(F.collect_list(F.struct(order, x))), lambda s: s[x])
+    return F.transform(F.sort_array(F.collect_list(F.struct(order, x))), lambda s: s[x])

@@ -117,8 +117,8 @@ def speech_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT l_suppkey::VARCHAR AS session, unnest(range(0, count(*) // 32)) AS block, 32 AS n, 0::BIGINT AS late FROM lineitem GROUP BY l_suppkey")
 def session_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of uneven length through the session pipeline, as a batch of one."""
-    sig = signals(spark, sf_dir).select(F.col("id").cast("string").alias("session"), F.posexplode("samples"))
-    chunks = sig.groupBy("session", F.floor(F.col("pos") / 50).alias("seq")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "col"))), lambda s: s["col"].cast("float")).alias("pcm"))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("samples") - 1) / 50).cast("int")), lambda k: F.struct(k.cast("bigint").alias("seq"), F.slice("samples", k * 50 + 1, 50).cast("array<float>").alias("pcm")))
+    chunks = signals(spark, sf_dir).select(F.col("id").cast("string").alias("session"), F.inline(cut))
     out = sessions.enhance_stream(chunks.withColumn("control", F.lit(None).cast("string")), SHORT)
     return out.select("session", "block", F.size("samples").alias("n"), "late")
 

@@ -56,7 +56,7 @@ class Session:
         x = np.concatenate([self.rest, np.asarray(pcm, float)])
         whole = len(x) // self.f.hop * self.f.hop
         self.rest = x[whole:]
-        return [self.pipeline.block(x[a : a + self.f.hop]) for a in range(0, whole, self.f.hop)]
+        return self.pipeline.blocks(x[:whole])
 
     def dump(self) -> bytes:
         return pickle.dumps((self.config, self.rest, self.next, self.late, self.pipeline.dump()))
@@ -70,17 +70,26 @@ class Session:
         return self
 
     def take(self, name: str, chunks: pd.DataFrame) -> pd.DataFrame:
-        """Feeds a session's chunks in order of seq; gives the blocks that are whole."""
-        rows = []
+        """Feeds a session's chunks in order of seq, those between controls and late ones at once; gives the blocks that are whole."""
+        rows, held = [], []
+
+        def feed() -> None:
+            if held:
+                rows.extend((name, r["t"], y, r["is_speech"], r["vad_prob"], r["gate"], self.late) for y, r in self.feed(np.concatenate(held)))
+                held.clear()
+
         for c in chunks.sort_values("seq", kind="stable").itertuples():
             if c.seq < self.next:
+                feed()
                 self.late += 1
                 continue
             self.next = c.seq + 1
             if c.control:
+                feed()
                 self.control(c.control)
             if c.pcm is not None and len(c.pcm):
-                rows += [(name, r["t"], y, r["is_speech"], r["vad_prob"], r["gate"], self.late) for y, r in self.feed(c.pcm)]
+                held.append(np.asarray(c.pcm, float))
+        feed()
         return pd.DataFrame(rows, columns=[f.split()[0] for f in BLOCKS.split(", ")])
 
 
