@@ -45,9 +45,8 @@ def spectral_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def objective_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kernel scores of enhanced signals against the clean ones."""
-    sig = signals(spark, sf_dir)
-    est = K.enhance_signals(sig, "wiener", framing=SHORT).select("id", F.col("samples").alias("est"))
-    return K.score(sig.select("id", F.col("samples").alias("ref")).join(est, "id"), intelligibility=False).select("id", *(F.round(c, 4).alias(c) for c in ("si_sdr", "sdr", "seg_snr")))
+    sig = signals(spark, sf_dir).select("id", F.col("samples").alias("ref"), F.col("samples").alias("est"))
+    return K.score(K.enhance_signals(sig, "wiener", "est", framing=SHORT).select("id", "ref", "est"), intelligibility=False).select("id", *(F.round(c, 4).alias(c) for c in ("si_sdr", "sdr", "seg_snr")))
 
 
 @query()
