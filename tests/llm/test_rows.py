@@ -87,6 +87,27 @@ def test_ids_of_all_documents_equal_the_library(spark):
         assert out[doc]["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_digests_merge_a_batch_s_distinct_words_once(monkeypatch):
+    from tokenizers import Tokenizer
+
+    own, library, merged = bpe.BpeCodec(remembered=(10, 10)), Tokenizer.from_file(bpe.default_tokenizer()), []
+    merge = own.merge
+    monkeypatch.setattr(own, "merge", lambda piece: merged.append(piece) or merge(piece))
+    monkeypatch.setitem(bpe._CODECS, (None, False), own)
+    monkeypatch.setattr(bpe, "by_arrow", lambda df, run, results: run)
+    words = [f"{a}{b}{c}" for a in "abcdefgh" for b in "éoux" for c in "klmnopqr"]
+    texts = [*[" ".join(words)] * 20, None, "", " \n", "a b<|endoftext|>c", "Don\u2019t\xa0stop.", "x" * 3000, "end. "]
+    b = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    empty = type("Table", (), {"schema": {"doc_id": None}, "select": lambda self, *columns: self})()
+    monkeypatch.setattr(bpe, "named", lambda name: name)
+    (out,) = bpe.bpe_digests(empty, "doc_id")([b])
+    assert len(merged) < 2 * len(words)
+    for t, n, ids, decoded in zip(texts, *(out.column(c).to_pylist() for c in ("n_tokens", "ids_sha256", "decoded_sha256"))):
+        want = library.encode(t or "", add_special_tokens=False).ids
+        assert n == len(want) and ids == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
+        assert decoded == hashlib.sha256(library.decode(want, skip_special_tokens=False).encode()).hexdigest(), t
+
+
 def test_long_words_are_not_remembered():
     own = bpe.BpeCodec()
     for k in range(50):

@@ -5,9 +5,9 @@ rank of every adjacent pair. The lowest rank is popped, skipped if the pair it
 names has changed meanwhile, else merged, and the new neighbours' ranks are
 pushed. Decoding joins the vocabulary strings of the ids.
 
-Words between white space are independent of each other, so a worker remembers
-the ids of the words of up to 64 characters that it has seen, in a bounded
-memory; longer ones are encoded each time.
+Words between white space are independent of each other, so equal words of a
+batch are encoded once, and a worker remembers the ids of the words of up to 64
+characters that it has seen, in a bounded memory.
 
 Null and empty texts encode to no ids and decode to the empty text. Long texts
 are encoded whole; batches are cut so that a worker holds few of them. Repeated
@@ -106,6 +106,7 @@ class BpeCodec:
         self.visible = dict(enumerate(byte_characters()))
         by_id = {i: s for s, i in (self.vocab | self.special).items()}
         self.strings = [by_id.get(i, "") for i in range(max(by_id) + 1)]
+        self.spaced = pa.array([x + " " for x in self.strings], pa.large_string())
         self.bytes_as = byte_characters()
         self.library = None
         self.library_merges = self._library().model if library_merges else None
@@ -213,6 +214,14 @@ class BpeCodec:
         words = text.split() if not CONTROL.search(text) else [w for w in WHITE.split(text) if w]
         return b"".join(map(self.words.__getitem__, words))
 
+    def decode_batch(self, ids: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+        """The texts of ids[begin[i] : begin[i + 1]]: bytes in UTF-8, and where in them each text starts and ends."""
+        own = self.spaced.take(pa.array(ids))
+        _, at, data = own.buffers()
+        at = np.frombuffer(at, np.int64)[: len(ids) + 1][begin] if len(ids) else np.zeros(len(begin), np.int64)
+        first, last = at[:-1], np.maximum(at[1:] - 1, at[:-1])  # no space behind a text's last string
+        return np.frombuffer(data if data is not None else b"", np.uint8), list(zip(first.tolist(), last.tolist()))
+
     def decode(self, ids: np.ndarray) -> str:
         return " ".join(map(self.strings.__getitem__, ids.tolist()))
 
@@ -234,8 +243,8 @@ def bpe_encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for b in rows_by_batch(batches, column=text):
-            found = [np.frombuffer(own.encode_bytes(t), "<u4").astype(np.int64) for t in b.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in stay), pa.array(found, pa.list_(pa.int64()))], names=[*stay, ids])
+            found, begin = own.encode_batch(b.column(text))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in stay), pa.ListArray.from_arrays(begin.astype(np.int32), found.astype(np.int64))], names=[*stay, ids])
 
     return by_arrow(df.select(*map(named, dict.fromkeys([*stay, text]))), run, [*(df.schema[c] for c in stay), T.StructField(ids, T.ArrayType(T.LongType()))])
 
@@ -257,17 +266,14 @@ def bpe_digests(df: DataFrame, key: str, text: str = "text", path: str | None =
     """key, n_tokens, ids_sha256 and decoded_sha256: encoding and decoding in one pass, so no ids cross between workers."""
     from hashlib import sha256
 
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for b in rows_by_batch(batches, column=text):
-            n, encoded, decoded = [], [], []
-            for t in b.column(text):
-                data = own.encode_bytes(t.as_py())
-                n.append(len(data) // 4)
-                encoded.append(sha256(data).hexdigest())
-                decoded.append(sha256(own.decode(np.frombuffer(data, "<u4")).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(n, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+            ids, begin = own.encode_batch(b.column(text))
+            held, ends = own.decode_batch(ids, begin)
+            encoded = [sha256(ids[i:j]).hexdigest() for i, j in zip(begin[:-1], begin[1:])]
+            decoded = [sha256(held[i:j]).hexdigest() for i, j in ends]
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(np.diff(begin), pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     digests = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     return by_arrow(df.select(named(key), named(text)), run, [df.schema[key], *digests])
