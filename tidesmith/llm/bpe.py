@@ -23,6 +23,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -106,7 +107,6 @@ class BpeCodec:
         self.visible = dict(enumerate(byte_characters()))
         by_id = {i: s for s, i in (self.vocab | self.special).items()}
         self.strings = [by_id.get(i, "") for i in range(max(by_id) + 1)]
-        self.spaced = pa.array([x + " " for x in self.strings], pa.large_string())
         self.bytes_as = byte_characters()
         self.library = None
         self.library_merges = self._library().model if library_merges else None
@@ -214,6 +214,10 @@ class BpeCodec:
         words = text.split() if not CONTROL.search(text) else [w for w in WHITE.split(text) if w]
         return b"".join(map(self.words.__getitem__, words))
 
+    @cached_property
+    def spaced(self) -> pa.Array:
+        return pa.array([x + " " for x in self.strings], pa.large_string())
+
     def decode_batch(self, ids: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
         """The texts of ids[begin[i] : begin[i + 1]]: bytes in UTF-8, and where in them each text starts and ends."""
         own = self.spaced.take(pa.array(ids))
