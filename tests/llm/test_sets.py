@@ -7,11 +7,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import tidesmith.llm.ngram_join as nj
 import tidesmith.llm.topk as topk
 from tidesmith.llm import components, html_text, packing, warc
+from tidesmith.llm.wordscan import Scan
 
 SF = "/root/testdata/sf0.001"
 
@@ -89,6 +91,32 @@ def test_join_of_a_hot_token(spark, monkeypatch):
     assert out == {i: i // 8 * 8 for i in range(len(rows))}
 
 
+def test_all_frequent_shingles_come_last(spark):
+    """More than 50,000 of them, so that lists do not get longer and longer as tables grow."""
+    common = [f"c{i}" for i in range(60_000)]
+    ids = [r["id"] for r in spark.range(1000).filter("pmod(xxhash64(id, 17), 32) = 0").limit(3).collect()]
+    own = lambda d: " ".join(f"own{d}x{i}" for i in range(40))
+    docs = spark.createDataFrame([(d, " ".join(common) + "\n" + own(d)) for d in ids], "doc_id bigint, text string")
+    first = {r["doc_id"]: r["first"] for r in nj.signatures(docs, "doc_id", "text", 4, 85).collect()}
+    for d in ids:
+        rare = set(Scan(pa.array([own(d)]), lower=True).shingle_sets(4)[0].view(np.int64).tolist())
+        assert len(rare) == 37 and len(rare & set(first[d][:40])) >= 34  # a few share a place with a frequent one
+
+
+def test_linked_sets_share_as_many_first_shingles_as_asked(spark):
+    rnd = random.Random(3)
+    rows = []
+    for _ in range(400):
+        n = rnd.choice((1, 2, 5, 9, 12, 40, 300))
+        both, order = list(range(n)), rnd.sample(range(2 * n + 40), 2 * n + 40)
+        a, b = (set(both) | set(range(n + k, n + k + rnd.randrange(n // 6 + 1))) for k in (0, n // 6 + 1))
+        if 100 * n >= 85 * len(a | b):
+            first = [sorted(s, key=lambda x: order[x])[: len(s) - need + min(nj.SHARED, need)] for s in (a, b) for need in [-(-85 * len(s) // 100)]]
+            rows.append((len(a), len(b), len(set(first[0]) & set(first[1]))))
+    asked = [(r["need"], r["shared"]) for r in spark.createDataFrame(rows, "na bigint, nb bigint, shared bigint").select(nj.least_shared(85).alias("need"), "shared").collect()]
+    assert all(1 <= need <= shared for need, shared in asked) and max(need for need, _ in asked) > nj.SHARED
+
+
 def test_tree_prunes_and_finds_every_component():
     rnd = random.Random(5)
     base = [np.unique(np.array([rnd.getrandbits(60) for _ in range(rnd.choice((20, 60)))], np.uint64)) for _ in range(12)]

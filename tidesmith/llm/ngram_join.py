@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import named, rows_by_batch, slim, table, written
@@ -41,6 +41,8 @@ LIST = 128
 SIDE, SIDE_TOKENS = 1024, 1_000_000
 #: Members of one star, apart from its head.
 STAR = 256
+#: Binary logarithm of the places of the table of shingle frequencies.
+PLACES = 23
 #: Bits of the bitmap that tells which documents' sets are needed.
 BITS = 1 << 24
 
@@ -134,11 +136,19 @@ def _tokens(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     return docs.select(text).mapInArrow(slim(run), "token bigint")
 
 
-def frequent_tokens(docs: DataFrame, key: str, text: str, width: int, one_in: int = 32, least: int = 3, most: int = 50_000) -> np.ndarray:
-    """Shingles often met in a part of the documents, rarest first. They only shape the common order, so the part and `most` cannot lose a link."""
+def frequencies(docs: DataFrame, key: str, text: str, width: int, one_in: int = 32, least: int = 2) -> np.ndarray:
+    """For each place, which is the first bits of a shingle, a level of how often its most frequent shingle is met in a part of the documents; 0 below `least`.
+
+    The levels only shape the common order, so neither the part nor shingles that share a place can lose a link.
+    """
     part = docs.filter(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(one_in)) == 0)
-    top = _tokens(part, key, text, width).groupBy("token").count().filter(F.col("count") >= least).orderBy(F.desc("count"), "token").limit(most)
-    return np.array([r["token"] for r in top.collect()][::-1], np.int64).view(np.uint64)
+    often = _tokens(part, key, text, width).groupBy("token").count().filter(F.col("count") >= least)
+    levels = often.groupBy(F.shiftrightunsigned("token", 64 - PLACES).alias("place")).agg(F.floor(4 * F.log2(F.max("count"))).alias("level"))
+    # eight places are one number
+    eights = levels.groupBy(F.expr("place div 8").alias("at")).agg(F.expr("bit_or(shiftleft(level, cast(8 * (place % 8) as int)))").alias("levels")).toArrow()
+    out = np.zeros((1 << PLACES) // 8, "<i8")
+    out[eights.column("at").to_numpy()] = eights.column("levels").to_numpy()
+    return out.view(np.uint8)
 
 
 def class_of(s: np.ndarray) -> np.uint64:
@@ -151,12 +161,10 @@ def class_of(s: np.ndarray) -> np.uint64:
 
 def signatures(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     """key, n, class, and the first shingles in the common order."""
-    frequent = frequent_tokens(docs, key, text, width)
-    by_value = np.argsort(frequent)
+    levels = frequencies(docs, key, text, width)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = frequent[by_value]
         for b in rows_by_batch(batches, column=text):
             sets = Scan(b.column(text), lower=True).shingle_sets(width)
             n = np.array([len(s) for s in sets], np.int64)
@@ -164,16 +172,25 @@ def signatures(docs: DataFrame, key: str, text: str, width: int, percent: int) -
             for s in sets:
                 need = -(-percent * len(s) // 100)
                 keep = len(s) - need + min(SHARED, need)
-                if len(known) and len(s):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    rank = np.where(known[at] == s, by_value[at] + 1, 0)
-                    s = s[np.lexsort((s, rank))] if rank.any() else s
-                first.append(s[:keep].view(np.int64))
+                # s is in the order of values, which a stable sort keeps within a level
+                first.append(s[np.argsort(levels[s >> np.uint64(64 - PLACES)], kind="stable")[:keep]].view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(key), pa.array(n), pa.array(cls.view(np.int64)), pa.array(first, pa.list_(pa.int64()))], names=[key, "n", "class", "first"])
 
     return docs.select(key, text).mapInArrow(slim(run), f"`{key}` {kind}, n bigint, class bigint, first array<bigint>")
 
 
+def least_shared(percent: int) -> Column:
+    """How many of their first shingles two linked classes of na and nb shingles share at least.
+
+    They have `overlap` in common. That class whose first shingles end earlier
+    in the common order has least_overlap - SHARED behind them, so all others of
+    the common ones are first ones of both.
+    """
+    overlap = F.expr(f"({percent} * (na + nb) + {100 + percent - 1}) div {100 + percent}")
+    need = [F.expr(f"({percent} * {n} + 99) div 100") for n in ("na", "nb")]
+    return F.least(*(overlap - n + F.least(n, F.lit(SHARED)) for n in need))
+
+
 def _meet(postings: DataFrame, percent: int) -> DataFrame:
     """From postings (token, id, n), sorted by token in each partition: pairs (a, b, na, nb, shared) of short lists; rows of long lists as (token, id, n, null, null)."""
 
@@ -242,15 +259,20 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def _sets(docs: DataFrame, needed: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(id, tokens): the shingle sets of the needed classes at least, as bytes, from the documents whose ids are the `rep` of one; a class may have several equal rows.
+def _marked(rows: DataFrame, column: str, marks: DataFrame) -> DataFrame:
+    """rows with the bit of their `column` in `marked`: true for all values of the one column of marks, and for a few others.
 
-    A bitmap of these ids, BITS / 64 rows at most, goes to every task, so texts
-    stay where they are. A wrong yes costs a set that no join asks for.
+    The bitmap, BITS / 64 rows at most, goes to every task, so rows stay where they are.
     """
     place = lambda c: F.pmod(F.xxhash64(c, F.lit(41)), F.lit(BITS))
-    marks = needed.select(place("rep").alias("at")).groupBy(F.expr("at div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits"))
-    marked = docs.withColumn("at", place(key)).withColumn("word", F.expr("at div 64")).join(F.broadcast(marks), "word").filter(F.expr("shiftright(bits, cast(at % 64 as int)) & 1") == 1)
+    words = marks.select(place(marks.columns[0]).alias("at")).groupBy(F.expr("at div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits"))
+    dealt = rows.withColumn("at", place(column)).withColumn("word", F.expr("at div 64")).join(F.broadcast(words), "word", "left")
+    return dealt.withColumn("marked", F.expr("shiftright(coalesce(bits, 0L), cast(at % 64 as int)) & 1") == 1).drop("at", "word", "bits")
+
+
+def _sets(docs: DataFrame, needed: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """(id, tokens): the shingle sets of the needed classes at least, as bytes, from the documents whose ids are the `rep` of one; a class may have several equal rows. A wrong mark costs a set that no join asks for."""
+    marked = _marked(docs, key, needed.select("rep")).filter("marked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
@@ -267,10 +289,10 @@ def _sets(docs: DataFrame, needed: DataFrame, key: str, text: str, width: int) -
     return marked.select(text).mapInArrow(slim(run), "id bigint, tokens binary")
 
 
-def _linked(blocks: DataFrame, percent: int, stars: bool) -> DataFrame:
-    """From rows (block, side, id, tokens), sorted by block and side in each partition: links (u, v).
+def _linked(blocks: DataFrame, percent: int) -> DataFrame:
+    """From rows (star, block, side, id, tokens), sorted by star, block and side in each partition: links (u, v).
 
-    stars: side 0 is one class that is to be held against all others of its
+    star: side 0 is one class that is to be held against all others of its
     block, in pieces of bounded size. Else a block is small enough for one tree.
     """
 
@@ -282,12 +304,12 @@ def _linked(blocks: DataFrame, percent: int, stars: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, head, rows, total, out = None, None, [], 0, []
         for b in _with_end(batches):
-            for block, side, i, t in zip(*(b.column(c).to_pylist() for c in ("block", "side", "id", "tokens")), strict=True) if b is not None else [(None, 0, 0, b"")]:
-                if block != now or stars and total > SIDE_TOKENS:
+            for star, block, i, t in zip(*(b.column(c).to_pylist() for c in ("star", "block", "id", "tokens")), strict=True) if b is not None else [(False, None, 0, b"")]:
+                if (star, block) != now or star and total > SIDE_TOKENS:
                     out += tree(rows)
-                    rows, total = ([head] if stars and block == now else []), 0
-                if block != now:
-                    now, head = block, (i, t)
+                    rows, total = ([head] if (star, block) == now else []), 0
+                if (star, block) != now:
+                    now, head = (star, block), (i, t)
                 rows.append((i, t))
                 total += len(t) // 8
             if out:
@@ -302,13 +324,15 @@ def ngram_jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text",
     docs = docs.select(named(key).cast("bigint").alias("key"), named(text).alias("text"))
     sig = written(signatures(docs, "key", "text", width, percent), "signatures")
     full = sig.filter((F.col("n") > 0) & F.col("key").isNotNull())
-    classes = written(full.groupBy("class").agg(F.min("key").alias("rep")), "classes")
-    # one row of each class has its first shingles on
-    postings = full.join(classes, "class").filter("key = rep").dropDuplicates(["class"]).select(F.explode("first").alias("token"), F.col("class").alias("id"), "n")
+    classes = written(full.groupBy("class").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("rows")), "classes")
+    # one row of each class has its first shingles on; only classes that may have several rows are shuffled for that
+    rows = _marked(full, "class", classes.filter("rows > 1").select("class"))
+    one = rows.filter("marked").join(classes, "class").filter("key = rep").dropDuplicates(["class"]).select("class", "n", "first")
+    postings = rows.filter("NOT marked").select("class", "n", "first").unionByName(one).select(F.explode("first").alias("token"), F.col("class").alias("id"), "n")
     met = written(_meet(postings.repartition("token").sortWithinPartitions("token", "id"), percent), "met")
 
     # short lists: pairs that share enough prefix shingles; each meets in a star of its smaller id
-    need = F.least(F.lit(SHARED), F.ceil(F.greatest("na", "nb") * percent / F.lit(100)))
+    need = least_shared(percent)
     pairs = written(met.filter("shared is not null").groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared")).filter(F.col("shared") >= need).select("a", "b"), "pairs")
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("parts"))
     members = pairs.join(parts, "a").select(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))).alias("block"), "a", "b")
@@ -318,12 +342,13 @@ def ngram_jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text",
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(sides.select("id")).distinct()
     needed = ids.join(classes.withColumnRenamed("class", "id"), "id").select("rep")
     sets = written(_sets(docs, needed, "key", "text", width), "sets")
-    stars = members.select("block", F.lit(0).alias("side"), F.col("a").alias("id")).distinct().unionByName(members.select("block", F.lit(1).alias("side"), F.col("b").alias("id"))).join(sets, "id")
-    links = [_linked(x.repartition("block").sortWithinPartitions("block", "side", "id").select("block", "side", "id", "tokens"), percent, s) for x, s in ((stars, True), (blocks.join(sets, "id"), False))]
+    stars = members.select("block", F.lit(0).alias("side"), F.col("a").alias("id")).distinct().unionByName(members.select("block", F.lit(1).alias("side"), F.col("b").alias("id")))
+    met_sets = stars.withColumn("star", F.lit(True)).unionByName(blocks.withColumn("star", F.lit(False))).join(sets, "id").select("star", "block", "side", "id", "tokens")
+    links = _linked(met_sets.repartition("star", "block").sortWithinPartitions("star", "block", "side", "id"), percent)
     # rows that repeat an id join the classes of their texts
     several = full.groupBy("key").agg(F.min("class").alias("u"), F.max("class").alias("last")).filter("u <> last").select("key", "u")
     same = full.join(written(several, "several"), "key").select("u", F.col("class").alias("v")).filter("u <> v").distinct()
-    roots = written(components(links[0].unionByName(links[1]).unionByName(same)), "roots")
+    roots = written(components(links.unionByName(same)), "roots")
     joined = classes.join(roots.withColumnRenamed("u", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     # only components of several classes look for another one's smallest id
     low = joined.join(roots.select("root").distinct(), "root").groupBy("root").agg(F.min("rep").alias("low"))
